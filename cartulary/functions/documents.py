@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StringType
 
 _REPLACED = "\u0000replaced"  # marks an object that overwrote a scalar on the way
 
@@ -81,7 +82,7 @@ def _dump(value: object) -> str:
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def merge_deep(base: pd.Series, patch: pd.Series) -> pd.Series:
     """Merge a (possibly composed) patch into a document, Arrow batch by batch."""
 

@@ -21,6 +21,12 @@ def epoch_seconds(wall_clock: Column) -> Column:
     )
 
 
+def as_instant(wall_clock: Column) -> Column:
+    """TIMESTAMP_NTZ read as UTC, as the TIMESTAMP that watermarks need."""
+    parts = [f(wall_clock) for f in (F.year, F.month, F.dayofmonth, F.hour, F.minute)]
+    return F.make_timestamp_ltz(*parts, F.extract(F.lit("SECOND"), wall_clock), F.lit("UTC"))
+
+
 def partition_time(value: Column, regional: Column | bool = False) -> Column:
     """Epoch seconds of a partition value, null when it has none of the accepted forms.
 

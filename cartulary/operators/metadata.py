@@ -121,7 +121,7 @@ def search_by_owners(defs: DataFrame, owners: DataFrame) -> DataFrame:
     """Names whose ``owner.userId`` is among the owners."""
     owned = defs.select("name", J.text_at(F.col("data"), "owner", "userId").alias("owner"))
     wanted = owners.select(F.trim("owner").alias("owner")).distinct()
-    return join_hot(owned, wanted, ["owner"], "left_semi", ["name"])
+    return join_hot(owned, wanted, ["owner"], "left_semi", ["name"]).select("name")
 
 
 def fill_owner(df: DataFrame, owner: str = "owner") -> DataFrame:

@@ -15,7 +15,7 @@ def ancestors(path: Column, include_self: bool = False) -> Column:
     levels = F.size(F.split(path, "/"))
     last = levels if include_self else levels - 1
     cuts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(cuts, lambda i: F.substring_index(path, "/", i))
+    return F.transform(cuts, lambda i: F.call_function("substring_index", path, F.lit("/"), i))
 
 
 def below(paths: DataFrame, roots: DataFrame, path: str, root: str, include_self: bool = False) -> DataFrame:
@@ -63,10 +63,11 @@ def resolve_uris(wanted: DataFrame, tables: DataFrame, parts: DataFrame, prefix:
     tried = tried.withColumn("_length", F.explode("_lengths")).filter(
         F.col("_length") <= F.length("uri")
     )
-    keyed = tried.select(
-        "kind", "name", "uri", F.expr("substring(uri, 1, _length)").alias("wanted_uri")
-    ).distinct()
-    return join_hot(keyed, asked, ["wanted_uri"], "inner", ["name"])
+    keyed = tried.withColumn("wanted_uri", F.expr("substring(uri, 1, _length)"))
+    # a wanted text has one step, so joining on both never finds it twice
+    asked = asked.withColumn("_step", step)
+    found = join_hot(keyed, asked, ["wanted_uri", "_step"], "inner", ["name"])
+    return found.select("wanted_uri", "kind", "name", "uri")
 
 
 def shared_uris(uses: DataFrame) -> DataFrame:

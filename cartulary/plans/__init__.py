@@ -1,4 +1,4 @@
 """Registered queries: every operator bound to the test tables, next to the SQL that must agree."""
 
-from . import names  # noqa: F401
+from . import changes, documents, feed, listings, names, predicates, relations, search, sources, tags  # noqa: F401
 from .registry import QUERIES, Query  # noqa: F401

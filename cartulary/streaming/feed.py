@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from ..functions import partition_names as P
 from ..functions.documents import text_at
 from ..functions.skew import join_hot
-from ..functions.times import partition_time
+from ..functions.times import epoch_seconds, partition_time
+from ..operators.diff import diff
 
 # Where a table's definition names its delete column and how that column
 # is dated, which datings are regional, and how many names a message may carry.
@@ -175,8 +176,6 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Both sides are leaf rows ``(name, path, value)``, see :func:`leaves`.
     """
-    from ..operators.diff import diff
-
     found = diff(old, new, ["name", "path"], ["value"])
     return found.filter(F.col("op") != "same")
 
@@ -184,14 +183,16 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def leaves(rows: DataFrame, fields: list[str], maps: list[str] | None = None) -> DataFrame:
     """Leaf rows of table versions: plain fields and the entries of map fields; nulls are absent."""
     entries = [F.create_map(F.lit(f"/{f}"), F.col(f).cast("string")) for f in fields]
-    entries += [
-        F.transform_keys(F.col(m), lambda k, _, m=m: F.concat(F.lit(f"/{m}/"), k)) for m in maps or []
-    ]
+    entries += [_prefixed(m) for m in maps or []]
     return rows.select("name", F.explode(F.map_concat(*entries)).alias("path", "value")).filter(
         "value is not null"
     )
 
 
+def _prefixed(column: str) -> Column:
+    return F.transform_keys(column, lambda k, _: F.concat(F.lit(f"/{column}/"), k))
+
+
 def change_kind(op: Column) -> Column:
     """created, deleted or updated."""
     return F.when(op.isin("create", "add"), "created").when(op == "delete", "deleted").otherwise("updated")
@@ -226,8 +227,6 @@ def event_delay(events: DataFrame, now: Column, by: list[str]) -> DataFrame:
     Delays fold to a histogram first, so what the last step holds is bounded by
     the distinct delays, not the events.
     """
-    from ..functions.times import epoch_seconds
-
     delay = (now - epoch_seconds(F.col("ts"))).alias("delay")
     histogram = events.groupBy(*by, delay).agg(F.count("*").alias("n"))
     return histogram.groupBy(*by).agg(

@@ -26,7 +26,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value: object) -> object:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return None
     if isinstance(value, float):
         return float(f"{value:.10g}")
