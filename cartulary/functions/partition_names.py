@@ -14,30 +14,33 @@ DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 ESCAPED_CHARACTERS = r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
 
 
-def _component(name: Column, key: str) -> Column:
-    """Last ``key=value`` component whose value is not the text null, else empty text."""
-    k = re.escape(key)
-    real_value = r"(?!(?i:null)(?:/|$))"
-    pattern = rf"(?<![^/]){k}={real_value}[^/]*(?!.*/{k}={real_value})"
-    return F.regexp_extract(name, pattern, 0)
+# A value spelled null does not count as a component at all.
+_REAL = r"(?!(?i:null)(?:/|$))"
+_DEFAULT = rf"(?i:{DEFAULT_PARTITION})(?=/|$)"
+
+
+def _after_equals(text: Column) -> Column:
+    """``=value`` to ``value``, empty text to null."""
+    return F.try_element_at(F.split(text, "=", 2), F.lit(2))
 
 
 def has_key(name: Column, key: str) -> Column:
     """Does the name carry a usable component for the key?"""
-    return _component(name, key) != ""
+    return name.rlike(rf"(?<![^/]){re.escape(key)}={_REAL}")
 
 
 def key_value(name: Column, key: str) -> Column:
-    """Value of one key, read with a single compiled regex so the scan stays in generated code.
+    """Value of one key, read with one compiled regex so the scan stays in generated code.
 
-    Null when the component is absent, or holds the default-partition text.
+    Null when there is no such component, or its value is the default partition.
+    The last usable component counts.
     """
     if key.lower() == "null":
         return F.lit(None).cast("string")
-    value = F.substring(_component(name, key), len(key) + 2, 1 << 30)
-    return F.when(
-        has_key(name, key) & (F.lower(value) != DEFAULT_PARTITION.lower()), value
-    )
+    k = re.escape(key)
+    # group 1 is "=value", and stays empty for the default partition
+    pattern = rf"(?<![^/]){k}(?:={_DEFAULT}|(={_REAL}[^/]*))(?!.*/{k}={_REAL})"
+    return _after_equals(F.regexp_extract(name, pattern, 1))
 
 
 def key_value_or_path(name: Column, uri: Column, key: str) -> Column:
@@ -45,37 +48,33 @@ def key_value_or_path(name: Column, uri: Column, key: str) -> Column:
     return F.when(has_key(name, key), key_value(name, key)).otherwise(key_value(uri, key))
 
 
+# Any usable component: its key, and "=value" unless that is the default partition.
+_COMPONENT = rf"(?<![^/])(?!(?i:null)=)([^/=]*)(?:={_DEFAULT}|(={_REAL}[^/]*))(?=/|$)"
+# The same, but only the last component of each key; costs a look at the rest of the name.
+_LAST_COMPONENT = rf"{_COMPONENT}(?!.*/\1={_REAL})"
+
+
 def key_map(name: Column) -> Column:
     """All components as a map; keys whose component is the default partition map to null.
 
     Components without ``=`` and components spelling ``null`` are left out; of
     repeated keys the last one counts.
     """
-    pieces = F.transform(
-        F.filter(F.split(name, "/"), lambda p: p.contains("=")),
-        lambda p: F.struct(
-            F.substring_index(p, "=", 1).alias("k"),
-            F.regexp_replace(p, "^[^=]*=", "").alias("v"),
-        ),
-    )
-    usable = F.filter(
-        pieces, lambda s: (F.lower(s["k"]) != "null") & (F.lower(s["v"]) != "null")
-    )
-    keys = F.array_distinct(F.transform(usable, lambda s: s["k"]))
-    values = F.transform(
-        keys,
-        lambda k: F.element_at(F.filter(usable, lambda s: s["k"] == k), -1)["v"],
-    )
-    nulled = F.transform(
-        values, lambda v: F.when(F.lower(v) != DEFAULT_PARTITION.lower(), v)
-    )
-    return F.map_from_arrays(keys, nulled)
+
+    def group(pattern: str, i: int) -> Column:
+        return F.regexp_extract_all(name, F.lit(pattern), F.lit(i))
+
+    def as_map(pattern: str) -> Column:
+        return F.map_from_arrays(group(pattern, 1), F.transform(group(pattern, 2), _after_equals))
+
+    keys = group(_COMPONENT, 1)
+    repeats = F.size(F.array_distinct(keys)) < F.size(keys)
+    return F.when(repeats, as_map(_LAST_COMPONENT)).otherwise(as_map(_COMPONENT))
 
 
 def ordered_values(name: Column) -> Column:
     """Values of the components in order, default-partition text kept."""
-    pieces = F.filter(F.split(name, "/"), lambda p: p.contains("="))
-    return F.transform(pieces, lambda p: F.regexp_replace(p, "^[^=]*=", ""))
+    return F.regexp_extract_all(name, F.lit(r"(?<![^/])[^/=]*=([^/]*)"), F.lit(1))
 
 
 def is_valid_name(name: Column, keys: list[str]) -> Column:

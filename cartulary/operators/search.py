@@ -68,7 +68,7 @@ def build_search_docs(entities: DataFrame, defs: DataFrame, run: str, at: Column
 
 def tokens(body: Column) -> Column:
     """Distinct lower-case words of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}_]+"), lambda t: t != ""))
+    return F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
 def search_docs(docs: DataFrame, term: str) -> DataFrame:

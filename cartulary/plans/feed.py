@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import TimestampNTZType
 
 from ..functions.times import as_instant, epoch_seconds
-from ..sources.snapshot import read_snapshot, write_snapshot
 from ..streaming import feed as E
 from ..streaming import streams as S
 from .bindings import Bindings
@@ -162,9 +161,9 @@ def feed_apply_changes(b: Bindings) -> DataFrame:
 @query("stream_maintain_index", "O-102", sql=f"WITH {_APPLY}")
 def stream_maintain_index(b: Bindings) -> DataFrame:
     folder = scratch(b, "maintained")
-    write_snapshot(_index(b), f"{folder}/index", version=0)
+    S.start_index(_index(b), f"{folder}/index")
     S.maintain_index(_index_changes(_event_stream(b)), f"{folder}/index", f"{folder}/state").awaitTermination()
-    return read_snapshot(b.spark, f"{folder}/index")
+    return S.read_index(b.spark, f"{folder}/index")
 
 
 def _event_stream(b: Bindings) -> DataFrame:

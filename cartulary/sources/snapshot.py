@@ -14,6 +14,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at the path?"""
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Finished versions of a snapshot, oldest first."""
     fs, p = _fs(spark, path)

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.snapshot import read_snapshot, versions, write_snapshot
+from ..sources.snapshot import exists, read_snapshot, versions, write_snapshot
 from . import feed
 
 
@@ -61,28 +61,51 @@ def publish(
     return queries
 
 
-def maintain_index(changes: DataFrame, snapshot: str, checkpoint: str) -> StreamingQuery:
-    """Keep a versioned index up to date with a stream of changes.
+def maintain_index(
+    changes: DataFrame, folder: str, checkpoint: str, compact_every: int = 16
+) -> StreamingQuery:
+    """Keep an index up to date with a stream of changes.
 
-    Batch ``n`` always writes the version after the one it found when first run, so a
-    batch repeated after a failure rewrites its own version and nothing is applied twice.
+    A batch only writes its own changes to a log, so its cost follows the batch and not
+    the index; every so many batches the log is folded into the next base version.
+    Both writes overwrite what a failed attempt left, so a repeated batch changes nothing.
     """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = batch_id + 1
-        current = [v for v in versions(spark, snapshot) if v < target]
-        docs = read_snapshot(spark, snapshot, current[-1])
-        write_snapshot(feed.apply_changes(docs, batch), snapshot, version=target)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            compact_index(batch.sparkSession, folder, batch_id)
 
     return (
-        changes.writeStream.foreachBatch(apply)
+        changes.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def start_index(docs: DataFrame, folder: str) -> None:
+    """Write the index a stream of changes starts from."""
+    write_snapshot(docs, f"{folder}/base", version=0)
+
+
+def compact_index(spark: SparkSession, folder: str, through: int) -> None:
+    """Fold the log up to a batch into a base; base version ``n`` holds all batches before ``n``."""
+    write_snapshot(read_index(spark, folder, through), f"{folder}/base", version=through + 1)
+
+
+def read_index(spark: SparkSession, folder: str, through: int | None = None) -> DataFrame:
+    """The index now, or as of a batch: the newest base with the rest of the log applied."""
+    bases = [v for v in versions(spark, f"{folder}/base") if through is None or v <= through]
+    docs = read_snapshot(spark, f"{folder}/base", bases[-1])
+    if not exists(spark, f"{folder}/log"):
+        return docs
+    log = spark.read.parquet(f"{folder}/log").filter(F.col("batch") >= bases[-1])
+    if through is not None:
+        log = log.filter(F.col("batch") <= through)
+    return feed.apply_changes(docs, log.drop("batch"))
+
+
 def maintain_counts(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Live partition counts per table; every batch writes the tables it changed."""
 
