@@ -53,9 +53,18 @@ def _sides(left: Operand, right: Operand, permissive: bool) -> tuple[Column, Col
 
 
 def _sure(condition: Column) -> Column:
+    """Null to false, for tests no scan can answer; the key is computed once."""
     return F.coalesce(condition, F.lit(False))
 
 
+def _known(condition: Column, *operands: Operand) -> Column:
+    """Null to false as a conjunction, which scans over real key columns can take over."""
+    for x in operands:
+        if isinstance(x, Column):
+            condition = x.isNotNull() & condition
+    return condition
+
+
 def eq(left: Operand, right: Operand, permissive: bool = False) -> Column:
     """Equal; two nulls are equal."""
     a, b = _sides(left, right, permissive)
@@ -74,7 +83,8 @@ def compare(left: Operand, op: str, right: Operand, permissive: bool = False) ->
     if op in ("!=", "<>"):
         return ne(left, right, permissive)
     a, b = _sides(left, right, permissive)
-    return _sure(_ORDER[op](a, b))
+    condition = _ORDER[op](a, b)
+    return _sure(condition) if _is_number(right) else _known(condition, left, right)
 
 
 def between(
@@ -94,7 +104,7 @@ def in_list(
     found = F.lit(False)
     if texts:
         known = [t for t in texts if t is not None]
-        found = _sure(_column(left).isin(known)) if known else found
+        found = _known(_column(left).isin(known), left) if known else found
         if len(known) < len(texts):
             found = found | _column(left).isNull()
     if numbers:
@@ -121,8 +131,12 @@ def matches(left: Operand, pattern: str, negate: bool = False) -> Column:
 
 
 def like(left: Operand, pattern: str, negate: bool = False) -> Column:
-    """The whole text matches a LIKE pattern."""
-    return matches(left, like_regex(pattern), negate)
+    """The whole text matches a LIKE pattern; a plain leading text also narrows the scan."""
+    found = matches(left, like_regex(pattern))
+    prefix = re.match(r"[A-Za-z0-9=/ -]*(?=%)", pattern)
+    if prefix and prefix.group() and isinstance(left, Column):
+        found = _known(left.startswith(prefix.group()), left) & found
+    return ~found if negate else found
 
 
 def is_null(left: Operand, negate: bool = False) -> Column:
@@ -159,4 +173,4 @@ def typed(left: Column, key_type: str, op: str, literal: object) -> Column:
         return a.eqNullSafe(b)
     if op in ("!=", "<>"):
         return ~a.eqNullSafe(b)
-    return _sure(_ORDER[op](a, b))
+    return _known(_ORDER[op](a, b), a)

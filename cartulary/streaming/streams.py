@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +12,9 @@ from ..sources.snapshot import exists, read_snapshot, versions, write_snapshot
 from . import feed
 
 
+ARRIVAL_STEP = Decimal(10) ** 19  # above any bigint sequence number
+
+
 def read_feed(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """Events from files as they appear."""
     reader = spark.readStream.schema(schema)
@@ -95,7 +100,10 @@ def compact_index(spark: SparkSession, folder: str, through: int) -> None:
 
 
 def read_index(spark: SparkSession, folder: str, through: int | None = None) -> DataFrame:
-    """The index now, or as of a batch: the newest base with the rest of the log applied."""
+    """The index now, or as of a batch: the newest base with the rest of the log applied.
+
+    Changes count in the order they arrived: by batch, and by ``seq`` within one.
+    """
     bases = [v for v in versions(spark, f"{folder}/base") if through is None or v <= through]
     docs = read_snapshot(spark, f"{folder}/base", bases[-1])
     if not exists(spark, f"{folder}/log"):
@@ -103,7 +111,8 @@ def read_index(spark: SparkSession, folder: str, through: int | None = None) ->
     log = spark.read.parquet(f"{folder}/log").filter(F.col("batch") >= bases[-1])
     if through is not None:
         log = log.filter(F.col("batch") <= through)
-    return feed.apply_changes(docs, log.drop("batch"))
+    arrival = F.col("batch").cast("decimal(18,0)") * F.lit(ARRIVAL_STEP) + F.col("seq")
+    return feed.apply_changes(docs, log.withColumn("seq", arrival).drop("batch"))
 
 
 def maintain_counts(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
