@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from ..functions.skew import join_hot
+from ..session import keep
 from .metadata import delete_metadata, rename_keys, soft_delete_data
 from .partitions import ID
 from .relations import drop_entity, rename_entity
@@ -172,9 +173,13 @@ def drop_tables(
     user: str,
     at: Column,
 ) -> dict[str, DataFrame]:
-    """Drop tables that nothing holds back: rows, documents, tags and edges go, data is marked."""
+    """Drop tables that nothing holds back: rows, documents, tags and edges go, data is marked.
+
+    The verdict on the names is kept, as every output depends on it.
+    """
     refused = drop_refusals(names, edges, tags, guarded)
-    gone = names.select("name").join(refused, "name", "left_anti")
+    verdict = keep(names.select("name").distinct().join(refused, "name", "left"), "drop")
+    refused, gone = verdict.filter("reason IS NOT NULL"), verdict.filter("reason IS NULL").select("name")
     uris = tables.join(gone, "name", "left_semi").filter("uri is not null").select("uri")
     return {
         "refused": refused,

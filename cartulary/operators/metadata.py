@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from ..functions import documents as J
 from ..functions.names import is_search_type
 from ..functions.skew import join_hot
+from ..session import keep
 from .diff import diff
 from .partitions import sort_page
 from .resolve import any_below
@@ -201,13 +202,14 @@ def purge_deleted_data(
 
     Examined are paths marked before the time, and everything below those of them
     that are no partition path.  A document goes when no table or partition uses
-    its path; every mark examined is cleared.
+    its path; every mark examined is cleared.  The examined paths are kept, as both
+    outputs depend on them.
     """
     old = marks.filter(F.col("date_created") < before).select("id")
     marked = data.join(old, "id", "left_semi").select("uri")
     roots = marked.filter(~F.col("uri").contains("=")).withColumnRenamed("uri", "root")
     inner = any_below(data.filter("uri is not null"), roots, "uri", "root")
-    examined = marked.unionByName(inner).filter("uri is not null").distinct()
+    examined = keep(marked.unionByName(inner).filter("uri is not null").distinct(), "examined")
     in_use = used.select("uri").filter("uri is not null")
     unused = examined.filter(F.col("uri") != "").join(in_use, "uri", "left_anti")
     kept = data.join(unused, "uri", "left_anti")
@@ -229,7 +231,7 @@ def purge_obsolete_definitions(
     defs: DataFrame, tags: DataFrame, live: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Definitions and tags left after dropping those of entities that no longer exist."""
-    gone = obsolete(defs, live).select("name")
+    gone = keep(obsolete(defs, live).select("name"), "obsolete")
     return defs.join(gone, "name", "left_anti"), tags.join(gone, "name", "left_anti")
 
 

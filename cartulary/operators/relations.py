@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..functions.skew import join_hot
+from ..session import keep
 
 # Fixed value: children a parent may have per relation type when nothing else is said.
 DEFAULT_LIMIT = 5
@@ -127,7 +128,7 @@ def rename_entity(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     A new name that already takes part in an edge is refused: its rename is left out.
     """
     taken = edges.select(F.col("parent").alias("new")).unionByName(edges.select(F.col("child").alias("new")))
-    allowed = mapping.join(taken.distinct(), "new", "left_anti")
+    allowed = keep(mapping.join(taken, "new", "left_anti"), "renames")
     out = edges
     for end, other in (("parent", "child"), ("child", "parent")):
         pairs = allowed.select(F.col("old").alias(end), F.col("new").alias("_new"))

@@ -89,9 +89,9 @@ def rename_tags(tags: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def purge_obsolete_tags(tags: DataFrame, live_tables: DataFrame) -> DataFrame:
     """Tags left after dropping those of tables that are gone; other levels stay."""
+    live = live_tables.select("name", F.lit(True).alias("_live")).distinct()
     is_table = is_search_type(F.col("name"), "table")
-    gone = tags.filter(is_table).select("name").join(live_tables.select("name"), "name", "left_anti")
-    return tags.join(gone.distinct(), "name", "left_anti").select(*EDGE)
+    return tags.join(live, "name", "left").filter(~is_table | F.col("_live").isNotNull()).select(*EDGE)
 
 
 def tag_guard(tables: DataFrame, tags: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import predicates as Q
 from ..functions.times import epoch_seconds
 from ..operators import changes as C
 from ..operators import partitions as P
+from ..session import keep
 from .bindings import KEYS, Bindings
 from .registry import query
 
@@ -66,7 +67,7 @@ def partition_save_plan_unchecked(b: Bindings) -> DataFrame:
     UNION ALL SELECT table_name, part_name, uri, CAST(epoch(create_time) AS BIGINT) FROM v_parts WHERE status = 'P' AND dateint >= 19960101""",
 )
 def partition_save_apply(b: Bindings) -> DataFrame:
-    plan = C.plan_partition_save(b.parts, b.incoming, b.deletes)
+    plan = keep(C.plan_partition_save(b.parts, b.incoming, b.deletes), "plan")
     after = C.apply_partition_save(b.parts, plan)
     return after.select("table_name", "part_name", "uri", epoch_seconds(F.col("create_time")).alias("created"))
 

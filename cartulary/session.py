@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a cluster should carry.  Nothing in the library changes the settings
 # of a session it is handed.
@@ -49,3 +50,14 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="cartulary-"))
     return context.getCheckpointDir()
+
+
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    For small key sets that several outputs of one job depend on: they are computed once,
+    survive lost executors, and come back with a known size for the planner to judge.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
