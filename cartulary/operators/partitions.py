@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 from ..functions import partition_names as P
 from ..functions import predicates as Q
 from ..functions.skew import join_hot
 from ..functions.times import epoch_seconds
+from ..session import keep
 
 ID = ["table_name", "part_name"]
 
@@ -114,20 +115,28 @@ def filter_by_names(parts: DataFrame, names: DataFrame) -> DataFrame:
     return parts.join(names.select(*ID), ID, "left_semi")
 
 
+# Largest head of a sorted listing that is found as a top-k, which one task merges.
+TOP_K_MOST = 100_000
+
+
 def sort_page(
     df: DataFrame,
     by: list[Column],
     unique: list[str],
     offset: int = 0,
     limit: int | None = None,
+    top_k_most: int = TOP_K_MOST,
 ) -> DataFrame:
-    """One page of a sorted listing.
+    """One page of a sorted listing; ``unique`` columns break ties.
 
-    With a limit this is a distributed top-k of ``offset + limit`` rows.  Without
-    one, only the skipped head is a top-k and the rest is kept by an anti join on
-    the unique columns, so no task ever sees the whole listing.
+    A page near the head is a distributed top-k of ``offset + limit`` rows.  A shallow
+    offset without a limit only finds the skipped head that way and keeps the rest by an
+    anti join.  Anything deeper is cut out of ranges, see :func:`_page_of_ranges`; no
+    task ever sees the whole listing.
     """
     ordering = [*by, *[F.col(c) for c in unique]]
+    if offset + (limit or 0) > top_k_most:
+        return _page_of_ranges(df, ordering, offset, limit)
     if limit is not None:
         return df.orderBy(*ordering).offset(offset).limit(limit)
     if offset:
@@ -136,6 +145,29 @@ def sort_page(
     return df.orderBy(*ordering)
 
 
+def _page_of_ranges(df: DataFrame, ordering: list[Column], offset: int, limit: int | None) -> DataFrame:
+    """A deep page: rows are kept in consecutive ranges, and only ranges the page touches are numbered.
+
+    What is summed in one place is one count per range.
+    """
+    ranged = df.repartitionByRange(*ordering).withColumn("_range", F.spark_partition_id())
+    ranged = keep(ranged, "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    touched = starts.filter(F.col("_start") + F.col("_size") > offset)
+    if limit is not None:
+        touched = touched.filter(F.col("_start") < offset + limit)
+    inside = Window.partitionBy("_range").orderBy(*ordering)
+    numbered = ranged.join(touched, "_range").withColumn(
+        "_number", F.col("_start") + F.row_number().over(inside)
+    )
+    page = numbered.filter(F.col("_number") > offset)
+    if limit is not None:
+        page = page.filter(F.col("_number") <= offset + limit)
+    return page.select(*df.columns).orderBy(*ordering)
+
+
 def list_partitions(
     parts: DataFrame,
     predicate: Column | None = None,

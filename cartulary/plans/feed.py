@@ -34,7 +34,7 @@ _PAYLOADS = """
         CASE WHEN created = 0 THEN 'PARTITION_KEY_UNABLED' WHEN shape = 'view' THEN 'MISSING_METADATA_INFO_FOR_PARTITION_KEY'
             WHEN shape = 'error' THEN 'EMPTY_DELETE_COLUMN' WHEN any_value IS NULL THEN 'NO_CANDIDATE_PARTITION_KEYS'
             WHEN past IS NOT NULL AND (bad IS NULL OR past > bad) THEN 'ATTACHED_VALID_PARITITION_KEY'
-            WHEN bad IS NOT NULL THEN 'INVALID_PARTITION_KEY_FORMAT' ELSE 'ALL_FUTURE_PARTITION_KEYS' END AS message, n AS names
+            WHEN bad IS NOT NULL THEN 'INVALID_PARTITION_KEY_FORMAT' ELSE 'ALL_FUTURE_PARTITION_KEYS' END AS message, CASE WHEN n > 1000 THEN 0 ELSE n END AS names
     FROM folded"""
 
 

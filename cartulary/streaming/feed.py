@@ -22,6 +22,15 @@ DATE_TYPE = ("data_dependency", "partition_column_date_type")
 REGIONAL = ("region", "pacific")
 MOST_NAMES = 1000
 
+# What a message says about its latest delete-column value.
+ATTACHED = "ATTACHED_VALID_PARITITION_KEY"
+MALFORMED = "INVALID_PARTITION_KEY_FORMAT"
+ALL_FUTURE = "ALL_FUTURE_PARTITION_KEYS"
+NO_COLUMN = "EMPTY_DELETE_COLUMN"
+NO_VALUES = "NO_CANDIDATE_PARTITION_KEYS"
+NOT_DEFINED = "MISSING_METADATA_INFO_FOR_PARTITION_KEY"
+ONLY_DELETES = "PARTITION_KEY_UNABLED"
+
 
 def delete_columns(defs: DataFrame) -> DataFrame:
     """Per table the delete column, whether it is regional, and whether both are defined."""
@@ -65,13 +74,13 @@ def partition_update_payloads(changes: DataFrame, defs: DataFrame, now: Column)
     past, bad = F.col("_past"), F.col("_bad")
     attached = past.isNotNull() & (bad.isNull() | (past > bad))
     message = (
-        F.when(F.col("created") == 0, "PARTITION_KEY_UNABLED")
-        .when(~F.col("defined"), "MISSING_METADATA_INFO_FOR_PARTITION_KEY")
-        .when(F.col("delete_column") == "", "EMPTY_DELETE_COLUMN")
-        .when(~F.col("_any"), "NO_CANDIDATE_PARTITION_KEYS")
-        .when(attached, "ATTACHED_VALID_PARITITION_KEY")
-        .when(bad.isNotNull(), "INVALID_PARTITION_KEY_FORMAT")
-        .otherwise("ALL_FUTURE_PARTITION_KEYS")
+        F.when(F.col("created") == 0, ONLY_DELETES)
+        .when(~F.col("defined"), NOT_DEFINED)
+        .when(F.col("delete_column") == "", NO_COLUMN)
+        .when(~F.col("_any"), NO_VALUES)
+        .when(attached, ATTACHED)
+        .when(bad.isNotNull(), MALFORMED)
+        .otherwise(ALL_FUTURE)
     )
     usable = (F.col("created") > 0) & F.col("defined") & attached
     summary = folded.select(

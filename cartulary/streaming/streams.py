@@ -47,14 +47,21 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
 
 
 def publish(
-    stream: DataFrame, tables: str, partitions: str | None, checkpoint: str, format: str = "json"
+    stream: DataFrame, tables: str, partitions: str | None, checkpoint: str, sink: str = "json", **options: str
 ) -> list[StreamingQuery]:
-    """Table messages to one sink and, when asked for, partition messages to another."""
+    """Table messages to one topic and, when asked for, partition messages to another.
 
-    def start(df: DataFrame, path: str, name: str) -> StreamingQuery:
+    A topic is a folder, or with ``sink="kafka"`` a Kafka topic that gets JSON values
+    keyed by name; ``options`` go to the sink.
+    """
+
+    def start(df: DataFrame, topic: str, name: str) -> StreamingQuery:
+        if sink == "kafka":
+            df = df.select(F.col("name").alias("key"), F.to_json(F.struct("*")).alias("value"))
         return (
-            df.writeStream.format(format)
-            .option("path", path)
+            df.writeStream.format(sink)
+            .option("topic" if sink == "kafka" else "path", topic)
+            .options(**options)
             .option("checkpointLocation", f"{checkpoint}/{name}")
             .trigger(availableNow=True)
             .start()

@@ -144,6 +144,15 @@ def test_partial_spec_takes_no_extra_values(spark, small):
         P.match_partial_spec(Bindings(spark, small).parts, ["dateint"], ["1", "2"])
 
 
+@pytest.mark.parametrize("offset, limit", [(0, 50), (37, 20), (190, 50), (500, 5), (120, None)])
+def test_deep_pages_equal_shallow_ones(spark, offset, limit):
+    df = spark.range(200).select("id", (F.col("id") % 7).alias("k")).repartition(9)
+    by = [F.col("k").desc()]
+    deep = P.sort_page(df, by, ["id"], offset, limit, top_k_most=10)
+    shallow = P.sort_page(df, by, ["id"], offset, limit)
+    assert deep.collect() == shallow.collect()
+
+
 def test_word_search_matches_whole_words_only(spark):
     docs = spark.createDataFrame(
         [("a", "The cat.", False), ("b", "concatenate", False), ("c", "cat", True), ("d", "CAT's", False), ("e", "cat_x", False)],
