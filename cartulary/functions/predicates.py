@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import operator
 import re
+from collections.abc import Callable
 from decimal import Decimal
 
 import pyspark.sql.functions as F
@@ -25,6 +26,7 @@ from pyspark.sql import Column
 NUMBER = "decimal(38,18)"
 
 Operand = Column | str | int | float | Decimal | None
+NumberTest = Callable[[Column, Callable[[Operand], Column]], Column]
 
 _ORDER = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
@@ -46,10 +48,21 @@ def _as_number(x: Operand, permissive: bool) -> Column:
     return column.try_cast(NUMBER) if permissive else column.cast(NUMBER)
 
 
-def _sides(left: Operand, right: Operand, permissive: bool) -> tuple[Column, Column]:
-    if _is_number(right):
-        return _as_number(left, permissive), F.lit(str(right)).cast(NUMBER)
-    return _column(left), _column(right)
+def _is_long(x: Operand) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool) and -(1 << 63) <= x < 1 << 63
+
+
+def _numeric(left: Operand, test: NumberTest, whole: bool, permissive: bool) -> Column:
+    """A test of the left side as a number, false on null.
+
+    With whole literals nearly every key is a whole number too, and those never go
+    through decimals.
+    """
+    decimal = test(_as_number(left, permissive), lambda n: F.lit(str(n)).cast(NUMBER))
+    if not whole:
+        return F.coalesce(decimal, F.lit(False))
+    as_long = test(_column(left).try_cast("bigint"), lambda n: F.lit(n).cast("bigint"))
+    return F.coalesce(as_long, decimal, F.lit(False))
 
 
 def _sure(condition: Column) -> Column:
@@ -67,8 +80,9 @@ def _known(condition: Column, *operands: Operand) -> Column:
 
 def eq(left: Operand, right: Operand, permissive: bool = False) -> Column:
     """Equal; two nulls are equal."""
-    a, b = _sides(left, right, permissive)
-    return a.eqNullSafe(b)
+    if _is_number(right):
+        return _numeric(left, lambda a, lit: a == lit(right), _is_long(right), permissive)
+    return _column(left).eqNullSafe(_column(right))
 
 
 def ne(left: Operand, right: Operand, permissive: bool = False) -> Column:
@@ -82,16 +96,21 @@ def compare(left: Operand, op: str, right: Operand, permissive: bool = False) ->
         return eq(left, right, permissive)
     if op in ("!=", "<>"):
         return ne(left, right, permissive)
-    a, b = _sides(left, right, permissive)
-    condition = _ORDER[op](a, b)
-    return _sure(condition) if _is_number(right) else _known(condition, left, right)
+    order = _ORDER[op]
+    if _is_number(right):
+        return _numeric(left, lambda a, lit: order(a, lit(right)), _is_long(right), permissive)
+    return _known(order(_column(left), _column(right)), left, right)
 
 
 def between(
     left: Operand, low: Operand, high: Operand, negate: bool = False, permissive: bool = False
 ) -> Column:
     """Both bounds included."""
-    inside = compare(left, ">=", low, permissive) & compare(left, "<=", high, permissive)
+    if _is_number(low) and _is_number(high):
+        whole = _is_long(low) and _is_long(high)
+        inside = _numeric(left, lambda a, lit: (a >= lit(low)) & (a <= lit(high)), whole, permissive)
+    else:
+        inside = compare(left, ">=", low, permissive) & compare(left, "<=", high, permissive)
     return ~inside if negate else inside
 
 
@@ -108,9 +127,8 @@ def in_list(
         if len(known) < len(texts):
             found = found | _column(left).isNull()
     if numbers:
-        # Decimal() keeps the text exact; the literals share one type for a hash lookup
-        as_decimal = [F.lit(str(n)).cast(NUMBER) for n in numbers]
-        found = found | _sure(_as_number(left, permissive).isin(as_decimal))
+        whole = all(_is_long(n) for n in numbers)
+        found = found | _numeric(left, lambda a, lit: a.isin([lit(n) for n in numbers]), whole, permissive)
     return ~found if negate else found
 
 

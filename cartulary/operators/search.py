@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 
 from ..functions import documents as J
 from ..functions.skew import join_hot
-from .resolve import any_below
+from .resolve import ancestors
 
 # Members of a definition document that are searchable.
 SEARCHABLE = (
@@ -91,12 +91,21 @@ def search_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def docs_under(docs: DataFrame, roots: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Live documents in the named subtrees but not in the excluded ones."""
+    """Live documents in the named subtrees but not in the excluded ones.
+
+    Names unfold once: included and excluded roots meet them in the same join, and
+    each name folds to two flags.
+    """
     live = docs.filter(~F.col("deleted"))
-    inside = any_below(live, roots, "name", "root", include_self=True)
+    marks = roots.select("root", F.lit(True).alias("_in"), F.lit(False).alias("_out"))
     if excluded is not None:
-        inside = inside.join(any_below(live, excluded, "name", "root", include_self=True), "name", "left_anti")
-    return live.join(inside, "name", "left_semi")
+        out = excluded.select("root", F.lit(False).alias("_in"), F.lit(True).alias("_out"))
+        marks = marks.unionByName(out)
+    flags = [F.max("_in").alias("_in"), F.max("_out").alias("_out")]
+    unfolded = live.select("name", F.explode(ancestors(F.col("name"), include_self=True)).alias("root"))
+    met = join_hot(unfolded, marks.groupBy("root").agg(*flags), ["root"], "inner", ["name"])
+    chosen = met.groupBy("name").agg(*flags).filter(F.col("_in") & ~F.col("_out"))
+    return live.join(chosen.select("name"), "name", "left_semi")
 
 
 def unmarked(
