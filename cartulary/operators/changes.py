@@ -17,6 +17,10 @@ def _blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
+# What an altered partition keeps from the stored one.
+KEPT = ("create_time", "last_modified", "params")
+
+
 def plan_partition_save(
     existing: DataFrame,
     incoming: DataFrame,
@@ -25,20 +29,19 @@ def plan_partition_save(
     alter: bool = False,
     path_only: bool = False,
 ) -> DataFrame:
-    """What saving ``incoming`` does: ``(table_name, part_name, uri, create_time, action)``.
+    """What saving ``incoming`` does: its rows with an ``action``.
 
     ``action`` is added, unchanged (same uri), replaced (dropped and added again),
-    altered (keeps its dates) or deleted.  A blank uri inherits the stored one.
-    With neither flag nothing is looked up and everything is added.  ``path_only``
-    is the store that only tracks paths: no uri means unchanged and a new uri
-    alters the row in place.
+    altered (keeps its dates and parameters) or deleted.  A blank uri inherits the
+    stored one.  With neither flag nothing is looked up and everything is added.
+    ``path_only`` is the store that only tracks paths: no uri means unchanged and a new
+    uri alters the row in place.
     """
-    new = incoming.select(*ID, "uri", "create_time")
+    kept = [c for c in KEPT if c in existing.columns and c in incoming.columns]
+    new = incoming.select(*ID, "uri", *kept)
     if check or alter:
-        old = existing.select(
-            *ID, F.col("uri").alias("_uri"), F.col("create_time").alias("_time"), F.lit(True).alias("_known")
-        )
-        both = new.join(old, ID, "left")
+        stored = [F.col(c).alias(f"_{c}") for c in ("uri", *kept)]
+        both = new.join(existing.select(*ID, *stored, F.lit(True).alias("_known")), ID, "left")
         same = F.col("uri").eqNullSafe(F.col("_uri"))
         if path_only:
             same = same | F.col("uri").isNull()
@@ -46,24 +49,29 @@ def plan_partition_save(
         action = (
             F.when(F.col("_known").isNull(), "added").when(same, "unchanged").otherwise(changed)
         )
-        keeps_time = action.isin("altered", "unchanged")
+        inherits = F.col("_known") & _blank(F.col("uri"))
+        keeps = action.isin("altered", "unchanged")
         plan = both.select(
             *ID,
-            F.when(F.col("_known") & _blank(F.col("uri")), F.col("_uri")).otherwise(F.col("uri")).alias("uri"),
-            F.when(keeps_time, F.col("_time")).otherwise(F.col("create_time")).alias("create_time"),
+            F.when(inherits, F.col("_uri")).otherwise(F.col("uri")).alias("uri"),
+            *[F.when(keeps, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in kept],
             action.alias("action"),
         )
     else:
         plan = new.withColumn("action", F.lit("added"))
     if deletes is not None:
         gone = existing.join(deletes.select(*ID), ID, "left_semi")
-        plan = plan.unionByName(gone.select(*ID, "uri", "create_time", F.lit("deleted").alias("action")))
+        plan = plan.unionByName(gone.select(*ID, "uri", *kept, F.lit("deleted").alias("action")))
     return plan
 
 
 def apply_partition_save(existing: DataFrame, plan: DataFrame) -> DataFrame:
-    """The inventory after a plan."""
-    columns = [*ID, "uri", "create_time"]
+    """The inventory after a plan.
+
+    A plan is small next to the inventory, so the inventory is only anti-joined; the
+    plan is read twice and worth keeping when it is costly.
+    """
+    columns = [c for c in plan.columns if c != "action"]
     touched = plan.filter(F.col("action") != "unchanged").select(*ID)
     written = plan.filter(F.col("action").isin("added", "replaced", "altered"))
     return existing.select(*columns).join(touched, ID, "left_anti").unionByName(written.select(*columns))
@@ -145,8 +153,11 @@ def rename_tables(
     tables: DataFrame, defs: DataFrame, tags: DataFrame, edges: DataFrame, mapping: DataFrame
 ) -> dict[str, DataFrame]:
     """Rename tables by ``(old, new)`` with everything keyed by their name."""
+    parts = F.split("name", "/")
+    levels = ("catalog_name", "database_name", "table_name")
+    spelled = {c: F.get(parts, F.lit(i)) for i, c in enumerate(levels) if c in tables.columns}
     return {
-        "tables": rename_keys(tables, mapping, "name", replace_target=False),
+        "tables": rename_keys(tables, mapping, "name", replace_target=False).withColumns(spelled),
         "defs": rename_keys(defs, mapping, "name", replace_target=True),
         "tags": rename_tags(tags, mapping),
         "edges": rename_entity(edges, mapping),

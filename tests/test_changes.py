@@ -85,6 +85,41 @@ def test_saving_and_applying_reaches_the_request(spark, small):
     assert values(twice, *P.ID, "uri") == values(after, *P.ID, "uri")
 
 
+def test_altered_partitions_keep_what_they_had(spark):
+    columns = "table_name string, part_name string, uri string, create_time int, params map<string,string>"
+    stored = spark.createDataFrame([("t", "a=1", "s3://1", 1, {"x": "1"}), ("t", "a=2", "s3://2", 2, {})], columns)
+    asked = spark.createDataFrame(
+        [("t", "a=1", "s3://new", 9, {"y": "2"}), ("t", "a=2", None, 9, None), ("t", "a=3", "s3://3", 9, {})], columns
+    )
+    shown = ["part_name", "uri", "create_time", "params", "action"]
+    altered = C.plan_partition_save(stored, asked, alter=True)
+    assert [tuple(r) for r in altered.orderBy("part_name").select(*shown).collect()] == [
+        ("a=1", "s3://new", 1, {"x": "1"}, "altered"),
+        ("a=2", "s3://2", 2, {}, "altered"),
+        ("a=3", "s3://3", 9, {}, "added"),
+    ]
+    replaced = C.plan_partition_save(stored, asked, asked.filter("part_name = 'a=9'"))
+    assert [r.action for r in replaced.orderBy("part_name").collect()] == ["replaced", "replaced", "added"]
+    paths = C.plan_partition_save(stored, asked, path_only=True)
+    assert [r.action for r in paths.orderBy("part_name").collect()] == ["altered", "unchanged", "added"]
+    after = C.apply_partition_save(stored, altered)
+    assert after.count() == 3 and set(after.columns) == set(stored.columns)
+
+
+def test_renamed_tables_spell_their_new_parts(spark):
+    tables = spark.createDataFrame([("c/d/t", "c", "d", "t")], "name string, catalog_name string, database_name string, table_name string")
+    mapping = spark.createDataFrame([("c/d/t", "c/e/u")], "old string, new string")
+    docs = spark.createDataFrame([("c/d/t", "{}"), ("c/e/u", "{1}")], "name string, data string")
+    tags = spark.createDataFrame([("c/d/t", "x"), ("c/e/u", "y")], "name string, tag string")
+    edges = spark.createDataFrame([("c/d/t", "p", "c/d/k", "k", "clone")], "parent string, parent_uuid string, child string, child_uuid string, relation_type string")
+    after = C.rename_tables(tables, docs, tags, edges, mapping)
+    assert tuple(after["tables"].first()) == ("c/e/u", "c", "e", "u")
+    # what stood under the new name makes room
+    assert values(after["defs"], "name", "data") == [("c/e/u", "{}")]
+    assert values(after["tags"], "name", "tag") == [("c/e/u", "x")]
+    assert values(after["edges"], "parent", "child") == [("c/e/u", "c/d/k")]
+
+
 def test_overlay_counts_distinct_names(spark, small):
     b = Bindings(spark, small)
     columns = [*P.ID, "uri"]
