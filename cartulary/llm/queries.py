@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, mixing, packing, simhash
+from . import exact, language, mixing, packing, pages, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,12 +41,22 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    text = pages.extract(F.col("html"))
+    return table(spark, folder, "pages").select("page_id", "url", text.alias("text")).withColumn(
+        "n_chars", F.char_length("text").cast("long")
+    )
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op5_language_id, op8_simhash, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_best_fit_packing, op5_language_id, op8_simhash, op9_html_extraction, op10_mixing,
+    )
 }
 
 SQL = {
