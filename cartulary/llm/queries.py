@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, mixing, packing, pages, simhash
+from . import exact, language, mixing, packing, pages, scoring, simhash, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,12 +28,20 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score_documents(table(spark, folder, "documents"), held_out(10))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", held_out(5))
     found = language.identify(docs, docs.where(~F.col("held_out")))
     return found.select("doc_id", "held_out", "language.*")
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(table(spark, folder, "documents"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, folder, "documents"))
     return groups.select(
@@ -55,7 +63,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_best_fit_packing, op5_language_id, op8_simhash, op9_html_extraction, op10_mixing,
+        op1_exact_dedup, op2_best_fit_packing, op4_lm_scoring, op5_language_id, op6_token_counts, op8_simhash,
+        op9_html_extraction, op10_mixing,
     )
 }
 
