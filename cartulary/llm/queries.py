@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, mixing, packing, pages, scoring, simhash, tokens
+from . import exact, language, lines, mixing, packing, pages, scoring, simhash, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.drop_copied_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "line_dedup.*")
+
+
 def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.score_documents(table(spark, folder, "documents"), held_out(10))
 
@@ -63,7 +68,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_best_fit_packing, op4_lm_scoring, op5_language_id, op6_token_counts, op8_simhash,
+        op1_exact_dedup, op2_best_fit_packing, op3_line_dedup, op4_lm_scoring, op5_language_id, op6_token_counts, op8_simhash,
         op9_html_extraction, op10_mixing,
     )
 }
