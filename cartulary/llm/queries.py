@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, lines, mixing, packing, pages, scoring, simhash, tokens
+from . import exact, language, lines, mixing, packing, pages, scoring, simhash, tokens, vectors
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = vectors.near_vectors(table(spark, folder, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, folder, "documents"))
     return groups.select(
@@ -68,8 +73,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_best_fit_packing, op3_line_dedup, op4_lm_scoring, op5_language_id, op6_token_counts, op8_simhash,
-        op9_html_extraction, op10_mixing,
+        op1_exact_dedup, op2_best_fit_packing, op3_line_dedup, op4_lm_scoring, op5_language_id, op6_token_counts,
+        op7_embedding_dedup, op8_simhash, op9_html_extraction, op10_mixing,
     )
 }
 
