@@ -18,11 +18,11 @@ FINE = 4096
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, fine: int = FINE) -> np.ndarray:
-    """How many documents of each length to take so that their lengths sum as near below ``budget`` as found.
+    """How many documents of each length to take so that their lengths sum as near to ``budget`` as found.
 
-    All lengths first give the same share of their documents; longest first, further documents bring the
-    rest of the budget down to about ``fine``; that rest is a bounded knapsack over the documents left,
-    solved exactly.  ``lengths`` are distinct and positive.  The work depends on the number of distinct
+    All lengths first give the same share of their documents, until about ``fine`` is left; longest first,
+    further documents make up for rounding; the rest is a bounded knapsack over the documents left, solved
+    exactly.  A budget below ``fine`` is solved exactly as a whole.  ``lengths`` are distinct and positive.  The work depends on the number of distinct
     lengths and on ``fine``, never on the number of documents.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
@@ -31,7 +31,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, fine: int =
         return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
+    taken = np.array([int(c) * max(0, budget - fine) // total for c in counts], dtype=np.int64)
     rest = budget - int((taken * lengths).sum())
     order = np.argsort(-lengths)
     for i in order:
@@ -41,17 +41,21 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, fine: int =
     # reachable sums as the bits of an integer, one integer for each pack of equal lengths
     packs: list[tuple[int, int]] = []
     for i in order:
-        left, size = min(int(counts[i] - taken[i]), rest // int(lengths[i])), 1
+        left, size = min(int(counts[i] - taken[i]), 2 * rest // int(lengths[i])), 1
         while left > 0:
             packs.append((i, min(size, left)))
             left -= size
             size *= 2
-    within, reach = (1 << (rest + 1)) - 1, [1]
+    within, reach = (1 << (2 * rest + 1)) - 1, [1]
     for i, n in packs:
-        reach.append(reach[-1] | (reach[-1] << (n * int(lengths[i]))) & within)
-        if reach[-1] >> rest:
+        reach.append((reach[-1] | (reach[-1] << (n * int(lengths[i])))) & within)
+        if reach[-1] >> rest & 1:
             break
-    at = reach[-1].bit_length() - 1
+    at = (reach[-1] & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> rest
+    over = rest + (above & -above).bit_length() - 1 if above else None
+    if over is not None and over - rest < rest - at:
+        at = over
     for k in range(len(reach) - 1, 0, -1):
         if not reach[k - 1] >> at & 1:
             i, n = packs[k - 1]
