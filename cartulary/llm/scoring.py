@@ -28,11 +28,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WORDS = 3_000_000  # words that a block holds, about
 WIDTH = 24  # of the vectors
 STEP = 16  # targets of a window
-REACH = 16  # subwords before its first target that a window sees
-SINGLE, GROUPS = 128, 32  # classes that the model tells apart: frequent subwords, and groups of the others
+REACH = 8  # subwords before its first target that a window sees
+SINGLE, GROUPS = 64, 32  # classes that the model tells apart: frequent subwords, and groups of the others
 BEFORE = 256, 64  # the same for the subword before a target, in the counts of what follows it
 SPREAD = 8  # in training, a window's loss is taken at every eighth of its targets, by turns
-BATCH = 256  # windows
+BATCH, STEPPED = 128, 256  # windows scored at a time, and windows of one training step
 PRIOR = 20.0  # weight of a subword's plain share of its class, in counts
 MIX = 0.5  # weight of the words' own counts in the probability of a word
 
@@ -63,7 +63,8 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Subword ids of each word, as it stands after a space."""
-        return [encoder(self.ranks, self.pattern).encode_ordinary(" " + w.decode()) for w in words]
+        encode = encoder(self.ranks, self.pattern).encode_ordinary  # once: finding it compares the whole file
+        return [encode(" " + w.decode()) for w in words]
 
 
 BLOCK = (
@@ -230,40 +231,43 @@ def _by_frequency(counts: np.ndarray, single: int, groups: int) -> np.ndarray:
     return numbers
 
 
-def windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end: int, reach: int = REACH, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping windows over documents that lie in ``ids`` at ``starts``, each closed by the end.
 
-    Returns context ids (windows x REACH + STEP), -1 where there is none; targets (windows x STEP), -1 beyond
-    the document; and each window's document.  Each target stands in one window; the context of target i is
-    the end (for the beginning) and what precedes it, to REACH before the window's first target at least.
+    Returns context ids (windows x reach + step), -1 where there is none, and targets (windows x step), -1
+    beyond the document.  Each target stands in one window, in order; before it stand the end (for the
+    beginning) and the subwords that precede it, back to ``reach`` before the window's first target.
     """
-    per = -(-sizes // STEP)
-    doc = np.repeat(np.arange(len(sizes)), per)
-    first = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * STEP
-    at = first[:, None] + np.arange(STEP)
-    inside = at < sizes[doc][:, None]
-    target = np.where(inside, ids[np.minimum(starts[doc][:, None] + at, len(ids) - 1)], -1)
-    before = first[:, None] + np.arange(-REACH, STEP) - 1  # the subword that precedes each target
-    seen = (before >= 0) & (before < sizes[doc][:, None])
-    context = np.where(seen, ids[np.clip(starts[doc][:, None] + before, 0, len(ids) - 1)], -1)
-    context[before == -1] = end
-    return context, target, doc
-
-
-def attend(tables, near: np.ndarray, context: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    per = -(-sizes // step)
+    first = (np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)) * step
+    start, size = np.repeat(starts, per), np.repeat(sizes, per)
+    # one padded row of ids for contexts and targets: from reach + 1 before the first target on
+    place = first[:, None] + np.arange(-reach - 1, step)
+    row = ids[np.clip(start[:, None] + place, 0, len(ids) - 1)]
+    row[(place < 0) | (place >= size[:, None])] = -1
+    row[place == -1] = end
+    target = row[:, reach + 1 :]
+    context = row[:, :-1]
+    return context, target
+
+
+def attend(tables, near: np.ndarray, context: np.ndarray, at: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """Attention weights (windows x targets x context) and hidden vectors of the targets at the places ``at``.
 
     ``context`` numbers rows of ``tables``, -1 is nothing.  A target sees what stands before it in the window.
     """
     q, k, direct, value = tables
-    known, query = np.maximum(context, 0), context[:, REACH + at]
-    back = REACH + at[:, None] - np.arange(REACH + STEP)[None, :]
-    scores = q[query] @ k[known].transpose(0, 2, 1) + near[np.maximum(back, 0)]
-    scores = np.where((back >= 0)[None] & (context >= 0)[:, None, :], scores, np.float32(-1e9))
+    known, query = np.maximum(context, 0), np.maximum(context[:, reach + at], 0)
+    back = reach + at[:, None] - np.arange(context.shape[1])[None, :]
+    scores = q[query] @ k[known].transpose(0, 2, 1)
+    scores += np.where(back >= 0, near[np.maximum(back, 0)], np.float32(-1e9))
+    scores += np.where(context >= 0, np.float32(0), np.float32(-1e9))[:, None, :]
     scores -= scores.max(axis=2, keepdims=True)
-    weights = np.exp(scores)
+    weights = np.exp(scores, out=scores)
     weights /= weights.sum(axis=2, keepdims=True)
-    return weights, np.tanh(direct[query] + weights @ value[known])
+    hidden = weights @ value[known]
+    hidden += direct[query]
+    return weights, np.tanh(hidden, out=hidden)
 
 
 def class_log_odds(model: Model, hidden: np.ndarray) -> np.ndarray:
@@ -274,7 +278,7 @@ def class_log_odds(model: Model, hidden: np.ndarray) -> np.ndarray:
 
 def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``values`` by their row number."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.int16) if n < 1 << 15 else rows, kind="stable")  # short ones: a radix sort
     ordered = rows[order]
     edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     out = np.zeros((n, values.shape[1]), dtype=np.float32)
@@ -282,30 +286,35 @@ def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def learn(model: Model, squares: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, at: np.ndarray, rate: float) -> None:
+def learn(model: Model, squares: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, at: np.ndarray, rate: float, reach: int = REACH) -> None:
     """One Adagrad step on the mean loss of the targets at the places ``at`` of each window."""
-    ids, local = np.unique(context, return_inverse=True)
-    skip = int(ids[0] == -1)
-    ids, local = ids[skip:], local.reshape(context.shape) - skip
+    met = np.zeros(len(model.x) + 1, dtype=bool)
+    met[context] = True  # -1 is the last
+    ids = np.flatnonzero(met[:-1])
+    number = np.full(len(met), -1)
+    number[ids] = np.arange(len(ids))
+    local = number[context]
     x = model.x[ids]
     q, k, direct, value = tables = model.tables(x)
     y = target[:, at]
     real = y >= 0
     n = max(1, int(real.sum()))
-    weights, hidden = attend(tables, model.near, np.where(context < 0, -1, local), at)
-    slope = np.exp(class_log_odds(model, hidden))
+    weights, hidden = attend(tables, model.near, local, at, reach)
+    slope = np.exp(class_log_odds(model, hidden.reshape(-1, WIDTH))).reshape(*hidden.shape[:2], -1)
     w, t = np.nonzero(real)
     slope[w, t, model.classes[y[w, t]]] -= 1
     slope *= real[:, :, None] / np.float32(n)
 
-    known, query = np.maximum(local, 0), np.maximum(local[:, REACH + at], 0)
-    d_hidden = (slope @ model.out.T) * (1 - hidden * hidden)
+    known, query = np.maximum(local, 0), np.maximum(local[:, reach + at], 0)
+    d_hidden = (slope.reshape(-1, slope.shape[2]) @ model.out.T).reshape(hidden.shape) * (1 - hidden * hidden)
     d_weights = d_hidden @ value[known].transpose(0, 2, 1)
     d_scores = weights * (d_weights - (d_weights * weights).sum(axis=2, keepdims=True))
-    back = np.maximum(REACH + at[:, None] - np.arange(REACH + STEP)[None, :], 0)
-    as_key = np.concatenate([d_scores.transpose(0, 2, 1) @ q[query], weights.transpose(0, 2, 1) @ d_hidden], axis=2)
-    as_query = np.concatenate([d_scores @ k[known] * np.float32(WIDTH**-0.5), d_hidden], axis=2)
+    back = np.maximum(reach + at[:, None] - np.arange(context.shape[1])[None, :], 0)
     d = WIDTH
+    as_key = np.empty((*known.shape, 2 * d), dtype=x.dtype)
+    np.matmul(d_scores.transpose(0, 2, 1), q[query], out=as_key[:, :, :d])
+    np.matmul(weights.transpose(0, 2, 1), d_hidden, out=as_key[:, :, d:])
+    as_query = np.concatenate([d_scores @ k[known] * np.float32(WIDTH**-0.5), d_hidden], axis=2)
     key = _by_row(known.ravel(), as_key.reshape(-1, 2 * d), len(ids))
     own = _by_row(query.ravel(), as_query.reshape(-1, 2 * d), len(ids))
     d_k, d_b, d_q, d_a = key[:, :d], key[:, d:], own[:, :d], own[:, d:]
@@ -403,11 +412,12 @@ def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.1) ->
                 wanted = np.flatnonzero(~np.asarray(row.held, dtype=bool))
                 for _, ids, starts, sizes in documents(row.sizes, row.codes, row.subs, row.sub_sizes, end, wanted):
                     seen[ids] = True
-                    context, target, _ = windows(ids, starts, sizes, end)
+                    # windows side by side, and as wide as those for scoring: each subword is a key once
+                    context, target = windows(ids, starts, sizes, end, 0, REACH + STEP)
                     mixed = np.random.default_rng(len(ids)).permutation(len(context))
-                    for at in range(0, len(mixed), BATCH):
-                        part = mixed[at : at + BATCH]
-                        learn(own, squares, context[part], target[part], np.arange(steps % SPREAD, STEP, SPREAD), rate)
+                    for at in range(0, len(mixed), STEPPED):
+                        part = mixed[at : at + STEPPED]
+                        learn(own, squares, context[part], target[part], np.arange(steps % SPREAD, REACH + STEP, SPREAD), rate, 0)
                         steps += 1
                     total += len(mixed)
         if not total:
@@ -436,15 +446,20 @@ def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.1) ->
 def score_windows(model: Model, tables, within, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The natural log probability of each target, 0 where there is none."""
     everywhere, out = np.arange(STEP), np.zeros(target.shape, dtype=np.float32)
-    pairs, of_class = within
+    (pairs, of_class), prior = within, (PRIOR * model.share).astype(np.float32)
     for at in range(0, len(context), BATCH):
         y = target[at : at + BATCH]
         _, hidden = attend(tables, model.near, context[at : at + BATCH], everywhere)
-        real, y = y >= 0, np.maximum(y, 0)
-        kind, before = model.classes[y], model.before[context[at : at + BATCH, REACH:]]
-        found = np.take_along_axis(class_log_odds(model, hidden), kind[:, :, None], axis=2)[:, :, 0]
-        found += np.log(pairs[before, model.columns[y]] + PRIOR * model.share[y]) - of_class[before, kind]
-        out[at : at + BATCH] = np.where(real, found, 0)
+        z = hidden.reshape(-1, WIDTH) @ model.out
+        z += model.bias
+        real, y = (y >= 0).ravel(), np.maximum(y, 0).ravel()
+        kind, before = model.classes[y], model.before[context[at : at + BATCH, REACH:].ravel()]
+        found = z[np.arange(len(y)), kind]
+        top = z.max(axis=1)
+        z -= top[:, None]
+        found -= top + np.log(np.exp(z, out=z).sum(axis=1))
+        found += np.log(pairs[before, model.columns[y]] + prior[y]) - of_class[before, kind]
+        out[at : at + BATCH] = np.where(real, found, 0).reshape(-1, STEP)
     return out
 
 
@@ -494,7 +509,7 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str = VOCABUL
                 plain, plain_end = np.log(MIX * c / max(total, 1)), np.log(MIX * n_ends / max(total, 1))
             score = np.zeros(len(sizes))
             for part, ids, starts, lengths in documents(row.sizes, row.codes, row.subs, row.sub_sizes, end, np.arange(len(sizes))):
-                context, target, _ = windows(ids, starts, lengths, end)
+                context, target = windows(ids, starts, lengths, end)
                 found = score_windows(model, tables, within, context, target)[target >= 0].astype(np.float64)
                 # a token's subwords lie side by side; the end is a token of its own
                 code = codes[_runs(np.cumsum(sizes)[part] - sizes[part], sizes[part].astype(np.int64))]
