@@ -289,9 +289,9 @@ def table_is_external(b: Bindings) -> DataFrame:
         CASE p_type WHEN 'ECONOMY' THEN 'varchar(' || p_size || ')' WHEN 'SMALL' THEN 'array<decimal(' || p_size || ',2)>'
              WHEN 'MEDIUM' THEN 'timestamp with time zone' WHEN 'PROMO' THEN 'varchar(256)'
              WHEN 'LARGE' THEN 'array<row<a:decimal(' || p_size || ',1)>>' ELSE 'unknown' END AS canonical_type,
-        CASE p_type WHEN 'ECONOMY' THEN 'varchar(' || p_size || ')' WHEN 'SMALL' THEN 'array<decimal(' || p_size || ',2)>'
+        CASE p_type WHEN 'ECONOMY' THEN 'varchar(' || p_size || ')' WHEN 'SMALL' THEN CASE WHEN p_size > 38 THEN 'array<string>' ELSE 'array<decimal(' || greatest(p_size, 2) || ',2)>' END
              WHEN 'MEDIUM' THEN 'timestamp' WHEN 'PROMO' THEN 'varchar(256)'
-             WHEN 'LARGE' THEN 'array<struct<a:decimal(' || p_size || ',1)>>' ELSE 'string' END AS spark_type
+             WHEN 'LARGE' THEN 'array<struct<a:' || CASE WHEN p_size > 38 THEN 'string' ELSE 'decimal(' || p_size || ',1)' END || '>>' ELSE 'string' END AS spark_type
     FROM part""",
 )
 def types_normalize(b: Bindings) -> DataFrame:

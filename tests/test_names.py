@@ -125,49 +125,53 @@ def test_partition_time_in_any_session_zone(spark, zone):
     assert got == [w for _, _, w in cases]
 
 
-TYPES = [
-    ("mysql", "TINYINT(4)", "tinyint", "tinyint"),
-    ("mysql", "int(10) unsigned", "int", "int"),
-    ("mysql", "decimal", "decimal(10,0)", "decimal(10,0)"),
-    ("mysql", "decimal(5)", "decimal(5,0)", "decimal(5,0)"),
-    ("mysql", "decimal(5, 2)", "decimal(5,2)", "decimal(5,2)"),
-    ("mysql", "bit", "boolean", "boolean"),
-    ("mysql", "bit(1)", "boolean", "boolean"),
-    ("mysql", "bit(9)", "varbinary(2)", "binary"),
-    ("mysql", "char(42) binary", "varbinary(42)", "binary"),
-    ("mysql", "longblob", "varbinary(2147483647)", "binary"),
-    ("mysql", "double precision", "double", "double"),
-    ("mysql", "year", "unknown", "string"),
-    ("mysql", "json", "json", "string"),
-    ("mysql", "datetime", "timestamp", "timestamp_ntz"),
-    ("postgresql", "timestamp with time zone", "timestamp with time zone", "timestamp"),
-    ("postgresql", "timestamp(3) without time zone", "timestamp", "timestamp_ntz"),
-    ("postgresql", "time with time zone", "time with time zone", "string"),
-    ("postgresql", "int8[][]", "array<array<bigint>>", "array<array<bigint>>"),
-    ("postgresql", "character varying(10)", "varchar(10)", "varchar(10)"),
-    ("postgresql", "int array", "array<int>", "array<int>"),
-    ("postgresql", "bytea", "varbinary(2147483647)", "binary"),
-    ("postgresql", "uuid", "unknown", "string"),
-    ("redshift", "text", "varchar(256)", "varchar(256)"),
-    ("redshift", "bpchar", "char(256)", "char(256)"),
-    ("redshift", "float", "double", "double"),
-    ("redshift", "timestampz", "timestamp with time zone", "timestamp"),
-    ("snowflake", "number(38,0)", "decimal(38,0)", "decimal(38,0)"),
-    ("snowflake", "timestamp_ltz", "timestamp with time zone", "timestamp"),
-    ("snowflake", "byteint", "smallint", "smallint"),
-    ("snowflake", "variant", "unknown", "string"),
-    ("hive", "varchar", "string", "string"),
-    ("hive", "decimal(38, 9)", "decimal(38,9)", "decimal(38,9)"),
-    ("hive", "map<string,array<struct<a:decimal(3, 1),b:binary>>>", "map<string,array<row<a:decimal(3,1),b:varbinary>>>",
-     "map<string,array<struct<a:decimal(3,1),b:binary>>>"),
-    ("cassandra", "frozen<list<text>>", "array<string>", "array<string>"),
-    ("cassandra", "map<int, frozen<list<varint>>>", "map<int,array<int>>", "map<int,array<int>>"),
-    ("cassandra", "uuid", "unknown", "string"),
-    ("cassandra", "set<text>", "unknown", "string"),
-    ("pig", "chararray", "string", "string"),
-    ("pig", "bytearray", "varbinary", "binary"),
-    ("pig", "biginteger", "bigint", "bigint"),
+MYSQL = [
+    ("SmallInt(6)", "smallint", "smallint"), ("bigint(20) unsigned", "bigint", "bigint"), ("mediumint", "int", "int"),
+    ("dec", "decimal(10,0)", "decimal(10,0)"), ("decimal( 12 )", "decimal(12,0)", "decimal(12,0)"),
+    ("decimal(65,30)", "decimal(65,30)", "string"), ("bit(17)", "varbinary(3)", "binary"), ("bit", "boolean", "boolean"),
+    ("varchar(8) binary", "varbinary(8)", "binary"), ("char", "unknown", "string"), ("varchar(0)", "varchar(0)", "string"),
+    ("tinyblob", "varbinary(2147483647)", "binary"), ("DOUBLE  PRECISION", "double", "double"), ("json", "json", "string"),
+    ("datetime(6)", "timestamp", "timestamp_ntz"), ("enum('a','b(2)')", "unknown", "string"), ("", "unknown", "string"),
+    (None, "unknown", "string"), ("int(", "unknown", "string"),
+]
+POSTGRESQL = [
+    ("timestamp(6) with time zone", "timestamp with time zone", "timestamp"), ("timestamp", "timestamp", "timestamp_ntz"),
+    ("timestamp without time zone", "timestamp", "timestamp_ntz"), ("time(3) with time zone", "time with time zone", "string"),
+    ("varchar", "unknown", "string"), ("character varying(77)", "varchar(77)", "varchar(77)"), ("text[]", "array<string>", "array<string>"),
+    ("float8[][][]", "array<array<array<double>>>", "array<array<array<double>>>"), ("real array", "array<float>", "array<float>"),
+    ("bit varying(12)", "varbinary(2)", "binary"), ("numeric(1,3)", "decimal(1,3)", "decimal(3,3)"), ("time", "time", "string"), ("numeric(9,4)[]", "array<decimal(9,4)>", "array<decimal(9,4)>"), ("box", "unknown", "string"),
+]
+REDSHIFT = [
+    ("text(500)", "varchar(256)", "varchar(256)"), ("name", "varchar(256)", "varchar(256)"), ("bpchar(9)", "char(256)", "char(256)"),
+    ("nvarchar(30)", "varchar(30)", "varchar(30)"), ("varchar", "varchar(256)", "varchar(256)"), ("varchar(-1)", "varchar(256)", "varchar(256)"),
+    ("oid", "bigint", "bigint"), ("super", "unknown", "string"),
+]
+SNOWFLAKE = [
+    ("string", "varchar(256)", "varchar(256)"), ("varchar(12)", "varchar(12)", "varchar(12)"), ("binary", "varbinary(256)", "binary"),
+    ("timestamp with local time zone", "timestamp with time zone", "timestamp"), ("timestamp_ntz(9)", "timestamp", "timestamp_ntz"),
+    ("number", "decimal(10,0)", "decimal(10,0)"), ("tinyint", "smallint", "smallint"), ("geography", "unknown", "string"),
 ]
+HIVE = [
+    ("struct<timestamp:bigint,json:string>", "row<timestamp:bigint,json:string>", "struct<timestamp:bigint,json:string>"),
+    ("struct<binary:int>", "row<binary:int>", "struct<binary:int>"), ("struct<Ab:Date,c-d:void>", "row<Ab:date,c-d:varbinary>", "struct<Ab:date,`c-d`:binary>"),
+    ("array< map<string , varchar(4)> >", "array<map<string,varchar(4)>>", "array<map<string,varchar(4)>>"),
+    ("varchar", "string", "string"), ("decimal", "decimal(10,0)", "decimal(10,0)"), ("array<interval>", "array<unknown>", "array<string>"),
+    ("uniontype<int,string>", "unknown", "string"), ("map<int>", "unknown", "string"), ("array<int", "unknown", "string"),
+    ("array<" * 40 + "int" + ">" * 40, "array<" * 40 + "int" + ">" * 40, "array<" * 40 + "int" + ">" * 40),
+]
+CASSANDRA = [
+    ("tuple<int,text>", "row<field0:int,field1:string>", "struct<field0:int,field1:string>"), ("set<frozen<list<int>>>", "unknown", "string"),
+    ("frozen<map<ascii,frozen<list<frozen<tuple<counter,blob>>>>>>", "map<string,array<row<field0:bigint,field1:varbinary(2147483647)>>>",
+     "map<string,array<struct<field0:bigint,field1:binary>>>"),
+    ("list<set<int>>", "array<unknown>", "array<string>"), ("timeuuid", "unknown", "string"),
+]
+PIG = [("long", "bigint", "bigint"), ("bigdecimal", "double", "double"), ("byte", "varbinary", "binary")]
+TYPES = [
+    (dialect.lower(), *row)
+    for dialect, rows in (("MYSQL", MYSQL), ("POSTGRESQL", POSTGRESQL), ("REDSHIFT", REDSHIFT), ("SNOWFLAKE", SNOWFLAKE),
+                          ("HIVE", HIVE), ("CASSANDRA", CASSANDRA), ("PIG", PIG))
+    for row in rows
+]
 
 
 def test_types(spark):
@@ -177,6 +181,7 @@ def test_types(spark):
 
 
 
-def test_spark_types_parse(spark):
-    for ddl in {t for _, _, _, t in TYPES}:
-        assert StructType.fromDDL(f"x {ddl}").names == ["x"]
+def test_spark_types_are_types_of_spark(spark):
+    kinds = sorted({t for _, _, _, t in TYPES})
+    row = spark.range(1).select(*[F.lit(None).cast(k).alias(f"c{i}") for i, k in enumerate(kinds)])
+    assert row.collect() and StructType.fromDDL("x int").names == ["x"]
