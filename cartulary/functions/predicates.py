@@ -7,8 +7,8 @@ and ``~`` combine exactly as plain logic:
   orderings false; the negated forms of ``between``, ``in_list`` and ``like``
   are therefore true on it;
 * the literal picks the comparison: text compares as text (``'12' < '2'``), a
-  number compares as a decimal (``12 < 2`` is false).  With
-  ``permissive=True`` a key that is no number counts as null instead of failing.
+  number compares as a number, exactly and at any length (``12 < 2`` is false).
+  With ``permissive=True`` a key that is no number counts as null instead of failing.
 
 ``&`` and ``|`` need parentheses in Python: write ``(a) & ((b) | (c))``.
 """
@@ -23,7 +23,8 @@ from decimal import Decimal
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
-NUMBER = "decimal(38,18)"
+# For numbers with an exponent only: plain ones are compared digit by digit.
+EXPONENTIAL = "decimal(38,18)"
 
 Operand = Column | str | int | float | Decimal | None
 NumberTest = Callable[[Column, Callable[[Operand], Column]], Column]
@@ -43,9 +44,31 @@ def _column(x: Operand) -> Column:
     return F.lit(str(x))
 
 
+def _ordered(plain: Column) -> Column:
+    """A text that sorts as the plain decimal number does: sign, number of whole digits, digits; below zero
+    every digit is turned round."""
+    whole = F.regexp_extract(plain, r"^[+-]?0*(\d*)", 1)
+    part = F.regexp_extract(plain, r"\.(\d*?)0*$", 1)
+    size = F.concat(F.lpad(F.length(whole).cast("string"), 10, "0"), whole, F.lit("."), part)
+    below = plain.startswith("-") & ((whole != "") | (part != ""))
+    turned = F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit(":"))
+    return F.when(below, turned).otherwise(F.concat(F.lit("1"), size))
+
+
+def _ordered_literal(n: int | float | Decimal) -> str:
+    """The same text for a literal."""
+    sign, whole, _, part = re.fullmatch(r"(-?)0*(\d*)(\.(\d*?)0*)?", format(Decimal(str(n)), "f")).groups()
+    size = f"{len(whole):010d}{whole}.{part or ''}"
+    if sign and (whole or part):
+        return "0" + size.translate(str.maketrans("0123456789", "9876543210")) + ":"
+    return "1" + size
+
+
 def _as_number(x: Operand, permissive: bool) -> Column:
-    column = _column(x)
-    return column.try_cast(NUMBER) if permissive else column.cast(NUMBER)
+    """The operand as an ordered text; null, or an error, for what is no number."""
+    text = F.trim(_column(x))
+    other = (text.try_cast(EXPONENTIAL) if permissive else text.cast(EXPONENTIAL)).cast("string")
+    return F.when(text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), _ordered(text)).when(other.isNotNull(), _ordered(other))
 
 
 def _is_long(x: Operand) -> bool:
@@ -55,14 +78,14 @@ def _is_long(x: Operand) -> bool:
 def _numeric(left: Operand, test: NumberTest, whole: bool, permissive: bool) -> Column:
     """A test of the left side as a number, false on null.
 
-    With whole literals nearly every key is a whole number too, and those never go
-    through decimals.
+    With whole literals nearly every key is a whole number too, and those are
+    compared as longs.
     """
-    decimal = test(_as_number(left, permissive), lambda n: F.lit(str(n)).cast(NUMBER))
+    exact = test(_as_number(left, permissive), lambda n: F.lit(_ordered_literal(n)))
     if not whole:
-        return F.coalesce(decimal, F.lit(False))
+        return F.coalesce(exact, F.lit(False))
     as_long = test(_column(left).try_cast("bigint"), lambda n: F.lit(n).cast("bigint"))
-    return F.coalesce(as_long, decimal, F.lit(False))
+    return F.coalesce(as_long, exact, F.lit(False))
 
 
 def _sure(condition: Column) -> Column:

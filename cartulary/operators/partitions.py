@@ -115,41 +115,25 @@ def filter_by_names(parts: DataFrame, names: DataFrame) -> DataFrame:
     return parts.join(names.select(*ID), ID, "left_semi")
 
 
-# Largest head of a sorted listing that is found as a top-k, which one task merges.
-TOP_K_MOST = 100_000
-
-
 def sort_page(
     df: DataFrame,
     by: list[Column],
     unique: list[str],
     offset: int = 0,
     limit: int | None = None,
-    top_k_most: int = TOP_K_MOST,
 ) -> DataFrame:
-    """One page of a sorted listing; ``unique`` columns break ties.
-
-    A page near the head is a distributed top-k of ``offset + limit`` rows.  A shallow
-    offset without a limit only finds the skipped head that way and keeps the rest by an
-    anti join.  Anything deeper is cut out of ranges, see :func:`_page_of_ranges`; no
-    task ever sees the whole listing.
-    """
-    ordering = [*by, *[F.col(c) for c in unique]]
-    if offset + (limit or 0) > top_k_most:
-        return _page_of_ranges(df, ordering, offset, limit)
-    if limit is not None:
-        return df.orderBy(*ordering).offset(offset).limit(limit)
-    if offset:
-        head = df.orderBy(*ordering).limit(offset).select(*unique)
-        df = df.join(head, unique, "left_anti")
-    return df.orderBy(*ordering)
-
+    """One page of a sorted listing, columns as given; ``unique`` columns break ties, nulls come first.
 
-def _page_of_ranges(df: DataFrame, ordering: list[Column], offset: int, limit: int | None) -> DataFrame:
-    """A deep page: rows are kept in consecutive ranges, and only ranges the page touches are numbered.
-
-    What is summed in one place is one count per range.
+    Rows equal in ``by`` and ``unique`` are ordered by their other columns, so the page is the same however
+    the rows are spread; maps cannot be ordered and are left out of that.  Without an offset the page is a
+    distributed top-k of ``limit`` rows.  With one, of whatever size, the rows are kept in consecutive ranges and
+    only ranges the page touches are numbered; what is summed in one place is one count per range.
     """
+    rest = [f.name for f in df.schema if f.name not in unique and "map<" not in f.dataType.simpleString()]
+    ordering = [*by, *[F.col(f"`{c}`") for c in (*unique, *rest)]]
+    if not offset:
+        ordered = df.orderBy(*ordering)
+        return ordered if limit is None else ordered.limit(limit)
     ranged = df.repartitionByRange(*ordering).withColumn("_range", F.spark_partition_id())
     ranged = keep(ranged, "ranges")
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,13 +143,11 @@ def _page_of_ranges(df: DataFrame, ordering: list[Column], offset: int, limit: i
     if limit is not None:
         touched = touched.filter(F.col("_start") < offset + limit)
     inside = Window.partitionBy("_range").orderBy(*ordering)
-    numbered = ranged.join(touched, "_range").withColumn(
-        "_number", F.col("_start") + F.row_number().over(inside)
-    )
+    numbered = ranged.join(touched, "_range").withColumn("_number", F.col("_start") + F.row_number().over(inside))
     page = numbered.filter(F.col("_number") > offset)
     if limit is not None:
         page = page.filter(F.col("_number") <= offset + limit)
-    return page.select(*df.columns).orderBy(*ordering)
+    return page.orderBy("_number").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def list_partitions(
@@ -183,7 +165,7 @@ def list_partitions(
         parts = parts.filter(predicate)
     if sort is None and offset == 0 and limit is None:
         return parts
-    return sort_page(parts, sort or [], ["part_id"], offset, limit)
+    return sort_page(parts, sort or [], ["part_id", *ID], offset, limit)
 
 
 def partition_names(parts: DataFrame, **listing: object) -> DataFrame:
@@ -222,8 +204,8 @@ def match_partial_spec(parts: DataFrame, keys: list[str], values: list[str]) ->
     for name, value in zip(keys, values):
         if value == "":
             continue
-        literal = int(value) if re.fullmatch(r"[+-]?\d{1,18}", value) else value
-        condition = condition & Q.eq(key(name), literal)
+        literal = int(value) if re.fullmatch(r"[+-]?\d+", value) and -(1 << 63) <= int(value) < 1 << 63 else value
+        condition = condition & Q.eq(key(name), literal, permissive=True)
     return parts.filter(condition)
 
 

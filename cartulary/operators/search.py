@@ -31,9 +31,6 @@ SEARCHABLE = (
     "data_management",
 )
 
-# Most unmarked entities a reconciliation may delete, per kind.
-MOST_DELETED = {"database": 100, "table": 1000}
-
 
 def searchable_definition(document: Column) -> Column:
     """The searchable members of a definition document."""
@@ -117,17 +114,19 @@ def unmarked(
 
 
 def reconcile_targets(stale: DataFrame, live: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
-    """Unmarked documents whose entity is truly gone.
+    """Unmarked documents whose entity is truly gone, all of them, with ``held_back``: why one is not deleted yet.
 
-    A kind with more unmarked documents than its threshold is skipped whole; the
-    counts are one row per kind.
+    ``most`` bounds how many unmarked documents of a kind one run may delete; a kind above its bound is held back
+    whole.  Kinds without a bound never are.  The counts are one row per kind.
     """
-    most = MOST_DELETED if most is None else most
+    gone = stale.join(live.select("name"), "name", "left_anti")
+    if not most:
+        return gone.withColumn("held_back", F.lit(None).cast("string"))
     limits = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
-    counts = stale.groupBy("kind").agg(F.count("*").alias("_n"))
-    allowed = counts.filter(F.col("_n") <= limits[F.col("kind")]).select("kind")
-    kept = join_hot(stale, allowed, ["kind"], "left_semi", ["name"])
-    return kept.join(live.select("name"), "name", "left_anti")
+    counts = stale.groupBy("kind").agg(F.count("*").alias("_n")).withColumn("_most", F.try_element_at(limits, "kind"))
+    why = F.format_string("%d unmarked, %d allowed", F.col("_n"), F.col("_most"))
+    over = counts.filter(F.col("_n") > F.col("_most")).select("kind", why.alias("held_back"))
+    return join_hot(gone, over, ["kind"], "left", ["name"])
 
 
 def soft_delete_docs(docs: DataFrame, names: DataFrame, user: str, at: Column) -> DataFrame:
@@ -154,8 +153,8 @@ def reconcile(
     at: Column,
     most: dict[str, int] | None = None,
 ) -> DataFrame:
-    """The index after soft-deleting what a refresh did not find."""
-    gone = reconcile_targets(unmarked(docs, run, started, roots, excluded), live, most)
+    """The index after soft-deleting what a refresh did not find; what is held back stays."""
+    gone = reconcile_targets(unmarked(docs, run, started, roots, excluded), live, most).filter("held_back IS NULL")
     return soft_delete_docs(docs, gone, user, at)
 
 

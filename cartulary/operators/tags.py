@@ -11,9 +11,6 @@ from .metadata import rename_keys
 
 EDGE = ["name", "tag"]
 
-# Fixed value: most tags one include request may name.
-MOST_INCLUDED = 16
-
 
 def list_tags(tags: DataFrame) -> DataFrame:
     """The vocabulary."""
@@ -38,8 +35,6 @@ def list_tagged(
     One pass: each name folds to two flags before anything is shuffled.
     """
     include, exclude = include or [], exclude or []
-    if len(include) > MOST_INCLUDED:
-        raise ValueError(f"too many tags: {len(include)}")
     wanted = F.col("tag").isin(include) if include else F.lit(True)
     unwanted = F.col("tag").isin(exclude) if exclude else F.lit(False)
     flags = (

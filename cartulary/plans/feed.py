@@ -27,19 +27,18 @@ _PAYLOADS = """
     folded AS (SELECT update_id, 'u' || user_id AS table_name, shape, count(*) FILTER (op = 'add') AS created, count(*) FILTER (op = 'delete') AS deleted,
         max(value) FILTER (op = 'add' AND shape IN ('click', 'signup', 'purchase')) AS any_value,
         max(value) FILTER (op = 'add' AND shape IN ('click', 'signup', 'purchase') AND (CASE WHEN shape <> 'click' AND length(value) = 8 THEN t - 28800 ELSE t END) <= 1704931200) AS past,
-        max(value) FILTER (op = 'add' AND shape IN ('click', 'signup', 'purchase') AND t IS NULL) AS bad, count(*) AS n
+        max(value) FILTER (op = 'add' AND shape IN ('click', 'signup', 'purchase') AND t IS NULL) AS bad
         FROM changes JOIN defs ON table_id = user_id GROUP BY 1, 2, 3)
     SELECT update_id, table_name, created, deleted,
         CASE WHEN created > 0 AND past IS NOT NULL AND (bad IS NULL OR past > bad) THEN 'when=' || past END AS latest,
         CASE WHEN created = 0 THEN 'PARTITION_KEY_UNABLED' WHEN shape = 'view' THEN 'MISSING_METADATA_INFO_FOR_PARTITION_KEY'
             WHEN shape = 'error' THEN 'EMPTY_DELETE_COLUMN' WHEN any_value IS NULL THEN 'NO_CANDIDATE_PARTITION_KEYS'
             WHEN past IS NOT NULL AND (bad IS NULL OR past > bad) THEN 'ATTACHED_VALID_PARITITION_KEY'
-            WHEN bad IS NOT NULL THEN 'INVALID_PARTITION_KEY_FORMAT' ELSE 'ALL_FUTURE_PARTITION_KEYS' END AS message, CASE WHEN n > 1000 THEN 0 ELSE n END AS names
+            WHEN bad IS NOT NULL THEN 'INVALID_PARTITION_KEY_FORMAT' ELSE 'ALL_FUTURE_PARTITION_KEYS' END AS message
     FROM folded"""
 
 
-@query("feed_update_payloads", "O-100", sql=f"WITH {_PAYLOADS}")
-def feed_update_payloads(b: Bindings) -> DataFrame:
+def _update_changes(b: Bindings) -> DataFrame:
     kind = F.col("event_type")
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     value = (
@@ -48,12 +47,16 @@ def feed_update_payloads(b: Bindings) -> DataFrame:
         .when(kind == "view", "0soon")
         .otherwise("__HIVE_DEFAULT_PARTITION__")
     )
-    changes = b.table("events").select(
+    return b.table("events").select(
         F.concat(user, F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("update_id"),
         user.alias("table_name"),
         F.when(kind == "error", "delete").otherwise("add").alias("op"),
         F.concat(F.lit("id="), F.col("event_id").cast("string"), F.lit("/when="), value).alias("part_name"),
     )
+
+
+@query("feed_update_payloads", "O-100", sql=f"WITH {_PAYLOADS}")
+def feed_update_payloads(b: Bindings) -> DataFrame:
     shape = F.col("event_type")
     column = F.when(shape == "error", "").otherwise("when")
     dated = F.when(shape == "click", "pacific").otherwise("utc")
@@ -67,8 +70,19 @@ def feed_update_payloads(b: Bindings) -> DataFrame:
         )
         .alias("data"),
     )
-    out = E.partition_update_payloads(changes, defs, F.lit(NOW))
-    return out.withColumn("names", F.size("names").cast("bigint"))
+    return E.partition_update_payloads(_update_changes(b), defs, F.lit(NOW))
+
+
+@query(
+    "feed_update_names", "O-100",
+    sql="""SELECT 'u' || user_id || '-' || strftime(ts, '%Y%m%d') AS update_id, 'u' || user_id AS table_name,
+        CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END AS op,
+        'id=' || event_id || '/when=' || CASE event_type WHEN 'purchase' THEN CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR)
+            WHEN 'signup' THEN strftime(ts, '%Y%m%d') WHEN 'view' THEN '0soon' ELSE '__HIVE_DEFAULT_PARTITION__' END AS part_name
+    FROM events""",
+)
+def feed_update_names(b: Bindings) -> DataFrame:
+    return E.partition_update_names(_update_changes(b))
 
 
 @query(

@@ -189,6 +189,16 @@ def sort_page_rest(b: Bindings) -> DataFrame:
     return P.sort_page(b.tables.select("name", "owner"), [F.col("owner")], ["name"], offset=100)
 
 
+@query(
+    "sort_page_ties", "O-50",
+    sql="""SELECT owner, segment FROM (SELECT CASE WHEN segment = 'building' THEN NULL ELSE owner END AS owner, segment FROM v_tables)
+    ORDER BY owner NULLS FIRST, segment LIMIT ALL OFFSET 40""",
+)
+def sort_page_ties(b: Bindings) -> DataFrame:
+    owner = F.when(F.col("segment") != "building", F.col("owner"))
+    return P.sort_page(b.tables.select(owner.alias("owner"), "segment"), [], ["owner"], offset=40)
+
+
 @query(
     "table_list", "O-51",
     sql="SELECT name FROM v_tables WHERE starts_with(name, 'asia/') AND table_name LIKE '%1%' ORDER BY name DESC LIMIT 40 OFFSET 5",

@@ -15,12 +15,11 @@ from ..functions.skew import join_hot
 from ..functions.times import epoch_seconds, partition_time
 from ..operators.diff import diff
 
-# Where a table's definition names its delete column and how that column
-# is dated, which datings are regional, and how many names a message may carry.
+# Where a table's definition names its delete column, how that column is dated, and which
+# datings are regional.
 DELETE_COLUMN = ("data_hygiene", "delete_column")
 DATE_TYPE = ("data_dependency", "partition_column_date_type")
 REGIONAL = ("region", "pacific")
-MOST_NAMES = 1000
 
 # What a message says about its latest delete-column value.
 ATTACHED = "ATTACHED_VALID_PARITITION_KEY"
@@ -49,8 +48,8 @@ def partition_update_payloads(changes: DataFrame, defs: DataFrame, now: Column)
 
     Walking the delete-column values downwards as text, the first one in the past is
     the latest; a malformed value met before it ends the walk.  That is the larger of
-    two maxima, so the values fold before the shuffle.  Names are gathered only for
-    updates small enough to list them.
+    two maxima, so the values fold before the shuffle.  The names are rows of
+    :func:`partition_update_names`.
     """
     known = join_hot(changes, delete_columns(defs), ["table_name"], "left", ["update_id", "part_name"])
     adds, drops = F.col("op") == "add", F.col("op") == "delete"
@@ -83,7 +82,7 @@ def partition_update_payloads(changes: DataFrame, defs: DataFrame, now: Column)
         .otherwise(ALL_FUTURE)
     )
     usable = (F.col("created") > 0) & F.col("defined") & attached
-    summary = folded.select(
+    return folded.select(
         "update_id",
         "table_name",
         "created",
@@ -91,15 +90,14 @@ def partition_update_payloads(changes: DataFrame, defs: DataFrame, now: Column)
         F.when(usable, F.concat_ws("=", "delete_column", "_past")).alias("latest"),
         message.alias("message"),
     )
-    id_ = ["update_id", "table_name"]
-    listable = summary.filter(F.col("created") + F.col("deleted") <= MOST_NAMES).select(*id_)
-    names = (
-        join_hot(changes, listable, id_, "left_semi", ["part_name"])
-        .groupBy(*id_)
-        .agg(F.sort_array(F.collect_list("part_name")).alias("names"))
-    )
-    empty = F.array().cast("array<string>")
-    return summary.join(names, id_, "left").withColumn("names", F.coalesce("names", empty))
+
+
+def partition_update_names(changes: DataFrame) -> DataFrame:
+    """Every partition that an update added or deleted, once: ``(update_id, table_name, op, part_name)``.
+
+    Names are rows of their own, so an update of any size lists them all and none is gathered.
+    """
+    return changes.select("update_id", "table_name", "op", "part_name").distinct()
 
 
 SAVES = ("create", "update")
