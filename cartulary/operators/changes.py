@@ -5,11 +5,12 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from ..functions.partition_names import is_valid_name
 from ..functions.skew import join_hot
 from ..session import keep
-from .metadata import delete_metadata, rename_keys, soft_delete_data
+from .metadata import ambiguous_renames, delete_metadata, rename_keys, soft_delete_data
 from .partitions import ID
-from .relations import drop_entity, rename_entity
+from .relations import drop_entity, rename_ends
 from .tags import rename_tags
 
 
@@ -17,6 +18,10 @@ def _blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
+# Why rows of a save are refused.
+INVALID = "refused: the name does not fit the keys"
+REPEATED = "refused: named more than once"
+
 # What an altered partition keeps from the stored one.
 KEPT = ("create_time", "last_modified", "params")
 
@@ -28,6 +33,8 @@ def plan_partition_save(
     check: bool = True,
     alter: bool = False,
     path_only: bool = False,
+    keys: list[str] | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """What saving ``incoming`` does: its rows with an ``action``.
 
@@ -36,9 +43,19 @@ def plan_partition_save(
     stored one.  With neither flag nothing is looked up and everything is added.
     ``path_only`` is the store that only tracks paths: no uri means unchanged and a new
     uri alters the row in place.
+
+    A partition named more than once is refused as a whole, or with an ``order`` column all but its earliest
+    row; with the declared ``keys`` a name that does not fit them is refused too.  A refused partition has one
+    row, whose action tells why, and changes nothing.
     """
     kept = [c for c in KEPT if c in existing.columns and c in incoming.columns]
-    new = incoming.select(*ID, "uri", *kept)
+    row = F.struct("uri", *kept)
+    one = F.min_by(row, order) if order else F.any_value(row)
+    folded = incoming.groupBy(*ID).agg(F.count("*").alias("_n"), one.alias("_row"))
+    fits = is_valid_name(F.col("part_name"), keys) if keys else F.lit(True)
+    new = folded.filter(fits if order else fits & (F.col("_n") == 1)).select(*ID, "_row.*")
+    why = F.when(~fits, INVALID).when(F.col("_n") > 1, REPEATED)
+    refused = folded.select(*ID, "_row.*", why.alias("action")).filter("action IS NOT NULL")
     if check or alter:
         stored = [F.col(c).alias(f"_{c}") for c in ("uri", *kept)]
         both = new.join(existing.select(*ID, *stored, F.lit(True).alias("_known")), ID, "left")
@@ -59,6 +76,7 @@ def plan_partition_save(
         )
     else:
         plan = new.withColumn("action", F.lit("added"))
+    plan = plan.unionByName(refused)
     if deletes is not None:
         gone = existing.join(deletes.select(*ID), ID, "left_semi")
         plan = plan.unionByName(gone.select(*ID, "uri", *kept, F.lit("deleted").alias("action")))
@@ -72,7 +90,7 @@ def apply_partition_save(existing: DataFrame, plan: DataFrame) -> DataFrame:
     plan is read twice and worth keeping when it is costly.
     """
     columns = [c for c in plan.columns if c != "action"]
-    touched = plan.filter(F.col("action") != "unchanged").select(*ID)
+    touched = plan.filter(F.col("action").isin("added", "replaced", "altered", "deleted")).select(*ID)
     written = plan.filter(F.col("action").isin("added", "replaced", "altered"))
     return existing.select(*columns).join(touched, ID, "left_anti").unionByName(written.select(*columns))
 
@@ -119,8 +137,13 @@ def list_mviews(tables: DataFrame, view_database: str, database: str, table: str
 
 
 def copy_tables(tables: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Copy tables by ``(old, new)`` inside a catalog: new rows, problems, databases to add."""
-    pairs = mapping.select("old", "new")
+    """Copy tables by ``(old, new)`` inside a catalog: new rows, problems, databases to add.
+
+    Different sources for one target are a problem of each; a repeated pair is one copy.
+    """
+    pairs = mapping.select("old", "new").distinct()
+    shared = pairs.groupBy("new").agg((F.count("*") > 1).alias("_shared"))
+    pairs = pairs.join(shared, "new")
     source = tables.select(F.col("name").alias("old"), F.lit(True).alias("_source"))
     target = tables.select(F.col("name").alias("new"), F.lit(True).alias("_target"))
     checked = pairs.join(source, "old", "left").join(target, "new", "left")
@@ -129,6 +152,7 @@ def copy_tables(tables: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataF
         F.when(other_catalog, "different catalog")
         .when(F.col("_source").isNull(), "source missing")
         .when(F.col("_target").isNotNull(), "target exists")
+        .when(F.col("_shared"), "several copies to one target")
     )
     checked = checked.select("old", "new", problem.alias("problem"))
     good = checked.filter("problem is null").select(F.col("old").alias("name"), "new")
@@ -149,18 +173,59 @@ def copy_tables(tables: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataF
     return copied, checked.filter("problem is not null"), databases
 
 
+def rename_verdicts(
+    tables: DataFrame, tags: DataFrame, edges: DataFrame, mapping: DataFrame, guarded: list[str] | None = None
+) -> DataFrame:
+    """``(old, new, reason)``: every rename with why it is refused, null for those allowed.
+
+    Refused are renames of missing or guarded tables, to a name that a table has or that takes part in an edge,
+    of one table to several names, and of several tables to one name.
+    """
+    pairs = mapping.select("old", "new").distinct()
+    have = tables.select("name").distinct()
+    linked = edges.select(F.col("parent").alias("new")).unionByName(edges.select(F.col("child").alias("new"))).distinct()
+    held = tags.filter(F.col("tag").isin(guarded or [])).select(F.col("name").alias("old")).distinct()
+    marked = (
+        pairs.join(have.select(F.col("name").alias("old"), F.lit(True).alias("_source")), "old", "left")
+        .join(have.select(F.col("name").alias("new"), F.lit(True).alias("_target")), "new", "left")
+        .join(linked.withColumn("_linked", F.lit(True)), "new", "left")
+        .join(held.withColumn("_held", F.lit(True)), "old", "left")
+        .join(ambiguous_renames(pairs), ["old", "new"], "left")
+    )
+    reason = (
+        F.when(F.col("_source").isNull(), "source missing")
+        .when(F.col("_held"), "guarded by a tag")
+        .when(F.col("_target"), "target exists")
+        .when(F.col("_linked"), "target in an edge")
+        .otherwise(F.col("ambiguous"))
+    )
+    return marked.select("old", "new", reason.alias("reason"))
+
+
 def rename_tables(
-    tables: DataFrame, defs: DataFrame, tags: DataFrame, edges: DataFrame, mapping: DataFrame
+    tables: DataFrame,
+    defs: DataFrame,
+    tags: DataFrame,
+    edges: DataFrame,
+    mapping: DataFrame,
+    guarded: list[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Rename tables by ``(old, new)`` with everything keyed by their name."""
+    """Rename tables by ``(old, new)`` with everything keyed by their name.
+
+    One verdict holds for all stores: a rename takes effect in each of them or in none, and ``refused`` has those
+    that do not with their reasons.
+    """
+    verdicts = rename_verdicts(tables, tags, edges, mapping, guarded)
+    allowed = verdicts.filter("reason IS NULL").select("old", "new")
     parts = F.split("name", "/")
     levels = ("catalog_name", "database_name", "table_name")
     spelled = {c: F.get(parts, F.lit(i)) for i, c in enumerate(levels) if c in tables.columns}
     return {
-        "tables": rename_keys(tables, mapping, "name", replace_target=False).withColumns(spelled),
-        "defs": rename_keys(defs, mapping, "name", replace_target=True),
-        "tags": rename_tags(tags, mapping),
-        "edges": rename_entity(edges, mapping),
+        "refused": verdicts.filter("reason IS NOT NULL"),
+        "tables": rename_keys(tables, allowed, "name", replace_target=False).withColumns(spelled),
+        "defs": rename_keys(defs, allowed, "name", replace_target=True),
+        "tags": rename_tags(tags, allowed),
+        "edges": rename_ends(edges, allowed),
     }
 
 

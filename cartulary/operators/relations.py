@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..functions.skew import join_hot
-from ..session import keep
+from .metadata import ambiguous_renames
 
 # Fixed value: children a parent may have per relation type when nothing else is said.
 DEFAULT_LIMIT = 5
@@ -122,13 +122,19 @@ def validate_new_edges(edges: DataFrame, proposed: DataFrame, limits: DataFrame)
     return out.withColumn("reason", reason).select(*proposed.columns, "reason")
 
 
-def rename_entity(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Edges after renaming tables by ``(old, new)``, on both ends.
+def refused_renames(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``(old, new, reason)``: renames whose new name takes part in an edge already, and ambiguous ones."""
+    taken = edges.select(F.col("parent").alias("new")).unionByName(edges.select(F.col("child").alias("new"))).distinct()
+    pairs = mapping.select("old", "new").distinct()
+    judged = pairs.join(taken.withColumn("_taken", F.lit(True)), "new", "left").join(
+        ambiguous_renames(pairs), ["old", "new"], "left"
+    )
+    reason = F.when(F.col("_taken"), "target in an edge").otherwise(F.col("ambiguous"))
+    return judged.select("old", "new", reason.alias("reason")).filter("reason IS NOT NULL")
 
-    A new name that already takes part in an edge is refused: its rename is left out.
-    """
-    taken = edges.select(F.col("parent").alias("new")).unionByName(edges.select(F.col("child").alias("new")))
-    allowed = keep(mapping.join(taken, "new", "left_anti"), "renames")
+
+def rename_ends(edges: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Edges after allowed renames ``(old, new)``, on both ends."""
     out = edges
     for end, other in (("parent", "child"), ("child", "parent")):
         pairs = allowed.select(F.col("old").alias(end), F.col("new").alias("_new"))
@@ -137,6 +143,12 @@ def rename_entity(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.select(*edges.columns)
 
 
+def rename_entity(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Edges after renaming tables by ``(old, new)``; what :func:`refused_renames` tells is left out."""
+    pairs = mapping.select("old", "new").distinct()
+    return rename_ends(edges, pairs.join(refused_renames(edges, mapping), ["old", "new"], "left_anti"))
+
+
 def drop_entity(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Edges left after dropping tables, whichever end they were on."""
     gone = names.select("name").distinct()

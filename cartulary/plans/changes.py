@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
@@ -59,6 +61,20 @@ def partition_save_plan_unchecked(b: Bindings) -> DataFrame:
     return _shown(C.plan_partition_save(b.parts, b.incoming, check=False))
 
 
+@query(
+    "partition_save_refused", "O-82",
+    sql=f"""WITH {_BOTH}
+    SELECT table_name, part_name, CASE WHEN table_name LIKE '%1' THEN 'refused: named more than once' WHEN old_id IS NULL THEN 'added'
+        WHEN uri = old_uri THEN 'unchanged' ELSE 'replaced' END AS action FROM both_sides
+    UNION ALL SELECT table_name, 'x' || part_name, 'refused: the name does not fit the keys' FROM v_new""",
+)
+def partition_save_refused(b: Bindings) -> DataFrame:
+    again = b.incoming.filter("table_name LIKE '%1'").withColumn("uri", F.lit("s3://other"))
+    misnamed = b.incoming.withColumn("part_name", F.concat(F.lit("x"), "part_name"))
+    incoming = b.incoming.unionByName(again).unionByName(misnamed)
+    return C.plan_partition_save(b.parts, incoming, keys=KEYS).select("table_name", "part_name", "action")
+
+
 @query(
     "partition_save_apply", "O-83",
     sql=f"""WITH {_BOTH}
@@ -164,6 +180,19 @@ def table_copy_databases(b: Bindings) -> DataFrame:
     return _copied(b)[2]
 
 
+@query(
+    "table_copy_repeats", "O-88",
+    sql="""WITH wanted AS (SELECT name AS old, catalog_name || '/copies/' || owner AS new FROM v_tables),
+    counted AS (SELECT *, count(*) OVER (PARTITION BY new) AS n FROM wanted)
+    SELECT old, new, CASE WHEN n > 1 THEN 'several copies to one target' ELSE 'copied' END AS outcome FROM counted""",
+)
+def table_copy_repeats(b: Bindings) -> DataFrame:
+    pairs = b.tables.select(F.col("name").alias("old"), F.concat_ws("/", "catalog_name", F.lit("copies"), "owner").alias("new"))
+    copied, problems, _ = C.copy_tables(b.tables, pairs.union(pairs))
+    done = copied.select(F.col("name").alias("new")).join(pairs, "new").select("old", "new", F.lit("copied").alias("outcome"))
+    return done.unionByName(problems.withColumnRenamed("problem", "outcome"))
+
+
 def _world(b: Bindings) -> tuple[DataFrame, DataFrame]:
     """Tags and edges keyed by the names of the bound tables."""
     t = b.tables
@@ -190,6 +219,38 @@ def table_rename(b: Bindings) -> DataFrame:
     return _stacked(after, {"tables": "name", "defs": "name", "tags": "name", "edges": "parent"}, "name")
 
 
+@query(
+    "table_rename_refused", "O-89", "O-81",
+    sql="""WITH wanted AS (SELECT name, segment, CASE segment WHEN 'household' THEN name || '_gone' ELSE name END AS old,
+        CASE segment WHEN 'automobile' THEN name WHEN 'furniture' THEN catalog_name || '/all/' || owner ELSE name || '_new' END AS new FROM v_tables),
+    judged AS (SELECT *, CASE WHEN segment = 'household' THEN 'source missing' WHEN segment = 'machinery' THEN 'guarded by a tag'
+        WHEN segment = 'automobile' THEN 'target exists'
+        WHEN count(*) OVER (PARTITION BY new) > 1 THEN 'several names for one target' END AS reason FROM wanted),
+    moved AS (SELECT t.*, CASE WHEN reason IS NULL THEN new ELSE t.name END AS now FROM v_tables t JOIN judged j ON j.name = t.name)
+    SELECT 'refused' AS store, old AS key, new || ': ' || reason AS value FROM judged WHERE reason IS NOT NULL
+    UNION ALL SELECT 'tables', now, owner || ' ' || string_split(now, '/')[2] FROM moved
+    UNION ALL SELECT 'defs', m.now, d.data FROM moved m JOIN v_defs d ON d.name = m.name
+    UNION ALL SELECT 'tags', now, segment FROM moved
+    UNION ALL SELECT 'edges', now, name || '_child' FROM moved WHERE segment = 'automobile'""",
+)
+def table_rename_refused(b: Bindings) -> DataFrame:
+    tags, edges = _world(b)
+    segment = F.col("segment")
+    old = F.when(segment == "household", F.concat("name", F.lit("_gone"))).otherwise(F.col("name"))
+    new = (
+        F.when(segment == "automobile", F.col("name"))
+        .when(segment == "furniture", F.concat_ws("/", "catalog_name", F.lit("all"), "owner"))
+        .otherwise(F.concat("name", F.lit("_new")))
+    )
+    after = C.rename_tables(b.tables, b.defs, tags, edges, b.tables.select(old.alias("old"), new.alias("new")), ["machinery"])
+    rows = {
+        "refused": ("old", F.concat_ws(": ", "new", "reason")), "tables": ("name", F.concat_ws(" ", "owner", "database_name")),
+        "defs": ("name", F.col("data")), "tags": ("name", F.col("tag")), "edges": ("parent", F.col("child")),
+    }
+    every = [after[k].select(F.lit(k).alias("store"), F.col(c).alias("key"), v.alias("value")) for k, (c, v) in rows.items()]
+    return reduce(DataFrame.unionByName, every)
+
+
 def _stacked(after: dict[str, DataFrame], columns: dict[str, str], name: str) -> DataFrame:
     out = None
     for store, column in columns.items():
