@@ -8,10 +8,13 @@ scoring start from the blocks; texts are read and cut into subwords once.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ WORDS = 3_000_000  # words that a block holds, about
 WIDTH = 24  # of the vectors
 STEP = 16  # targets of a window
 REACH = 8  # subwords before its first target that a window sees
-SINGLE, GROUPS = 64, 32  # classes that the model tells apart: frequent subwords, and groups of the others
+SINGLE, GROUPS = 48, 16  # classes that the model tells apart: frequent subwords, and groups of the others
 BEFORE = 256, 64  # the same for the subword before a target, in the counts of what follows it
 SPREAD = 8  # in training, a window's loss is taken at every eighth of its targets, by turns
 BATCH, STEPPED = 128, 256  # windows scored at a time, and windows of one training step
@@ -45,6 +48,16 @@ def encoder(ranks: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parsed, special_tokens={})
 
 
+#: White space that is no space; words have none of the ASCII kind.
+OTHER_SPACE = re.compile(r"[^\S ]")
+
+
+@lru_cache(maxsize=2)
+def begins_with_space(ranks: bytes) -> np.ndarray:
+    parsed = {int(b): base64.b64decode(a) for a, b in (line.split() for line in ranks.splitlines())}
+    return np.array([parsed.get(i, b"").startswith(b" ") for i in range(max(parsed) + 1)])
+
+
 @dataclass
 class Vocabulary:
     """A byte-level BPE vocabulary; the id after its last one ends a document."""
@@ -61,10 +74,22 @@ class Vocabulary:
     def end(self) -> int:
         return self.ranks.count(b"\n") + (not self.ranks.endswith(b"\n"))
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Subword ids of each word, as it stands after a space."""
-        encode = encoder(self.ranks, self.pattern).encode_ordinary  # once: finding it compares the whole file
-        return [encode(" " + w.decode()) for w in words]
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of all words, each as it stands after a space, and how many each word has.
+
+        Words are cut at spaces before anything else, so all are encoded in one go and parted where a subword
+        begins with a space; words with other white space inside could run together and go one by one.
+        """
+        own = encoder(self.ranks, self.pattern)  # once: finding it compares the whole file
+        texts = [" " + w.decode() for w in words]
+        joined = "".join(texts)
+        if OTHER_SPACE.search(joined) is None:
+            ids = np.array(own.encode_ordinary(joined), dtype=np.uint16)
+            starts = np.flatnonzero(begins_with_space(self.ranks)[ids])
+            if len(starts) == len(words):
+                return ids, np.diff(starts, append=len(ids)).astype(np.int32)
+        made = [own.encode_ordinary(t) for t in texts]
+        return np.array([x for m in made for x in m], dtype=np.uint16), np.array([len(m) for m in made], dtype=np.int32)
 
 
 BLOCK = (
@@ -85,7 +110,7 @@ def code_blocks(rows: DataFrame, vocabulary: Vocabulary, words: int = WORDS) ->
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        numbers: dict[bytes, int] = {}
+        numbers: dict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
         ids: list = []
         held: list[bool] = []
         sizes, codes, n_blocks = array("i"), array("i"), 0
@@ -94,7 +119,7 @@ def code_blocks(rows: DataFrame, vocabulary: Vocabulary, words: int = WORDS) ->
         def block() -> pa.RecordBatch:
             nonlocal numbers, ids, held, sizes, codes, n_blocks
             known = list(numbers)
-            subs = vocabulary.encode(known)
+            subs, sub_sizes = vocabulary.encode(known)
             at, size = np.frombuffer(codes, dtype=np.int32), np.frombuffer(sizes, dtype=np.int32)
             learned = np.repeat(~np.array(held, dtype=bool), size)
             train = np.bincount(at[learned], minlength=len(known)).astype(np.int32)
@@ -103,20 +128,20 @@ def code_blocks(rows: DataFrame, vocabulary: Vocabulary, words: int = WORDS) ->
                 [
                     pa.array([name], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], held_type),
                     pa.array([size.tobytes()]), pa.array([at.tobytes()]),
-                    pa.array([np.array([x for s in subs for x in s], dtype=np.uint16).tobytes()]),
-                    pa.array([np.array([len(s) for s in subs], dtype=np.int32).tobytes()]),
+                    pa.array([subs.tobytes()]), pa.array([sub_sizes.tobytes()]),
                     pa.array([b"\n".join(known).decode()]), pa.array([train], pa.list_(pa.int32())),
                 ],
                 names=["block", "ids", "held", "sizes", "codes", "subs", "sub_sizes", "words", "train"],
             )
-            numbers, ids, held, sizes, codes, n_blocks = {}, [], [], array("i"), array("i"), n_blocks + 1
+            numbers, ids, held, n_blocks = defaultdict(count().__next__), [], [], n_blocks + 1
+            sizes, codes = array("i"), array("i")
             return made
 
         for batch in batches:
             id_type = batch.schema.field("id").type
             for k, text, out in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "held"))):
                 found = text.lower().split()
-                codes.extend([numbers.setdefault(w, len(numbers)) for w in found])
+                codes.extend(map(numbers.__getitem__, found))
                 sizes.append(len(found))
                 ids.append(k)
                 held.append(out)

@@ -111,3 +111,13 @@ def test_model_beats_its_base_on_held_out_documents(spark):
     found = S.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
     base, score = found.where("held_out").selectExpr("sum(base_score)", "sum(score)").first()
     assert score > base
+
+
+def test_words_encoded_together_are_as_encoded_alone():
+    words = [w.encode() for w in ("the", "l'été", "x--y", "12a", "don't", " a", "b c", "d ", "日本", "a" * 300, "!?", "ﬀ")]
+    voc = S.Vocabulary.read()
+    own = S.encoder(voc.ranks, voc.pattern)
+    for some in (words, [w for w in words if not S.OTHER_SPACE.search(w.decode())], []):
+        ids, sizes = voc.encode(some)
+        alone = [own.encode_ordinary(" " + w.decode()) for w in some]
+        assert ids.tolist() == [x for m in alone for x in m] and sizes.tolist() == [len(m) for m in alone]
