@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.partition_names import is_valid_name
 from ..functions.skew import join_hot
@@ -268,36 +272,55 @@ def drop_tables(
 
 
 def cas_metadata_location(tables: DataFrame, updates: DataFrame) -> DataFrame:
-    """Compare-and-set of metadata locations: every update with its ``status``.
+    """Compare-and-set of metadata locations, one request after the other: every update with its ``status``.
 
-    ``tables`` is ``(name, location)``; ``updates`` is ``(seq, name, previous, new)``.
-    Of several updates of one table that would succeed, the earliest wins and the
-    others conflict.  The winner is found by a folding minimum, so a table with very
-    many updates is never gathered into one task.
+    ``tables`` is ``(name, location)``; ``updates`` is ``(seq, name, previous, new)``.  Each update of a table is
+    judged against the location that the accepted ones before it have left, in order of ``seq`` (then of
+    ``previous`` and ``new``), so a chain of updates is followed to its end.  The updates of one table are one
+    sequence: sorted by Spark, which spills, and walked with one location in memory, however many they are.
     """
-    seen = join_hot(
-        updates, tables.select("name", F.col("location").alias("_stored"), F.lit(True).alias("_known")),
-        ["name"], "left", ["seq"],
-    )
-    stored = F.col("_stored")
-    status = (
-        F.when(F.col("_known").isNull(), "table missing")
-        .when(_blank(stored), "stored location empty")
-        .when(stored.eqNullSafe(F.col("new")), "no-op")
-        .when(_blank(F.col("previous")), "previous location empty")
-        .when(stored != F.col("previous"), "previous location differs")
-        .otherwise("accepted")
-    )
-    judged = seen.select(*updates.columns, status.alias("status"))
-    first = (
-        judged.filter(F.col("status") == "accepted").groupBy("name").agg(F.min("seq").alias("_first"))
-    )
-    final = join_hot(judged, first, ["name"], "left", ["seq"])
-    lost = (F.col("status") == "accepted") & (F.col("seq") != F.col("_first"))
-    return final.withColumn("status", F.when(lost, "conflict").otherwise(F.col("status"))).drop("_first")
+    stored = tables.select("name", F.col("location").alias("_stored"), F.lit(True).alias("_known"))
+    seen = join_hot(updates, stored, ["name"], "left", ["seq"])
+    ordered = seen.repartition("name").sortWithinPartitions("name", "seq", "previous", "new")
+
+    columns = updates.columns
+
+    def blank(text: str | None) -> bool:
+        return not (text or "").strip(" ")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, location = None, None
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("name", "previous", "new", "_stored", "_known")))
+            told = []
+            for name, previous, new, first, known in rows:
+                if at is None or at != (name,):
+                    at, location = (name,), first
+                if not known:
+                    status = "table missing"
+                elif blank(location):
+                    status = "stored location empty"
+                elif location == new:
+                    status = "no-op"
+                elif blank(previous):
+                    status = "previous location empty"
+                elif location != previous:
+                    status = "previous location differs"
+                else:
+                    status, location = "accepted", new
+                told.append(status)
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(told, pa.string())], names=[*columns, "status"])
+
+    return ordered.mapInArrow(walk, StructType([*updates.schema.fields, StructField("status", StringType())]))
 
 
 def apply_cas(tables: DataFrame, judged: DataFrame) -> DataFrame:
-    """Table locations after the accepted updates."""
-    won = judged.filter(F.col("status") == "accepted").select("name", F.col("new").alias("_new"))
-    return tables.join(won, "name", "left").select("name", F.coalesce("_new", "location").alias("location"))
+    """Table locations after the accepted updates: the new one of the last."""
+    last = F.max_by("new", F.struct("seq", "previous", "new"))
+    won = judged.filter(F.col("status") == "accepted").groupBy("name").agg(
+        last.alias("_new"), F.lit(True).alias("_moved")
+    )
+    return tables.join(won, "name", "left").select(
+        "name", F.when(F.col("_moved"), F.col("_new")).otherwise(F.col("location")).alias("location")
+    )

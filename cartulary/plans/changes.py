@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 
 from ..functions import predicates as Q
 from ..functions.times import epoch_seconds
@@ -283,12 +283,24 @@ _CAS = """
     stored AS (SELECT 'u' || id AS name, CASE WHEN event_type = 'view' THEN '' ELSE uri END AS location FROM v_data WHERE event_type <> 'signup'),
     updates AS (SELECT event_id AS seq, 'u' || user_id AS name, CASE event_type WHEN 'error' THEN '' WHEN 'view' THEN 's3://wrong'
             ELSE 's3://wh/u' || user_id END AS previous,
-        CASE event_type WHEN 'click' THEN 's3://wh/u' || user_id ELSE 's3://wh/u' || user_id || '/' || event_id END AS new FROM events),
-    judged AS (SELECT updates.*, location, CASE WHEN location IS NULL THEN 'table missing' WHEN location = '' THEN 'stored location empty'
-        WHEN location = new THEN 'no-op' WHEN previous = '' THEN 'previous location empty'
-        WHEN location <> previous THEN 'previous location differs' ELSE 'accepted' END AS status FROM updates LEFT JOIN stored USING (name)),
-    final AS (SELECT seq, name, new, CASE WHEN status = 'accepted' AND seq > min(CASE WHEN status = 'accepted' THEN seq END) OVER (PARTITION BY name)
-        THEN 'conflict' ELSE status END AS status FROM judged)"""
+        CASE event_type WHEN 'click' THEN 's3://wh/u' || user_id ELSE 's3://wh/u' || user_id || '/' || event_id END AS new FROM events)"""
+
+
+def _walk_sql(updates: str, select: str) -> str:
+    """Updates judged one after the other: a step of the recursion for each update of a table."""
+    return f"""(WITH RECURSIVE {updates}, numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS step FROM updates),
+    walk AS (SELECT name, location, 0 AS step, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS status FROM stored
+        UNION ALL SELECT w.name, CASE WHEN trim(w.location) <> '' AND w.location <> n.new AND n.previous <> '' AND w.location = n.previous
+            THEN n.new ELSE w.location END, n.step, n.seq,
+            CASE WHEN trim(w.location) = '' THEN 'stored location empty' WHEN w.location = n.new THEN 'no-op'
+            WHEN n.previous = '' THEN 'previous location empty' WHEN w.location <> n.previous THEN 'previous location differs'
+            ELSE 'accepted' END FROM walk w JOIN numbered n ON n.name = w.name AND n.step = w.step + 1),
+    missing AS (SELECT seq, name, 'table missing' AS status FROM updates WHERE name NOT IN (SELECT name FROM stored))
+    {select})"""
+
+
+_JUDGED = "SELECT seq, name, status FROM walk WHERE step > 0 UNION ALL SELECT seq, name, status FROM missing"
+_LEFT = "SELECT name, arg_max(location, step) AS location, count(*) FILTER (status = 'accepted') AS accepted FROM walk GROUP BY name"
 
 
 def _cas(b: Bindings) -> tuple[DataFrame, DataFrame]:
@@ -307,16 +319,43 @@ def _cas(b: Bindings) -> tuple[DataFrame, DataFrame]:
     return stored, C.cas_metadata_location(stored, updates)
 
 
-@query("location_compare_and_set", "O-91", sql=f"WITH {_CAS} SELECT seq, name, status FROM final")
+@query("location_compare_and_set", "O-91", sql=f"SELECT seq, name, status FROM {_walk_sql(_CAS, _JUDGED)}")
 def location_compare_and_set(b: Bindings) -> DataFrame:
     return _cas(b)[1].select("seq", "name", "status")
 
 
-@query(
-    "location_after_updates", "O-91",
-    sql=f"""WITH {_CAS} SELECT s.name, coalesce(f.new, s.location) AS location FROM stored s
-    LEFT JOIN (SELECT name, new FROM final WHERE status = 'accepted') f ON f.name = s.name""",
-)
+@query("location_after_updates", "O-91", sql=f"SELECT name, location FROM {_walk_sql(_CAS, _LEFT)}")
 def location_after_updates(b: Bindings) -> DataFrame:
     stored, judged = _cas(b)
     return C.apply_cas(stored, judged)
+
+
+_MOVES = "event_type IN ('click', 'purchase', 'signup')"
+_CHAIN = f"""
+    stored AS (SELECT 'u' || id AS name, uri AS location FROM v_data WHERE id % 5 <> 0),
+    known AS (SELECT event_id AS seq, user_id, event_type, 's3://wh/u' || user_id AS home,
+        max(CASE WHEN {_MOVES} THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+        FROM events),
+    updates AS (SELECT seq, 'u' || user_id AS name, CASE WHEN event_type = 'error' THEN 's3://wrong' WHEN before IS NULL THEN home
+            ELSE home || '/' || before END AS previous,
+        CASE WHEN event_type = 'view' AND before IS NULL THEN home WHEN event_type = 'view' THEN home || '/' || before ELSE home || '/' || seq END AS new
+        FROM known)"""
+
+
+@query("location_chain", "O-91", sql=f"SELECT name, location, accepted FROM {_walk_sql(_CHAIN, _LEFT)}")
+def location_chain(b: Bindings) -> DataFrame:
+    """Updates that each start from where the last one before them has moved the table."""
+    stored = b.data.filter("id % 5 <> 0").select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("name"), F.col("uri").alias("location"))
+    earlier = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    home = F.concat(F.lit("s3://wh/u"), F.col("user_id").cast("string"))
+    last = F.max(F.when(F.expr(_MOVES), F.col("event_id"))).over(earlier)
+    events = b.table("events").select("user_id", "event_type", F.col("event_id").alias("seq"), home.alias("home"), last.alias("before"))
+    here = F.concat_ws("/", "home", F.col("before").cast("string"))  # a null is left out
+    updates = events.select(
+        "seq", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"),
+        F.when(F.col("event_type") == "error", "s3://wrong").otherwise(here).alias("previous"),
+        F.when(F.col("event_type") == "view", here).otherwise(F.concat_ws("/", "home", F.col("seq").cast("string"))).alias("new"),
+    )
+    judged = C.cas_metadata_location(stored, updates)
+    counts = judged.groupBy("name").agg(F.count_if(F.col("status") == "accepted").alias("accepted"))
+    return C.apply_cas(stored, judged).join(counts, "name", "left").select("name", "location", F.coalesce("accepted", F.lit(0)).alias("accepted"))
