@@ -33,7 +33,15 @@ def source_type(type_name: Column, size: Column, scale: Column) -> Column:
 
 
 def jdbc_columns(columns: DataFrame) -> DataFrame:
-    """Column catalog: position, rebuilt type, nullability, default and size."""
+    """Column catalog: position, rebuilt type, nullability, default and size.
+
+    ``columns`` has the columns of an ``information_schema.columns`` view, or ``size`` and ``scale`` as drivers
+    report them.
+    """
+    if "size" not in columns.columns:
+        columns = columns.withColumns(
+            {"size": F.coalesce("character_maximum_length", "numeric_precision"), "scale": F.col("numeric_scale")}
+        )
     return columns.filter(F.lower("table_schema") != SYSTEM_SCHEMA).select(
         "table_schema",
         "table_name",
@@ -47,9 +55,9 @@ def jdbc_columns(columns: DataFrame) -> DataFrame:
 
 
 def slices(key: str, bounds: list[str], prefix: str = "") -> list[str]:
-    """One predicate per slice of a key range, for a parallel read."""
+    """One predicate per slice of a key range, for a parallel read; rows without a key are in the first."""
     q = [b.replace("'", "''") for b in sorted(bounds)]
-    parts = [f"{key} < '{q[0]}'"] if q else ["1 = 1"]
+    parts = [f"{key} < '{q[0]}' or {key} is null"] if q else ["1 = 1"]
     parts += [f"{key} >= '{lo}' and {key} < '{hi}'" for lo, hi in zip(q, q[1:])]
     if q:
         parts.append(f"{key} >= '{q[-1]}'")
@@ -57,8 +65,18 @@ def slices(key: str, bounds: list[str], prefix: str = "") -> list[str]:
         return parts
     p = prefix.replace("'", "''")
     # half-open range instead of LIKE: any store can answer it from its index
-    top = p[:-1] + chr(ord(p[-1]) + 1)
-    return [f"({x}) and {key} >= '{p}' and {key} < '{top}'" for x in parts]
+    top = _next(prefix).replace("'", "''")
+    below = f" and {key} < '{top}'" if top else ""
+    return [f"({x}) and {key} >= '{p}'{below}" for x in parts]
+
+
+def _next(prefix: str) -> str:
+    """The least text above all texts with the prefix; empty if there is none."""
+    kept = prefix.rstrip(chr(0x10FFFF))
+    if not kept:
+        return ""
+    code = ord(kept[-1]) + 1
+    return kept[:-1] + chr(0xE000 if code == 0xD800 else code)
 
 
 def read_sliced(

@@ -216,10 +216,48 @@ def test_word_search_matches_whole_words_only(spark):
 
 
 def test_slices_cover_every_key_once(spark):
-    keys = spark.createDataFrame([("a",), ("ab",), ("b",), ("bz",), ("c'x",), ("z",)], "k string")
-    for prefix in ("", "b"):
+    last = chr(0x10FFFF)
+    rows = ["a", "ab", "b", "bz", "c'x", "z", None, last, last + "a", "y" + last, "\ud7ff" + "q", "\ue000"]
+    keys = spark.createDataFrame([(r,) for r in rows], "k string")
+    for prefix in ("", "b", last, "y" + last, "\ud7ff", "c'"):
         got = values(jdbc.read_sliced(lambda p: keys.filter(p), "k", ["b", "c'a"], prefix), "k")
-        assert got == [(k,) for (k,) in values(keys, "k") if k.startswith(prefix)]
+        assert got == [(k,) for (k,) in values(keys, "k") if not prefix or (k or "").startswith(prefix)]
+
+
+def test_columns_of_an_information_schema(spark):
+    view = spark.createDataFrame(
+        [("s", "t", "a", 1, "varchar", 30, None, None, "YES", None), ("s", "t", "b", 2, "decimal", None, 9, 2, "NO", "0"),
+         ("s", "t", "c", 3, "text", None, None, None, "NO", None), ("INFORMATION_SCHEMA", "t", "d", 1, "int", None, 10, 0, "NO", None)],
+        "table_schema string, table_name string, column_name string, ordinal_position long, data_type string,"
+        " character_maximum_length long, numeric_precision long, numeric_scale long, is_nullable string, column_default string",
+    )
+    got = values(jdbc.jdbc_columns(view), "column_name", "pos", "source_type", "is_nullable", "default_value", "size")
+    assert got == [("a", 1, "varchar(30)", True, None, 30), ("b", 2, "decimal(9, 2)", False, "0", 9), ("c", 3, "text", False, None, None)]
+
+
+def test_a_refused_partition_changes_nothing(spark):
+    schema = "table_name string, part_name string, uri string, create_time timestamp_ntz"
+    old = spark.createDataFrame([("t", "d=1", "u1", None), ("t", "d=2", "u2", None)], schema)
+    rows = [("t", "d=1", "x", None, 2), ("t", "d=1", "y", None, 1), ("t", "e=9", "z", None, 1), ("t", "d=3", "w", None, 1)]
+    new = spark.createDataFrame(rows, schema + ", n int")
+    plan = C.plan_partition_save(old, new, keys=["d"])
+    assert values(plan, "part_name", "action") == [("d=1", C.REPEATED), ("d=3", "added"), ("e=9", C.INVALID)]
+    assert values(C.apply_partition_save(old, plan), "part_name", "uri") == [("d=1", "u1"), ("d=2", "u2"), ("d=3", "w")]
+    ordered = C.plan_partition_save(old, new, keys=["d"], order="n")
+    assert ("d=1", "y", "replaced") in values(ordered, "part_name", "uri", "action")
+    assert values(C.apply_partition_save(old, ordered), "part_name", "uri") == [("d=1", "y"), ("d=2", "u2"), ("d=3", "w")]
+
+
+def test_updates_are_judged_in_turn(spark):
+    tables = spark.createDataFrame([("t", "A"), ("e", ""), ("n", None)], "name string, location string")
+    rows = [(1, "t", "A", "B"), (2, "t", "B", "C"), (3, "t", "A", "X"), (4, "t", "C", "C"), (5, "t", "C", "D"), (6, "t", "", "E"),
+            (7, "e", "", "F"), (8, "zz", "A", "B"), (9, "n", None, "F"), (10, "t", "D", None), (11, "t", "D", "G")]
+    judged = C.cas_metadata_location(tables, spark.createDataFrame(rows, "seq long, name string, previous string, new string"))
+    assert {r.seq: r.status for r in judged.collect()} == {
+        1: "accepted", 2: "accepted", 3: "previous location differs", 4: "no-op", 5: "accepted", 6: "previous location empty",
+        7: "stored location empty", 8: "table missing", 9: "stored location empty", 10: "accepted", 11: "stored location empty",
+    }
+    assert values(C.apply_cas(tables, judged), "name", "location") == [("e", ""), ("n", None), ("t", None)]
 
 
 def test_half_written_snapshot_is_not_seen(spark, tmp_path):
