@@ -7,6 +7,7 @@ read out of ``part_name`` where they are needed.
 from __future__ import annotations
 
 import re
+from datetime import datetime, timezone
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
@@ -47,9 +48,31 @@ def partition_values(parts: DataFrame) -> DataFrame:
     return parse_partition_name(parts).withColumn("values", P.ordered_values(F.col("part_name")))
 
 
-def with_key_columns(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """One real column per key, for snapshots whose readers filter on keys at the scan."""
-    return parts.withColumns({f"key_{k}": P.key_value(F.col("part_name"), k) for k in keys})
+def created(op: str, seconds: int) -> Column:
+    """Creation time against an instant in epoch seconds.
+
+    The column is compared as it is, so a scan can take the test over; a missing time meets none but ``!=``.
+    """
+    instant = F.lit(datetime.fromtimestamp(seconds, timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
+    at = F.col("create_time")
+    if op in ("=", "=="):
+        return at.isNotNull() & (at == instant)
+    if op in ("!=", "<>"):
+        return at.isNull() | (at != instant)
+    return at.isNotNull() & {"<": at < instant, "<=": at <= instant, ">": at > instant, ">=": at >= instant}[op]
+
+
+def with_key_columns(parts: DataFrame, keys: list[str], types: dict[str, str] | None = None) -> DataFrame:
+    """One real column per key, for snapshots whose readers filter on keys at the scan.
+
+    ``types`` names the type of keys that are no text (``bigint``, ``date``, ``timestamp_ntz``); comparisons by
+    :func:`predicates.typed` then reach the scan as comparisons of that type.  A value that does not fit its type
+    is null there.
+    """
+    types = types or {}
+    return parts.withColumns(
+        {f"key_{k}": P.key_value(F.col("part_name"), k).try_cast(types.get(k, "string")) for k in keys}
+    )
 
 
 def invalid_names(parts: DataFrame, keys: list[str]) -> DataFrame:

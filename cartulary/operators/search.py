@@ -68,13 +68,24 @@ def tokens(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
+# The fields that a search looks into.
+SEARCHED = ("name", "body", "searchable", "user")
+
+
+def _tables(docs: DataFrame) -> DataFrame:
+    """Live table documents with ``_text``: all that is searched, one field a line."""
+    text = F.concat_ws("\n", *[c for c in SEARCHED if c in docs.columns])
+    live = docs.filter(~F.col("deleted"))
+    return (live.filter("kind = 'table'") if "kind" in docs.columns else live).withColumn("_text", text)
+
+
 def search_docs(docs: DataFrame, term: str) -> DataFrame:
-    """Live documents holding the word, in one scan without a shuffle.
+    """Live table documents holding the word in any field, in one scan without a shuffle.
 
     The boundary test runs in generated code and needs no token array.
     """
     word = r"(?<![\p{L}\p{N}_])" + re.escape(term.lower()) + r"(?![\p{L}\p{N}_])"
-    return docs.filter(~F.col("deleted") & F.lower("body").rlike(word))
+    return _tables(docs).filter(F.lower("_text").rlike(word)).drop("_text")
 
 
 def search_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -82,7 +93,7 @@ def search_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     Common words fill a large share of the index, so the join on them is spread.
     """
-    index = docs.filter(~F.col("deleted")).select("name", F.explode(tokens(F.col("body"))).alias("term"))
+    index = _tables(docs).select("name", F.explode(tokens(F.col("_text"))).alias("term"))
     wanted = terms.select(F.lower("term").alias("term")).distinct()
     return join_hot(index, wanted, ["term"], "inner", ["name"])
 

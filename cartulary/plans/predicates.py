@@ -151,9 +151,8 @@ def predicate_batchid(b: Bindings) -> DataFrame:
     WHERE epoch(create_time) BETWEEN 852076800 AND 883612799""",
 )
 def predicate_date_created(b: Bindings) -> DataFrame:
-    created = P.date_created()
-    found = b.parts.filter(created.between(852076800, 883612799))
-    return found.select("part_id", created.alias("date_created"))
+    found = b.parts.filter(P.created(">=", 852076800) & P.created("<=", 883612799))
+    return found.select("part_id", P.date_created().alias("date_created"))
 
 
 @query(

@@ -38,15 +38,24 @@ def search_build_docs(b: Bindings) -> DataFrame:
 
 @query(
     "search_word", "O-93",
-    sql="""SELECT name FROM v_docs WHERE NOT deleted AND list_contains(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}_]+'), 'the')""",
+    sql="""SELECT name FROM v_docs WHERE NOT deleted AND list_contains(regexp_split_to_array(lower(name || chr(10) || body || chr(10) || "user"), '[^\\p{L}\\p{N}_]+'), 'the')""",
 )
 def search_word(b: Bindings) -> DataFrame:
     return S.search_docs(b.docs, "The").select("name")
 
 
+@query(
+    "search_word_in_name", "O-93",
+    sql="""SELECT name FROM v_docs WHERE NOT deleted AND (source = 'src4'
+        OR list_contains(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}_]+'), 'src4'))""",
+)
+def search_word_in_name(b: Bindings) -> DataFrame:
+    return S.search_docs(b.docs, "SRC4").select("name")
+
+
 @query(
     "search_words", "O-93",
-    sql="""WITH words AS (SELECT DISTINCT name, unnest(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}_]+')) AS term FROM v_docs WHERE NOT deleted)
+    sql="""WITH words AS (SELECT DISTINCT name, unnest(regexp_split_to_array(lower(name || chr(10) || body || chr(10) || "user"), '[^\\p{L}\\p{N}_]+')) AS term FROM v_docs WHERE NOT deleted)
     SELECT term, count(*) AS docs FROM words
     WHERE term IN (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) FROM benchmark) AND term <> '' GROUP BY 1""",
 )

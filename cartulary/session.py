@@ -37,19 +37,23 @@ def local_session(cpus: int = 8, app: str = "cartulary") -> SparkSession:
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session that names none (a test) gets a temporary one.
+    Only a local session that names none (a test) gets a temporary one; no setting is changed.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cartulary-"))
-    return context.getCheckpointDir()
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="cartulary-")
+    return _LOCAL[context.applicationId]
 
 
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:

@@ -215,6 +215,18 @@ def test_word_search_matches_whole_words_only(spark):
     assert one == many == [("a",), ("d",)]
 
 
+def test_search_looks_into_every_field_of_tables(spark):
+    docs = spark.createDataFrame(
+        [("c/d/t1", "table", "x", '{"owner":"ann"}', "bob", False), ("c/d/t2", "table", None, None, "carl", False),
+         ("c/d", "database", "ann", None, "bob", False), ("c/d/t3", "table", "ann", None, "bob", True)],
+        "name string, kind string, body string, searchable string, user string, deleted boolean",
+    )
+    for word, found in {"ANN": ["c/d/t1"], "bob": ["c/d/t1"], "t2": ["c/d/t2"], "carl": ["c/d/t2"], "own": []}.items():
+        assert [r.name for r in S.search_docs(docs, word).collect()] == found
+        terms = spark.createDataFrame([(word,)], "term string")
+        assert [r.name for r in S.search_terms(docs, terms).collect()] == found
+
+
 def test_slices_cover_every_key_once(spark):
     last = chr(0x10FFFF)
     rows = ["a", "ab", "b", "bz", "c'x", "z", None, last, last + "a", "y" + last, "\ud7ff" + "q", "\ue000"]

@@ -51,3 +51,30 @@ def test_snapshot_with_key_columns_prunes(spark, small, tmp_path):
     assert "StringStartsWith(key_dateint,1997)" in plan_of(read.filter(Q.like(day, "1997%1")))
     prefix = plan_of(N.starts_with_name(read, "dateint=1997", "part_name"))
     assert "StringStartsWith(part_name,dateint=1997)" in prefix
+
+
+def test_typed_keys_and_creation_times_reach_the_scan(spark, small, tmp_path):
+    path = str(tmp_path / "typed")
+    parts = Bindings(spark, small).parts
+    write_snapshot(P.with_key_columns(parts, ["dateint", "status"], {"dateint": "bigint"}), path)
+    read = read_snapshot(spark, path)
+    days = Q.typed(F.col("key_dateint"), "integral", ">=", 19970101) & Q.typed(F.col("key_dateint"), "integral", "<", 19970201)
+    plan = plan_of(read.filter(days))
+    assert "GreaterThanOrEqual(key_dateint,19970101)" in plan and "LessThan(key_dateint,19970201)" in plan
+    dateint = P.key("dateint", ["dateint", "status"])
+    wanted = parts.filter(Q.compare(dateint, ">=", 19970101) & Q.compare(dateint, "<", 19970201))
+    assert read.filter(days).count() == wanted.count() > 0
+    plan = plan_of(read.filter(P.created(">", 852076800)))
+    assert "GreaterThan(create_time,1997-01-01T00:00" in plan
+    times = spark.createDataFrame([(None,), ("1997-01-01 00:00:00",), ("1997-01-01 00:00:00.5",)], "t string")
+    times = times.select(F.col("t").cast("timestamp_ntz").alias("create_time"))
+    counts = [times.filter(P.created(op, 852076800)).count() for op in ("=", "!=", "<", "<=", ">", ">=")]
+    assert counts == [1, 2, 0, 1, 1, 2]
+
+
+def test_a_local_session_keeps_its_settings(spark):
+    from cartulary.session import shared_folder
+
+    before = spark.sparkContext.getCheckpointDir()
+    assert shared_folder(spark) == shared_folder(spark)
+    assert spark.sparkContext.getCheckpointDir() == before
