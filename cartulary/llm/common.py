@@ -19,7 +19,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="llm-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
