@@ -37,7 +37,7 @@ BEFORE = 256, 64  # the same for the subword before a target, in the counts of w
 SPREAD = 8  # in training, a window's loss is taken at every eighth of its targets, by turns
 BATCH, STEPPED = 128, 256  # windows scored at a time, and windows of one training step
 PRIOR = 20.0  # weight of a subword's plain share of its class, in counts
-MIX = 0.5  # weight of the words' own counts in the probability of a word
+MIXES = 0.3, 0.6, 0.9  # weights that the words' own counts may have in a text, all as likely beforehand
 
 
 @lru_cache(maxsize=2)
@@ -495,11 +495,12 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str = VOCABUL
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row per row of ``docs``.
 
     Texts are lower-cased (A-Z); tokens are the words and one end.  base_score is the log10 probability under
-    the counts of the training documents' tokens with 0.1 added.  score is that under the model: a token has
-    half the probability that the attention model gives its subwords, one after the other, and half its share
-    of the training tokens.  Null texts are empty: their one token is the end.  Without training documents the
-    counts are zero and the model is as it was drawn.  Repeated rows count each time and score alike; other
-    columns are ignored; an empty table gives an empty result.
+    the counts of the training documents' tokens with 0.1 added.  score is that under the model: a token's
+    probability is mixed from what the attention model gives its subwords, one after the other, and its share of
+    the training tokens; the text's probability is the mean over the weights ``MIXES`` of the two.  Null texts
+    are empty: their one token is the end.  Without training documents the counts are zero and the model is as it
+    was drawn.  Repeated rows count each time and score alike; other columns are ignored; an empty table gives an
+    empty result.
     """
     kind = docs.schema[id].dataType.simpleString()
     words = Vocabulary.read(vocabulary)
@@ -531,7 +532,7 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str = VOCABUL
             base = np.bincount(doc, (np.log10(c + 0.1) - floor)[codes], len(sizes)) + np.log10(n_ends + 0.1) - floor
             known = np.bincount(doc, c[codes] > 0, len(sizes)).astype(np.int64) + (n_ends > 0)
             with np.errstate(divide="ignore"):
-                plain, plain_end = np.log(MIX * c / max(total, 1)), np.log(MIX * n_ends / max(total, 1))
+                plain, plain_end = np.log(c / max(total, 1)), np.log(n_ends / max(total, 1))
             score = np.zeros(len(sizes))
             for part, ids, starts, lengths in documents(row.sizes, row.codes, row.subs, row.sub_sizes, end, np.arange(len(sizes))):
                 context, target = windows(ids, starts, lengths, end)
@@ -540,10 +541,12 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str = VOCABUL
                 code = codes[_runs(np.cumsum(sizes)[part] - sizes[part], sizes[part].astype(np.int64))]
                 ends = np.cumsum(sizes[part].astype(np.int64))
                 length = np.insert(np.frombuffer(row.sub_sizes, np.int32)[code].astype(np.int64), ends, 1)
-                spelled = np.add.reduceat(found, np.cumsum(length) - length) + np.log(1 - MIX)
-                token = np.logaddexp(spelled, np.insert(plain[code], ends, plain_end))
+                spelled = np.add.reduceat(found, np.cumsum(length) - length)
                 of = np.repeat(np.arange(len(part)), sizes[part] + 1)
-                score[part] = np.bincount(of, token, len(part)) / np.log(10)
+                own = np.exp(np.minimum(np.insert(plain[code], ends, plain_end) - spelled, 700))
+                each_mix = [np.bincount(of, np.log(w * own + (1 - w)), len(part)) for w in MIXES]
+                text = np.bincount(of, spelled, len(part)) + np.logaddexp.reduce(each_mix) - np.log(len(MIXES))
+                score[part] = text / np.log(10)
             made.append(pd.DataFrame({
                 "id": row.ids, "held_out": row.held, "n_tokens": sizes.astype(np.int64) + 1, "n_known": known,
                 "train_tokens": total, "base_score": base, "score": score,
