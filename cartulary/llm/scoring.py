@@ -29,13 +29,13 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 WORDS = 3_000_000  # words that a block holds, about
-WIDTH = 24  # of the vectors
+WIDTH = 16  # of the vectors
 STEP = 16  # targets of a window
 REACH = 8  # subwords before its first target that a window sees
 SINGLE, GROUPS = 48, 16  # classes that the model tells apart: frequent subwords, and groups of the others
-BEFORE = 256, 64  # the same for the subword before a target, in the counts of what follows it
+BEFORE = 512, 64  # the same for the subword before a target, in the counts of what follows it
 SPREAD = 8  # in training, a window's loss is taken at every eighth of its targets, by turns
-BATCH, STEPPED = 128, 256  # windows scored at a time, and windows of one training step
+BATCH, STEPPED = 256, 512  # windows scored at a time, and windows of one training step
 PRIOR = 20.0  # weight of a subword's plain share of its class, in counts
 MIXES = 0.3, 0.6, 0.9  # weights that the words' own counts may have in a text, all as likely beforehand
 
@@ -415,7 +415,7 @@ def pair_counts(blocks: DataFrame, model: Model, end: int) -> Model:
     return model
 
 
-def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.1) -> Model:
+def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.12) -> Model:
     """A model that has seen every training document once.
 
     Each task starts from the same model, takes steps over its blocks and gives back what it has moved; the
@@ -468,24 +468,52 @@ def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.1) ->
     return model
 
 
-def score_windows(model: Model, tables, within, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The natural log probability of each target, 0 where there is none."""
-    everywhere, out = np.arange(STEP), np.zeros(target.shape, dtype=np.float32)
-    (pairs, of_class), prior = within, (PRIOR * model.share).astype(np.float32)
-    for at in range(0, len(context), BATCH):
-        y = target[at : at + BATCH]
-        _, hidden = attend(tables, model.near, context[at : at + BATCH], everywhere)
-        z = hidden.reshape(-1, WIDTH) @ model.out
-        z += model.bias
-        real, y = (y >= 0).ravel(), np.maximum(y, 0).ravel()
-        kind, before = model.classes[y], model.before[context[at : at + BATCH, REACH:].ravel()]
-        found = z[np.arange(len(y)), kind]
-        top = z.max(axis=1)
-        z -= top[:, None]
-        found -= top + np.log(np.exp(z, out=z).sum(axis=1))
-        found += np.log(pairs[before, model.columns[y]] + prior[y]) - of_class[before, kind]
-        out[at : at + BATCH] = np.where(real, found, 0).reshape(-1, STEP)
-    return out
+class Scorer:
+    """A model made ready for scoring: what depends on one subword alone is computed once for all of them.
+
+    A last row stands for nothing, with a key that no query attends to, and the values carry a 1 whose mean is
+    the sum to divide by.  Attention scores and class scores are kept from overflowing by bounds on them.
+    """
+
+    def __init__(self, model: Model) -> None:
+        q, k, direct, value = model.tables(model.x)
+        n = len(q)
+        row = lambda v, last: np.vstack([v, np.full((1, v.shape[1]), last, v.dtype)])
+        column = lambda v, x: np.hstack([v, np.full((n, 1), x, v.dtype)])
+        self.q, self.k, self.value = row(column(q, 1), 0), row(column(k, 0), 0), row(column(value, 1), 0)
+        self.k[-1, -1] = -1e9
+        self.direct = row(direct, 0)
+        back = REACH + np.arange(STEP)[:, None] - np.arange(REACH + STEP)[None, :]
+        self.near = np.where(back >= 0, model.near[np.maximum(back, 0)], np.float32(-1e9))
+        self.out, self.bias = model.out, model.bias
+        self.top = np.float32((np.abs(model.out).sum(axis=0) + model.bias).max())
+        self.classes, self.before, self.columns = model.classes, model.before, model.columns
+        self.pairs, self.of_class = model.within()
+        self.prior = (PRIOR * model.share).astype(np.float32)
+
+    def score(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The natural log probability of each target, 0 where there is none."""
+        out = np.zeros(target.shape, dtype=np.float32)
+        for at in range(0, len(context), BATCH):
+            seen, y = context[at : at + BATCH], target[at : at + BATCH].ravel()
+            query = seen[:, REACH:]
+            weights = self.q[query] @ self.k[seen].transpose(0, 2, 1)
+            weights += self.near
+            np.minimum(weights, 60, out=weights)
+            np.exp(weights, out=weights)
+            mean = weights @ self.value[seen]
+            hidden = mean[:, :, :-1] / np.maximum(mean[:, :, -1:], np.float32(1e-30))
+            hidden += self.direct[query]
+            z = np.tanh(hidden, out=hidden).reshape(-1, WIDTH) @ self.out
+            z += self.bias
+            kind, before = self.classes[y], self.before[query.ravel()]
+            found = z[np.arange(len(y)), kind]
+            top = self.top if self.top < 60 else z.max(axis=1)
+            z -= top if self.top < 60 else top[:, None]
+            found -= top + np.log(np.exp(z, out=z).sum(axis=1))
+            found += np.log(self.pairs[before, self.columns[y]] + self.prior[y]) - self.of_class[before, kind]
+            out[at : at + BATCH] = np.where(y >= 0, found, 0).reshape(-1, STEP)
+        return out
 
 
 SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -522,7 +550,7 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str = VOCABUL
     def each(key, block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         made: list[pd.DataFrame] = []
         model = held.value
-        tables, within = model.tables(model.x), model.within()
+        scorer = Scorer(model)
         floor = np.log10(total + 0.1 * (distinct + 1))
         for row in block.itertuples(index=False):
             c = np.zeros(len(row.train), dtype=np.int64)
@@ -536,7 +564,7 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str = VOCABUL
             score = np.zeros(len(sizes))
             for part, ids, starts, lengths in documents(row.sizes, row.codes, row.subs, row.sub_sizes, end, np.arange(len(sizes))):
                 context, target = windows(ids, starts, lengths, end)
-                found = score_windows(model, tables, within, context, target)[target >= 0].astype(np.float64)
+                found = scorer.score(context, target)[target >= 0].astype(np.float64)
                 # a token's subwords lie side by side; the end is a token of its own
                 code = codes[_runs(np.cumsum(sizes)[part] - sizes[part], sizes[part].astype(np.int64))]
                 ends = np.cumsum(sizes[part].astype(np.int64))

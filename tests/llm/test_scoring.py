@@ -121,3 +121,21 @@ def test_words_encoded_together_are_as_encoded_alone():
         ids, sizes = voc.encode(some)
         alone = [own.encode_ordinary(" " + w.decode()) for w in some]
         assert ids.tolist() == [x for m in alone for x in m] and sizes.tolist() == [len(m) for m in alone]
+
+
+def test_scorer_agrees_with_the_model_step_by_step():
+    draw = np.random.default_rng(9)
+    model = S.Model.fresh(draw.integers(0, 1000, 300))
+    model.columns, model.pairs = np.arange(300) % 90, draw.integers(0, 9, (sum(S.BEFORE), 91)).astype(np.float32)
+    model.near += draw.normal(size=len(model.near)).astype(np.float32)
+    sizes = np.array([1, 2, 40, 700])
+    ids = draw.integers(0, 300, sizes.sum())
+    context, target = S.windows(ids, np.cumsum(sizes) - sizes, sizes, 299)
+    got = S.Scorer(model).score(context, target)
+    _, hidden = S.attend(model.tables(model.x), model.near, context, np.arange(S.STEP))
+    pairs, of = model.within()
+    y, before = np.maximum(target, 0), model.before[np.maximum(context[:, S.REACH :], 0)]
+    kind = model.classes[y]
+    want = np.take_along_axis(S.class_log_odds(model, hidden), kind[:, :, None], 2)[:, :, 0]
+    want += np.log(pairs[before, model.columns[y]] + S.PRIOR * model.share[y]) - of[before, kind]
+    assert np.allclose(got, np.where(target >= 0, want, 0), atol=1e-3)
