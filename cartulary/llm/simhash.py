@@ -103,7 +103,7 @@ def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     are those of ``docs``.
     """
     groups = simhash_groups(docs, id, text).where(F.col(id).eqNullSafe(F.col("component_id")))
-    stays = groups.groupBy(F.col(id).alias("_keep")).agg(F.count("*").alias("_same"), F.countDistinct("fp").alias("_fps"))
+    stays = groups.groupBy(F.col(id).alias("_keep")).agg(F.count("*").alias("_same"))
     match = docs[id].eqNullSafe(stays["_keep"])
     once = docs.join(stays.where("_same = 1"), match, "left_semi")
     again = docs.join(stays.where("_same > 1"), match, "left_semi").dropDuplicates([id])
