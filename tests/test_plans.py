@@ -23,10 +23,15 @@ def test_no_query_compares_all_pairs(spark, small, name):
 
 
 def test_listing_with_a_limit_is_a_top_k(spark, small):
-    plan = plan_of(QUERIES["partition_list_page"].build(Bindings(spark, small)))
+    plan = plan_of(P.list_partitions(Bindings(spark, small).parts, limit=20))
     assert "TakeOrderedAndProject" in plan
 
 
+def test_a_page_with_an_offset_never_goes_through_one_task(spark, small):
+    plan = plan_of(QUERIES["partition_list_page"].build(Bindings(spark, small)))
+    assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan and "_range" in plan
+
+
 def test_listing_without_a_limit_never_goes_through_one_task(spark, small):
     plan = plan_of(QUERIES["sort_page_rest"].build(Bindings(spark, small)))
     assert "rangepartitioning" in plan and "GlobalLimit" not in plan.split("TakeOrderedAndProject")[0]
