@@ -34,7 +34,6 @@ STEP = 16  # targets of a window
 REACH = 8  # subwords before its first target that a window sees
 SINGLE, GROUPS = 48, 16  # classes that the model tells apart: frequent subwords, and groups of the others
 BEFORE = 512, 64  # the same for the subword before a target, in the counts of what follows it
-SPREAD = 8  # in training, a window's loss is taken at every eighth of its targets, by turns
 BATCH, STEPPED = 256, 512  # windows scored at a time, and windows of one training step
 PRIOR = 20.0  # weight of a subword's plain share of its class, in counts
 MIXES = 0.3, 0.6, 0.9  # weights that the words' own counts may have in a text, all as likely beforehand
@@ -419,9 +418,9 @@ def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.12) -
     """A model that has seen every training document once.
 
     Each task starts from the same model, takes steps over its blocks and gives back what it has moved; the
-    moves are averaged with the windows they come from as weights.  Every window of every training document
-    counts; its loss is taken at every eighth target, by turns.  To the driver come one vector per subword
-    that was seen and the other parts of the model, however large the corpus.
+    moves are averaged with the windows they come from as weights.  The loss is taken at every target of every
+    training document, in the windows that scoring has.  To the driver come one vector per subword that was
+    seen and the other parts of the model, however large the corpus.
     """
     model = Model.fresh(counts)
     held = blocks.sparkSession.sparkContext.broadcast(model)
@@ -430,20 +429,17 @@ def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.12) -
         start = held.value
         own = replace(start, **{k: getattr(start, k).copy() for k in Model.LEARNED})
         squares = {k: np.full_like(getattr(own, k), 1e-7) for k in Model.LEARNED}
-        seen, steps = np.zeros(len(own.x), dtype=bool), 0
-        total = 0
+        seen, total = np.zeros(len(own.x), dtype=bool), 0
         for batch in batches:
             for row in batch.itertuples(index=False):
                 wanted = np.flatnonzero(~np.asarray(row.held, dtype=bool))
                 for _, ids, starts, sizes in documents(row.sizes, row.codes, row.subs, row.sub_sizes, end, wanted):
                     seen[ids] = True
-                    # windows side by side, and as wide as those for scoring: each subword is a key once
-                    context, target = windows(ids, starts, sizes, end, 0, REACH + STEP)
+                    context, target = windows(ids, starts, sizes, end)
                     mixed = np.random.default_rng(len(ids)).permutation(len(context))
                     for at in range(0, len(mixed), STEPPED):
                         part = mixed[at : at + STEPPED]
-                        learn(own, squares, context[part], target[part], np.arange(steps % SPREAD, REACH + STEP, SPREAD), rate, 0)
-                        steps += 1
+                        learn(own, squares, context[part], target[part], np.arange(STEP), rate)
                     total += len(mixed)
         if not total:
             return

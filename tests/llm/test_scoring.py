@@ -67,6 +67,15 @@ def test_gradients_agree_with_differences():
             assert slope.ravel()[i] == pytest.approx((up - down) / 2e-4, rel=0.05, abs=1e-4), name
 
 
+def test_every_target_of_a_short_text_is_learned(spark):
+    vocabulary = S.Vocabulary.read()
+    docs = spark.createDataFrame([(1, "red green blue white black", False)], "id long, text string, held boolean").coalesce(1)
+    blocks = S.code_blocks(docs, vocabulary)
+    counts = S.subword_counts(blocks, vocabulary)
+    moved = (S.train(blocks, counts, vocabulary.end).x != S.Model.fresh(counts).x).any(axis=1)
+    assert np.array_equal(moved, counts > 0) and moved.sum() > 5  # each stands before some target
+
+
 def test_class_shares_sum_to_one():
     model = S.Model.fresh(np.random.default_rng(5).integers(0, 1000, 700))
     assert np.bincount(model.classes, model.share) == pytest.approx(1)
