@@ -29,12 +29,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 WORDS = 3_000_000  # words that a block holds, about
-WIDTH = 16  # of the vectors
+WIDTH = 24  # of the vectors
 STEP = 16  # targets of a window
-REACH = 8  # subwords before its first target that a window sees
-SINGLE, GROUPS = 48, 16  # classes that the model tells apart: frequent subwords, and groups of the others
+REACH = 16  # subwords before its first target that a window sees
+SINGLE, GROUPS = 128, 32  # classes that the model tells apart: frequent subwords, and groups of the others
 BEFORE = 512, 64  # the same for the subword before a target, in the counts of what follows it
-BATCH, STEPPED = 256, 512  # windows scored at a time, and windows of one training step
+BATCH, STEPPED = 256, 256  # windows scored at a time, and windows of one training step
 PRIOR = 20.0  # weight of a subword's plain share of its class, in counts
 MIXES = 0.3, 0.6, 0.9  # weights that the words' own counts may have in a text, all as likely beforehand
 
@@ -414,7 +414,7 @@ def pair_counts(blocks: DataFrame, model: Model, end: int) -> Model:
     return model
 
 
-def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.12) -> Model:
+def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.1) -> Model:
     """A model that has seen every training document once.
 
     Each task starts from the same model, takes steps over its blocks and gives back what it has moved; the

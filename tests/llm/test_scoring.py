@@ -76,6 +76,15 @@ def test_every_target_of_a_short_text_is_learned(spark):
     assert np.array_equal(moved, counts > 0) and moved.sum() > 5  # each stands before some target
 
 
+def test_a_target_sees_sixteen_subwords_back_and_classes_tell_frequent_ones_apart():
+    model = S.Model.fresh(np.arange(1000, 0, -1))
+    assert model.x.shape[1] >= 24 and len(model.bias) >= 160 and len(set(model.classes[:128].tolist())) == 128
+    ids = np.arange(100)
+    context, target = S.windows(ids, np.array([0]), np.array([100]), 999)
+    row = context[np.flatnonzero((target == 64).any(axis=1))[0]]
+    assert set(range(48, 64)) <= set(row.tolist())
+
+
 def test_class_shares_sum_to_one():
     model = S.Model.fresh(np.random.default_rng(5).integers(0, 1000, 700))
     assert np.bincount(model.classes, model.share) == pytest.approx(1)
