@@ -18,7 +18,9 @@ PIVOTS = 32  # vectors, on average, by which a cell is split
 NEIGHBOURS = 16  # that pruning leaves to a node; links back come on top
 ALPHA = 1.2
 BEAM = 16
-RECALL = 0.98  # below it, on the audited queries, the search is done again with a wider beam
+WIDEST = 8 * BEAM
+RECALL = 0.98  # below it, on a cell's audited queries, the cell is searched with a wider beam, at last exactly
+AUDITED = 8  # every eighth query of a cell is audited
 
 
 def unit(column: str) -> Column:
@@ -92,7 +94,7 @@ def prune(v: np.ndarray, most: int = NEIGHBOURS, alpha: float = ALPHA) -> list[n
     order = np.argsort(-near, axis=1, kind="stable")
     chosen = []
     for i in range(n):
-        rest = order[i][order[i] != i][: 8 * most]
+        rest = order[i][order[i] != i]
         mine: list[int] = []
         left = rest
         while len(left) and len(mine) < most:
@@ -104,13 +106,39 @@ def prune(v: np.ndarray, most: int = NEIGHBOURS, alpha: float = ALPHA) -> list[n
     return chosen
 
 
-def search(q: np.ndarray, v: np.ndarray, links: list[np.ndarray], entry: int, least: float, beam: int) -> np.ndarray:
+def entries(v: np.ndarray, links: list[np.ndarray]) -> list[int]:
+    """The medoid of each connected part of the graph."""
+    part = np.full(len(v), -1)
+    found = []
+    for i in range(len(v)):
+        if part[i] >= 0:
+            continue
+        part[i], todo = i, [i]
+        while todo:
+            new = links[todo.pop()]
+            new = new[part[new] < 0]
+            part[new] = i
+            todo += new.tolist()
+        mine = np.flatnonzero(part == i)
+        found.append(int(mine[(v[mine] @ v[mine].mean(axis=0)).argmax()]))
+    return found
+
+
+def exact(q: np.ndarray, v: np.ndarray, least: float, block: int = 256) -> Iterator[np.ndarray]:
+    """All nodes with a product of ``least`` or more, for each row of ``q``."""
+    for at in range(0, len(q), block):
+        for near in q[at : at + block] @ v.T >= least:
+            yield np.flatnonzero(near)
+
+
+def search(q: np.ndarray, v: np.ndarray, links: list[np.ndarray], entry: int | list[int], least: float, beam: int) -> np.ndarray:
     """The nodes found with a product of ``least`` or more.
 
-    Greedy from the entry: of the best ``beam`` nodes seen the best not yet opened is opened, until all are.
+    Greedy from the entry, or from several: of the best ``beam`` nodes seen the best not yet opened is opened, until all are.
     Then the range expands: every node in range is opened too, and what it brings into range, till none is left.
     """
-    seen, opened = {entry: float(v[entry] @ q)}, set()
+    at = np.unique(entry)
+    seen, opened = dict(zip(at.tolist(), (v[at] @ q).tolist())), set()
     while True:
         best = sorted(seen, key=seen.get, reverse=True)[:beam]
         at = next((i for i in best if i not in opened), None)
@@ -139,8 +167,11 @@ def _search_cell(graph: pd.DataFrame, queries: pd.DataFrame, least: float, beam:
     """What the queries find in one cell, as rows of ``FOUND``.
 
     links: the weight found among vectors at home here (each is at home in one cell, so nothing counts twice);
-    edge: a spanning forest of what was found; visit: other cells where a found vector is a member; and for one
-    query in a hundred right and true: how many it found, and how many there are.
+    edge: a spanning forest of what was found; visit: other cells where a found vector is a member.
+
+    A query enters at its own node, if it has one here, and at the medoid of each connected part.  Every eighth
+    query is first held against all vectors of the cell: below ``RECALL`` the beam is doubled, and where that
+    does not help up to ``WIDEST``, all queries are held against all vectors.
     """
     graph = graph.sort_values("key").reset_index(drop=True)
     v, keys = np.stack(graph["v"]), graph["key"].to_numpy()
@@ -153,7 +184,7 @@ def _search_cell(graph: pd.DataFrame, queries: pd.DataFrame, least: float, beam:
                 around[i].add(j)
                 around[j].add(i)
     links = [np.array(sorted(a), dtype=np.int64) for a in around]
-    entry = int((v @ v.mean(axis=0)).argmax())  # the medoid
+    medoids = entries(v, links)
     weight, home = graph["m"].to_numpy(), graph["home"].to_numpy(dtype=bool)
     root: dict[int, int] = {}
 
@@ -162,12 +193,25 @@ def _search_cell(graph: pd.DataFrame, queries: pd.DataFrame, least: float, beam:
             root[k] = k = root[root[k]]
         return k
 
-    right = true = 0
-    for key, q in zip(queries["key"].tolist(), queries["v"]):
-        found = search(q, v, links, entry, least, beam)
-        if key % 100 == 0:
-            right += len(found)
-            true += int((v @ q >= least).sum())
+    queries = queries.sort_values("key")
+    asked, q = queries["key"].tolist(), np.stack(queries["v"])
+
+    def near(i: int) -> np.ndarray:
+        own = place.get(asked[i])
+        return search(q[i], v, links, medoids if own is None else [own, *medoids], least, beam)
+
+    audited = range(0, len(q), AUDITED)
+    true = sum(map(len, exact(q[::AUDITED], v, least)))
+    while True:
+        known = {i: near(i) for i in audited}
+        if sum(map(len, known.values())) >= RECALL * true:
+            results = (known[i] if i in known else near(i) for i in range(len(q)))
+            break
+        beam *= 2
+        if beam > WIDEST:
+            results = exact(q, v, least)
+            break
+    for key, found in zip(asked, results):
         found = found[keys[found] != key]
         if not len(found):
             continue
@@ -181,7 +225,6 @@ def _search_cell(graph: pd.DataFrame, queries: pd.DataFrame, least: float, beam:
     for k in list(root):
         if top(k) != k:
             yield "edge", k, top(k), None
-    yield "audit", right, true, None
 
 
 def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = COSINE, cell: int = CELL) -> DataFrame:
@@ -194,8 +237,8 @@ def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding",
     them, so copies, however many, cost nothing.  Null ids are never the smallest if there is another.
 
     A query starts in the cells it belongs to and visits every cell where something it found is a member, round
-    after round, till no visit is new.  One query in a hundred is held against all vectors of the cells it
-    searches; below ``RECALL`` the search is done again with twice the beam.
+    after round, till no visit is new.  In each cell some queries are audited, and a cell whose audit stays below
+    ``RECALL`` is searched exactly.
     """
     sound = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     given = rows.select(F.col(id).alias("id"), F.col(label).cast("string").alias("label"), unit(vector).alias("v"))
@@ -215,12 +258,7 @@ def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding",
     united = lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     cells = members.groupBy("key").agg(F.collect_set("cell").alias("cells"))
     graph = store(members.join(united, "key").join(cells, "key"), "graph")
-    beam = BEAM
-    while True:
-        found, right, true = _rounds(graph, least, beam, cell)
-        if right >= RECALL * true or beam > 64 * BEAM:
-            break
-        beam *= 2
+    found = _rounds(graph, least, BEAM, cell)
 
     links = found.where("kind = 'links'").groupBy("key").agg(F.sum("other").alias("n"))
     roots = components(found.where("kind = 'edge'").select(F.col("key").alias("a"), F.col("other").alias("b")))
@@ -236,8 +274,8 @@ def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding",
     )
 
 
-def _rounds(graph: DataFrame, least: float, beam: int, cell: int) -> tuple[DataFrame, int, int]:
-    """All rows found, and of the audited queries how many links were found and how many there are."""
+def _rounds(graph: DataFrame, least: float, beam: int, cell: int) -> DataFrame:
+    """All rows found."""
 
     def search_group(name, nodes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         made = _search_cell(nodes, queries, least, beam) if len(queries) and len(nodes) else ()
@@ -266,5 +304,4 @@ def _rounds(graph: DataFrame, least: float, beam: int, cell: int) -> tuple[DataF
         done = done.union(queries)
     if found is None:
         found = graph.sparkSession.createDataFrame([], FOUND)
-    audit = found.where("kind = 'audit'").agg(F.sum("key"), F.sum("other")).first()
-    return found, audit[0] or 0, audit[1] or 0
+    return found

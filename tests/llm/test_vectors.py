@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from cartulary.llm.vectors import near_vectors, prune, search
+import pandas as pd
+
+from cartulary.llm.vectors import _search_cell, near_vectors, prune, search
 
 
 def clustered(n=1500, d=24, seed=7):
@@ -39,6 +41,36 @@ def test_recall_and_precision_against_brute_force(spark, cell):
     assert np.mean([got[i]["component_id"] == root[i] for i in range(len(v))]) > 0.97
 
 
+def groups(sizes, others, d=64, seed=5):
+    draw = np.random.default_rng(seed)
+    centre = draw.normal(size=(len(sizes), d))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    near = [c + draw.normal(scale=0.22 / d**0.5, size=(n, d)) for c, n in zip(centre, sizes)]
+    return np.concatenate([*near, draw.normal(size=(others, d))])
+
+
+@pytest.mark.parametrize("sizes, others", [((150, 150, 150), 0), ((120, 120, 120, 120), 30)])
+def test_several_large_groups_in_one_cell(spark, sizes, others):
+    v = groups(sizes, others)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links, root = slow(v, np.ones(len(v)))
+    got = {r["vec_id"]: r for r in found}
+    assert len(set(root[: sum(sizes)])) == len(sizes) and links.sum() > 0.9 * sum(n * (n - 1) for n in sizes)
+    assert sum(got[i]["n_links"] for i in got) >= 0.98 * links.sum()
+    assert [got[i]["component_id"] for i in range(len(v))] == root.tolist()
+
+
+def test_a_cell_that_its_graph_does_not_open_up_is_searched_exactly():
+    v = groups((60,) * 5, 100)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ring = np.random.default_rng(1).permutation(len(v))
+    after = dict(zip(ring.tolist(), np.roll(ring, -1).tolist()))
+    graph = pd.DataFrame({"key": range(len(v)), "v": list(v), "m": 1, "home": True, "near": [[after[i]] for i in range(len(v))], "cells": [[]] * len(v)})
+    made = list(_search_cell(graph, graph[["key", "v"]], 0.93, 16))
+    assert {k: n for kind, k, n, _ in made if kind == "links"} == {i: n for i, n in enumerate(slow(v, np.ones(len(v)))[0].tolist()) if n}
+
+
 def test_masses_of_copies_and_of_one_direction(spark):
     rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(3000)]
     rows += [(3000 + i, [0.3 * (1 + i / 7), 0.0, 0.0], 1) for i in range(700)]
