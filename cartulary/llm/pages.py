@@ -11,8 +11,22 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-#: Their content is no text of the page.
-RAW = "script style template noscript iframe textarea svg canvas object title head select button"
+#: Their content is no text of the page and holds no tags; unclosed, it goes to the end of the page.
+RAW = "script style noscript iframe textarea title"
+#: Their content is no text of the page either, but it holds tags, which may end it.
+ASIDE = set("template svg foreignobject canvas object head select button".split())
+#: Of these, those whose content is the page's if they have no end of their own.
+EMPTY = {"template", "canvas", "object"}
+#: What an open element cannot hold, so that its start ends the element; head ends at anything but HEAD.
+HEAD = set("base basefont bgsound link meta noscript script style template title html head object".split())
+SELECT = set("select option optgroup hr script template".split())
+LABEL_ENDS = set(  # of a button
+    "button p h1 h2 h3 h4 h5 h6 article main section nav aside header footer form table ul ol dl figure blockquote pre body".split()
+)
+DRAWN = set(  # tags of pages, which are none of drawings: they end an open svg
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing main menu meta"
+    " nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section nav aside header footer".split()
+)
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
@@ -41,6 +55,15 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|di
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "apart")
 
 
+def ends(tag: str, held: str) -> bool:
+    """Whether the start of an element implies the end of the open element ``held``."""
+    if held == "head":
+        return tag not in HEAD
+    if held == "select":
+        return tag == "input" or tag not in SELECT and tag not in INLINE
+    return tag in {"svg": DRAWN, "button": LABEL_ENDS}.get(held, ())
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -64,7 +87,7 @@ def set_apart(tag: str, attrs: str, inside: bool) -> bool:
 def blocks(html: str) -> list[Block]:
     """The page's text between block-level tags, in page order, white space folded, references decoded."""
     made: list[Block] = []
-    held: list[tuple[str, bool, bool]] = []  # open holders: tag, inside, apart
+    held: list[tuple[str, bool, bool, tuple | None]] = []  # open holders: tag, inside, apart, what an ASIDE interrupts
     inside = apart = False
     parts: list[str] = []
     linked, in_link = 0, 0
@@ -77,8 +100,25 @@ def blocks(html: str) -> list[Block]:
             made.append(Block(text, n, min(linked, n), inside, apart))
         parts, linked = [], 0
 
+    def leave(closed: bool) -> str:
+        """The last holder ends, by its own end tag or not: what stood in an ASIDE goes, the text before it goes on."""
+        nonlocal inside, apart, parts, linked, in_link
+        tag, inside, apart, before = held.pop()
+        if before:
+            inner, rest = made[before[0] :], (parts, linked, in_link)
+            del made[before[0] :]
+            _, parts, linked, in_link = before
+            if tag in EMPTY and not closed:
+                if inner:
+                    end()
+                made.extend(inner)
+                parts, linked, in_link = parts + rest[0], linked + rest[1], rest[2]
+        return tag
+
     def add(piece: str) -> None:
         nonlocal linked
+        if held and held[-1][0] == "head" and piece.strip():
+            leave(False)
         if piece:
             parts.append(piece)
             if in_link:
@@ -91,6 +131,19 @@ def blocks(html: str) -> list[Block]:
         tag = (m["tag"] or "").lower()
         if m["raw"] or not tag:
             continue
+        if not m["close"]:
+            while held and ends(tag, held[-1][0]):
+                leave(False)
+        if tag in ASIDE:
+            if not m["close"]:
+                if not (m["attrs"] or "").endswith("/"):
+                    held.append((tag, inside, apart, (len(made), parts, linked, in_link)))
+                    parts, linked, in_link = [], 0, 0
+            elif any(t == tag for t, *_ in held):
+                while held[-1][0] != tag:
+                    leave(False)
+                leave(True)
+            continue
         if tag == "a":
             in_link = 0 if m["close"] else 1
         if tag in INLINE:
@@ -103,15 +156,17 @@ def blocks(html: str) -> list[Block]:
         if tag not in HOLDERS:
             continue
         if not m["close"]:
-            held.append((tag, inside, apart))
+            held.append((tag, inside, apart, None))
             apart = apart or set_apart(tag, m["attrs"] or "", inside)
             inside = inside or tag in BODY
         elif any(t == tag for t, *_ in held):
-            while True:
-                t, inside, apart = held.pop()
-                if t == tag:
-                    break
+            while leave(False) != tag:
+                end()
     add(html[at:])
+    while any(before for *_, before in held):
+        if not held[-1][3]:
+            end()
+        leave(False)
     end()
     return made
 
@@ -220,6 +275,8 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``main_text``: the text of the article of each page, from the whole html.
 
     Null, empty and text-free pages have an empty text.  Unclosed elements end with the element around them,
-    unclosed scripts and comments with the page.  Blocks of any length stay whole, repeated pages get equal texts.
+    unclosed scripts, styles, text areas, titles, frames and comments with the page.  Drawings, objects, buttons,
+    lists to select from, templates and the head are no text; where they are unclosed they end by themselves (/>) or
+    at the first element that they cannot hold.  Blocks of any length stay whole, repeated pages get equal texts.
     """
     return pages.withColumn("main_text", extract(F.col(html)))

@@ -25,6 +25,24 @@ def test_cases(html, text):
     assert main_text(html, TREE) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<html><head><title>t</title><meta charset=x><body><article><p>In.</p></article>", "In."),
+    ("<head><title>t</title><article><p>In.</p></article>", "In."), ("<head><article>In.</article>", "In."),
+    ("<svg viewBox='0 0 1 1'/><article><p>In.</p></article>", "In."), ("<article><p>a<svg><text>x</text></svg>b</p></article>", "ab"),
+    ("<svg><text>x<article><p>In.</p></article>", "In."), ("<article><p>a</p><svg><text>x</text><p>b</p></article>", "a b"),
+    ("<object data='x'><article><p>In.</p><p>On.</p></article>", "In. On."), ("<article><p>a <object data=x>b</p><p>c</p></article>", "a b c"),
+    ("<article><p>a</p><object data=x><p>Not shown.</p></object><p>b</p></article>", "a b"),
+    ("<article><p>a</p><canvas id=c><p>b</p></article>", "a b"), ("<canvas/><article>In.</article>", "In."),
+    ("<button>Menu<article><p>In.</p></article>", "In."), ("<article><p>a</p><button><div>Save</div></button><p>b</p></article>", "a b"),
+    ("<div><button>Menu</div><article><p>In.</p></article>", "In."),
+    ("<article><p>a</p><select><option>x<option>y<p>b</p></article>", "a b"),
+    ("<template><article><p>No.</p></article></template><article><p>In.</p></article>", "In."),
+    ("<article><p>a</p><svg><foreignObject><div>x</div></foreignObject><text>y</text></svg><p>b</p></article>", "a b"),
+])
+def test_elements_set_apart_end_where_they_must(html, text):
+    assert main_text(html, TREE) == text
+
+
 def test_pages_without_an_article_element():
     menu = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(8)) + "</ul>"
     long = [" ".join(f"word{i}" for i in range(n)) for n in (40, 60, 30)]
