@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: later copies of runs of lines are deleted."""
+"""Line dedup by hashes of whole runs: later copies of runs of lines are deleted."""
 
 from __future__ import annotations
 
@@ -46,12 +46,11 @@ def runs(text: str, least: int = WORDS) -> Iterator[tuple[bytes, bytes, int, int
 def copied_runs(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = WORDS) -> DataFrame:
     """``id, digest, first, last``: runs of lines that stand earlier too, in order of id, text digest and line.
 
-    1. Every least run selects its smallest line as a fingerprint (winnowing).
-    2. Positions of equal fingerprints are joined; a fingerprint at one position only is done with.
-    3. From the others the text is extended to both sides, to the runs that selected them, and of equal runs
-       all but the first are given back.
+    1. Every least run gives a row with a hash of the whole run and its smallest line hash as a fingerprint.
+    2. Runs whose fingerprint stands at one position only are done with; this is a prefilter and changes nothing.
+    3. The others are grouped by the hash of the run, and of equal runs all but the first are given back.
 
-    Equal runs always meet: they select the same line.  Nothing is paired within a group: the first is an
+    No match is extended: a line has a row for each of its at most two least runs.  Nothing is paired within a group: the first is an
     aggregate, and the others are joined to it alone, so a line or run that a third of all documents hold is no
     heavier than others.
     """
