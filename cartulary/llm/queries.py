@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, lines, mixing, packing, pages, scoring, simhash, tokens, vectors
+from . import bpe, exact, language, lines, mixing, packing, pages, repair, scoring, simhash, tokens, vectors, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,11 +71,31 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(table(spark, folder, "conversations")), present="present")
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.decode_tokens(tokens, public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
+        "doc_id",
+        (F.octet_length("ids") / bpe.WIDE).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_best_fit_packing, op3_line_dedup, op4_lm_scoring, op5_language_id, op6_token_counts,
-        op7_embedding_dedup, op8_simhash, op9_html_extraction, op10_mixing,
+        op7_embedding_dedup, op8_simhash, op9_html_extraction, op10_mixing, op11_conversation_repair, op12_byte_bpe,
+        op13_whitening,
     )
 }
 
