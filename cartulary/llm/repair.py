@@ -33,34 +33,42 @@ Turn = tuple[str, str]
 Audit = tuple[int, str]
 
 
+def bounds(turns: list[Turn]) -> list[tuple[int, int]]:
+    """What the turns from each one on cost at least: where a user may be next, and where an assistant must be.
+
+    A relaxed problem with two states instead of four: system turns may stand wherever users may, and the sequence
+    may end anywhere.
+    """
+    least = [(0, 0)] * (len(turns) + 1)
+    for k in range(len(turns) - 1, -1, -1):
+        role, fault = turns[k]
+        user, reply = least[k + 1]
+        here = [user + DELETE, reply + DELETE]
+        if fault not in ("blank", "duplicate"):
+            more = TRUNCATED if fault else 0
+            here[0] = min(here[0], reply + more + (0 if role == "u" else REROLE), user + more if role == "s" else here[0])
+            here[1] = min(here[1], user + more + (0 if role == "a" else REROLE))
+        least[k] = min(here[0], here[1] + INSERT), min(here[1], here[0] + INSERT)
+    return least
+
+
 def search(turns: list[Turn], entry: str, target: str) -> Audit | None:
     """Cost and initials of the cheapest edits that lead from ``entry`` over all turns to ``target``.
 
     Of equally cheap edits the least in ASCII wins; None if no edits lead there.  A node is a number of turns done
     and a state.  The stack holds prefixes ``(cost, audit)`` at their nodes; one is given up if its cost and the
-    least that the turns left must cost exceed the incumbent, or match it with an audit that is no better so far, or
+    least that the turns left must cost exceed the incumbent, or match it with an audit that is worse so far, or
     if its node was reached before by a prefix no worse (the dominance table).  Two prefixes of equal cost at one node
     never begin one another, so the better of them stays better however they go on.  When the stack is empty the
     incumbent is proved the best.
     """
-    n = len(turns)
-    # what the turns left cost at least: forced edits, and 1 for every pair of neighbours that cannot stay side by
-    # side, as an edit of 2 or more mends two such pairs at most
-    least, first = [0] * (n + 1), [""] * (n + 1)
-    for k in range(n - 1, -1, -1):
-        role, fault = turns[k]
-        if fault in ("blank", "duplicate"):
-            least[k], first[k] = least[k + 1] + DELETE, first[k + 1]
-        else:
-            first[k] = role or "?"
-            clash = first[k + 1] != "" and first[k + 1] not in FOLLOWS.get(first[k], "")
-            least[k] = least[k + 1] + clash + (TRUNCATED if fault else 0)
+    n, least = len(turns), bounds(turns)
     best: Audit | None = None
     held: dict[tuple[int, str], Audit] = {}
     stack: list[tuple[int, str, int, str]] = [(0, entry, 0, "")]
     while stack:
         k, state, cost, audit = stack.pop()
-        bound = cost + least[k] + (first[k] not in ("", *FOLLOWS[state]))
+        bound = cost + least[k][state == "u"]
         if best and (bound > best[0] or (bound == best[0] and audit > best[1][: len(audit)])):
             continue
         before = held.get((k, state))
@@ -84,8 +92,10 @@ def search(turns: list[Turn], entry: str, target: str) -> Audit | None:
                 for new in FOLLOWS[state]:
                     if new != "s":
                         nexts.append((k + 1, new, cost + REROLE + more, audit + "R"))
+        if target in ("", "s"):  # no way leads back there
+            nexts = [x for x in nexts if x[1] in ("", target)]
         # the most promising on top
-        nexts.sort(key=lambda x: (x[2] + least[x[0]] + (first[x[0]] not in ("", *FOLLOWS[x[1]])), x[3]), reverse=True)
+        nexts.sort(key=lambda x: (x[2] + least[x[0]][x[1] == "u"], x[3]), reverse=True)
         stack += nexts
     return best
 
