@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from base64 import b64decode
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,9 +19,12 @@ from .scoring import PATTERN
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How ids are stored one after the other: four bytes, low one first.
 ID, WIDE = "<u4", 4
-#: States, and pieces of text with their ids, that a task remembers before it forgets them all and starts anew.
-STATES = 200_000
-PIECES = 100_000
+#: States that a machine remembers before it forgets them all and starts anew, and pieces of text whose ids a task
+#: remembers twice over: the latest, and those before.
+STATES = 400_000
+PIECES = 250_000
+#: Rows that a task has in Python at a time.
+ROWS = 256
 
 
 def read_ranks(path: str) -> bytes:
@@ -41,7 +44,7 @@ class Transducer:
     The merges of a byte pair vocabulary cut a piece in one way only, and a cut is theirs exactly if they leave each
     pair of neighbours in it as it is.  So the machine reads tokens along a prefix tree and passes from one token to
     the next where the two are left as they are.  That machine guesses where tokens end; a state of the machine here
-    is the set of its open guesses ``(ids not yet told, id before, bytes read since)``, made the first time a text
+    is the set of its open guesses ``(ids not yet told, id before, place in the tree)``, made the first time a text
     reaches it.  Ids that all open guesses share are told at once: a guess lives no longer than the longest token, so
     no id waits for more bytes than that.
     """
@@ -50,65 +53,130 @@ class Transducer:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.ranks, self.bytes, self.limit = ranks, {i: t for t, i in ranks.items()}, states
+        self.never = max(ranks.values()) + 1
         # a token that its own merges do not reach stands for a whole piece only
-        self.inner = {t: i for t, i in ranks.items() if len(t) == 1 or self.merged(t) == [i]}
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.inner = {t: i for t, i in ranks.items() if self.merged(t) == [i]}
         self.lone = {t: i for t, i in ranks.items() if t not in self.inner}
-        self.open = {t[:k] for t in self.inner for k in range(len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.plant()
+        self.ordered = all(i > max(self.parts[i]) for i in self.inner.values() if i in self.parts)
+        self.spines: dict[tuple[int, int], list[int]] = {}
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
+    def plant(self) -> None:
+        """The prefix tree of all tokens: ``node << 8 | byte`` to node, and each node's token and whether it goes on."""
+        self.tree: dict[int, int] = {}
+        self.token_at, self.goes_on = [-1], [True]
+        for token, i in self.inner.items():
+            node = 0
+            for byte in token:
+                self.goes_on[node] = True
+                key = node << 8 | byte
+                node = self.tree.get(key, -1)
+                if node < 0:
+                    node = self.tree[key] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.goes_on.append(False)
+            self.token_at[node] = i
+
     def forget(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.guesses: list[tuple] = []
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.rest: list[tuple[int, ...]] = []
-        self.start = self.number((((), None, b""),))
+        self.start = self.number((((), -1, 0),))
 
     def merged(self, piece: bytes) -> list[int]:
         """What the merges make of a few bytes: the lowest rank first, the leftmost of equal ones."""
         parts = [piece[k : k + 1] for k in range(len(piece))]
         while len(parts) > 1:
-            rank, k = min((self.ranks.get(a + b, len(self.ranks) + 256), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            rank, k = min((self.ranks.get(a + b, self.never), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
             if parts[k] + parts[k + 1] not in self.ranks:
                 break
+            if len(parts) == 2:
+                self.parts[rank] = self.ranks[parts[0]], self.ranks[parts[1]]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return [self.ranks[p] for p in parts]
 
-    def stays(self, before: int | None, token: int) -> bool:
+    def spine(self, token: int, side: int) -> list[int]:
+        """The tokens that begin (side 0) or end (1) a token while it is merged, from a single byte up to itself."""
+        found = self.spines.get((token, side))
+        if found is None:
+            found = self.spine(self.parts[token][side], side) if token in self.parts else []
+            found = self.spines[token, side] = [*found, token]
+        return found
+
+    def parted(self, before: int, token: int) -> bool:
+        """Whether no merge joins two neighbours, found along their border.
+
+        Merges go by rank, and a token's rank is above those of its parts.  So two tokens that meet at the border do
+        so until the next one of either side is merged, and are joined if that happens earlier: of equal ranks the
+        leftmost goes first.
+        """
+        ends, begins, i, j, never = self.spine(before, 1), self.spine(token, 0), 0, 0, self.never
+        while True:
+            left = ends[i + 1] if i + 1 < len(ends) else never
+            right = begins[j + 1] if j + 1 < len(begins) else never
+            joint = self.ranks.get(self.bytes[ends[i]] + self.bytes[begins[j]], never)
+            if joint < left and joint <= right and joint < never:
+                return False
+            if left == right == never:
+                return True
+            if left <= right:
+                i += 1
+            else:
+                j += 1
+
+    def stays(self, before: int, token: int) -> bool:
         """Whether the merges leave these two neighbours as they are."""
-        if before is None:
-            return True
-        pair = (before, token)
-        if pair not in self.pairs:
-            if len(self.pairs) >= 4 * self.limit:
-                self.pairs.clear()
-            self.pairs[pair] = self.merged(self.bytes[before] + self.bytes[token]) == [before, token]
-        return self.pairs[pair]
+        if len(self.pairs) >= self.limit:
+            self.pairs.clear()
+        found = self.parted(before, token) if self.ordered else self.merged(self.bytes[before] + self.bytes[token]) == [before, token]
+        self.pairs[before << 32 | token] = found
+        return found
 
     def number(self, guesses: tuple) -> int:
-        if guesses not in self.numbers:
-            self.numbers[guesses] = len(self.guesses)
+        """A state's number; its last guess is the one that ends a token here, of which there is always one."""
+        found = self.numbers.get(guesses)
+        if found is None:
+            found = self.numbers[guesses] = len(self.guesses)
             self.guesses.append(guesses)
-            self.rest.append(next(told for told, _, read in guesses if not read))
-        return self.numbers[guesses]
+            self.rest.append(guesses[-1][0])
+        return found
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after one more byte, and the ids that are certain by now."""
-        found = []
-        for told, before, read in self.guesses[state]:
-            read += bytes([byte])
-            if read in self.open:
-                found.append((told, before, read))
-            token = self.inner.get(read)
-            if token is not None and self.stays(before, token):
-                found.append(((*told, token), token, b""))
-        sure = 0
-        first = found[0][0]
-        while sure < len(first) and all(len(t) > sure and t[sure] == first[sure] for t, _, _ in found):
-            sure += 1
-        after = self.number(tuple(sorted(((t[sure:], b, r) for t, b, r in found), key=lambda g: g[2])))
-        found = self.steps[state << 8 | byte] = after, first[:sure]
-        return found
+        tree, token_at, goes_on, pairs = self.tree, self.token_at, self.goes_on, self.pairs
+        found, ended, least = [], None, self.never
+        for guess in self.guesses[state]:
+            told, before, node = guess
+            node = tree.get(node << 8 | byte)
+            if node is None:
+                continue
+            if goes_on[node]:
+                found.append((told, before, node))
+                if len(told) < least:
+                    least = len(told)
+            if ended is None:
+                token = token_at[node]
+                if token >= 0:
+                    stays = True if before < 0 else pairs.get(before << 32 | token)
+                    if stays is None:
+                        stays = self.stays(before, token)
+                    if stays:
+                        ended = ((*told, token), token, 0)
+        first = ended[0]
+        found.append(ended)
+        sure = min(least, len(first))
+        if sure:
+            for told, _, _ in found:
+                while told[:sure] != first[:sure]:
+                    sure -= 1
+            if sure:
+                found = [(t[sure:], b, n) for t, b, n in found]
+        made = self.steps[state << 8 | byte] = self.number(tuple(found)), first[:sure]
+        return made
 
     def run(self, piece: Iterable[int]) -> list[int]:
         """The ids of a piece, whose bytes may come from a stream."""
@@ -202,45 +270,73 @@ def decoder(ranks: bytes) -> Decoder:
     return Decoder(parsed(ranks))
 
 
+def encoder(ranks: bytes, pattern: str) -> Callable[[str], bytes]:
+    """Texts in, ids as one binary out."""
+    import regex
+
+    split, machine = regex.compile(pattern).finditer, transducer(ranks)
+    latest: dict[str, list[int]] = {}
+    before: dict[str, list[int]] = {}
+
+    def encode(text: str) -> bytes:
+        nonlocal latest, before
+        ids: list[int] = []
+        parts = []
+        for match in split(text):
+            piece = match.group()
+            found = latest.get(piece)
+            if found is None:
+                found = before.get(piece)
+                if found is None:
+                    found = machine.encode(piece.encode())
+                if len(piece) <= 64:
+                    if len(latest) >= PIECES:
+                        latest, before = {}, latest
+                    latest[piece] = found
+            ids += found
+            if len(ids) >= 1 << 20:
+                parts.append(np.array(ids, dtype=ID).tobytes())
+                ids = []
+        return b"".join([*parts, np.array(ids, dtype=ID).tobytes()])
+
+    return encode
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
+def text_from(stream: Callable[[Iterable[int]], Iterator[str]], ids: bytes | None) -> str | None:
+    return None if ids is None else "".join(stream(np.frombuffer(ids, dtype=ID).tolist()))
+
+
 def encode_documents(
-    docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id: str = "doc_id", text: str = "text"
+    docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id: str = "doc_id", text: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
-    """``id, ids``: one row per row of ``docs``, its ids as little-endian unsigned 32-bit integers in one binary.
+    """``id, ids[, text]``: one row per row of ``docs``, its ids as little-endian unsigned 32-bit integers in one binary.
 
-    Every match of ``pattern`` is encoded by itself.  Null and empty texts have no ids.  Special tokens
-    are ordinary text.  A text that is no valid UTF-8 counts as Spark decodes it.  Repeated rows and null ids are
-    rows like others, other columns are ignored whatever their names, an empty table gives an empty result.
+    Every match of ``pattern`` is encoded by itself.  Null and empty texts have no ids.  Special tokens are ordinary
+    text.  A text that is no valid UTF-8 counts with U+FFFD in place of what is wrong.  ``decoded`` adds what the ids
+    decode to, as :func:`decode_tokens` gives it, without another pass.  Repeated rows and null ids are rows like
+    others, other columns are ignored whatever their names, an empty table gives an empty result.
     """
     ranks = read_ranks(vocabulary)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split, machine, known = regex.compile(pattern).finditer, transducer(ranks), {}
-        for batch in batches:
-            made = []
-            for data in batch.column("text").to_pylist():
-                ids: list[int] = []
-                parts: list[np.ndarray] = []
-                for match in split(data.decode("utf-8", "replace")):
-                    piece = match.group()
-                    found = known.get(piece)
-                    if found is None:
-                        found = machine.encode(piece.encode())
-                        if len(piece) <= 64:
-                            if len(known) >= PIECES:
-                                known.clear()
-                            known[piece] = found
-                    ids += found
-                    if len(ids) >= 1 << 20:
-                        parts.append(np.array(ids, dtype=ID))
-                        ids = []
-                parts.append(np.array(ids, dtype=ID))
-                made.append(b"".join(p.tobytes() for p in parts))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], names=["id", "ids"])
+        encode, stream = encoder(ranks, pattern), decoder(ranks).stream
+        for batch in slices(batches):
+            ids = [encode(data.decode("utf-8", "replace")) for data in batch.column("text").to_pylist()]
+            columns = {"id": batch.column("id"), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["text"] = pa.array([text_from(stream, i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id).alias("id"), text_of(text).cast("binary").alias("text"))
-    shape = StructType([StructField("id", docs.schema[id].dataType), StructField("ids", BinaryType())])
+    more = [StructField("text", StringType())] if decoded else []
+    shape = StructType([StructField("id", docs.schema[id].dataType), StructField("ids", BinaryType()), *more])
     return rows.mapInArrow(each, shape).withColumnRenamed("id", id)
 
 
@@ -254,11 +350,8 @@ def decode_tokens(tokens: DataFrame, vocabulary: str = VOCABULARY, id: str = "do
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = decoder(ranks).stream
-        for batch in batches:
-            texts = [
-                None if data is None else "".join(stream(np.frombuffer(data, dtype=ID).tolist()))
-                for data in batch.column("ids").to_pylist()
-            ]
+        for batch in slices(batches):
+            texts = [text_from(stream, i) for i in batch.column("ids").to_pylist()]
             columns = [batch.column("id"), batch.column("ids"), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"])
 

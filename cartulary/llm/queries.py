@@ -76,8 +76,9 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.decode_tokens(tokens, public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = bpe.encode_documents(table(spark, folder, "documents"), ranks, pattern, decoded=True)
+    return found.select(
         "doc_id",
         (F.octet_length("ids") / bpe.WIDE).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

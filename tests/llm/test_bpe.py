@@ -57,6 +57,8 @@ def test_odd_documents_round_trip(spark):
     found = bpe.decode_tokens(bpe.encode_documents(odd(spark))).collect()
     wanted = [(i, np.array(TRUE.encode_ordinary(t), dtype="<u4").tobytes(), t) for i, t in texts()]
     assert sorted(((r[0], bytes(r[1]), r[2]) for r in found), key=str) == sorted(wanted, key=str)
+    once = bpe.encode_documents(odd(spark), decoded=True).collect()
+    assert sorted(map(str, once)) == sorted(map(str, found))
     assert bpe.decode_tokens(bpe.encode_documents(odd(spark, []))).count() == 0
 
 
