@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 
 from ..functions import partition_names as P
 from ..functions.documents import text_at
+from ..functions.ranges import at_ranks, in_ranges, join_null_safe, running_sums
 from ..functions.skew import join_hot
 from ..functions.times import epoch_seconds, partition_time
 from ..operators.diff import diff
@@ -218,31 +219,86 @@ def change_counts(events: DataFrame, width: str, slide: str | None = None, water
     )
 
 
-def session_counts(events: DataFrame, gap: str, watermark: str | None = None) -> DataFrame:
-    """Events per burst of activity on a table."""
-    source = events.withWatermark("ts", watermark) if watermark else events
-    return (
-        source.groupBy(F.session_window("ts", gap).alias("w"), "name")
-        .agg(F.count("*").alias("changes"))
-        .select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "name", "changes")
+def session_counts(events: DataFrame, gap: str, watermark: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Events per burst of activity on a table: ``session_start, session_end, name, changes``.
+
+    An event that comes ``gap`` or more after the last one of its table begins a session; a session ends ``gap``
+    after its last event.  On a stream these are Spark's session windows, which also join events exactly ``gap``
+    apart.  On a batch the events are cut into ranges
+    of (name, ts) whatever their names: sessions are found within each range, and those at the borders of ranges, two
+    a range at most, are put together.  So one table may own any share of the events.  Null times are left out.
+    """
+    if events.isStreaming:
+        return (
+            events.withWatermark("ts", watermark)
+            .groupBy(F.session_window("ts", gap).alias("w"), "name")
+            .agg(F.count("*").alias("changes"))
+            .select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "name", "changes")
+        )
+    length = F.expr(f"interval {gap}")
+    ranged = in_ranges(events.select("name", "ts").filter("ts IS NOT NULL"), ["name", "ts"], "_range", ranges)
+    inside = Window.partitionBy("_range", "name").orderBy("ts")
+    opens = F.coalesce(F.col("ts") >= F.lag("ts").over(inside) + length, F.lit(True))
+    told = ranged.withColumn("_opens", opens).withColumn("_nth", F.count_if("_opens").over(inside))
+    pieces = told.groupBy("_range", "name", "_nth").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("changes"))
+    # a name that lies in several ranges: its first and last sessions of each may go on in the next one
+    spread = ranged.groupBy("name").agg(F.min("_range").alias("_lo"), F.max("_range").alias("_hi")).filter("_lo < _hi").select("name")
+    last = F.max("_nth").over(Window.partitionBy("_range", "name"))
+    marked = join_null_safe(pieces.withColumn("_last", last), spread.withColumn("_spread", F.lit(True)), ["name"], "left")
+    border = F.coalesce("_spread", F.lit(False)) & ((F.col("_nth") == 1) | (F.col("_nth") == F.col("_last")))
+    marked = marked.withColumn("_border", border)
+    along = Window.partitionBy("name").orderBy("_range", "_nth")
+    at_borders = marked.filter("_border").withColumn(
+        "_begins",
+        F.coalesce(
+            (F.col("first") >= F.lag("last").over(along) + length)
+            # between the first and the last session of one range there may be others
+            | (F.lag("_range").over(along) == F.col("_range")),
+            F.lit(True),
+        ),
+    )
+    whole = (
+        at_borders.withColumn("_session", F.count_if("_begins").over(along))
+        .groupBy("name", "_session")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("changes").alias("changes"))
     )
+    columns = ["name", "first", "last", "changes"]
+    every = marked.filter("NOT _border").select(*columns).unionByName(whole.select(*columns))
+    return every.select(F.col("first").alias("session_start"), (F.col("last") + length).alias("session_end"), "name", "changes")
 
 
-def event_delay(events: DataFrame, now: Column, by: list[str]) -> DataFrame:
+# Which percentiles of delays are told.
+PERCENTILES = {"p50": 0.5, "p95": 0.95}
+
+
+def event_delay(events: DataFrame, now: Column, by: list[str], ranges: int | None = None) -> DataFrame:
     """Exact percentiles of whole-second delays since the request (batch).
 
-    Delays fold to a histogram first, so what the last step holds is bounded by
-    the distinct delays, not the events.
+    Delays fold to a histogram, which is cut into ranges of (``by``, delay).  Counts per range tell which range
+    holds the ranks on both sides of a percentile, and only those ranges are opened; the value is interpolated
+    between the two.  So one operation may have any number of distinct delays.  Events without a time count among
+    the events and nowhere else.
     """
     delay = (now - epoch_seconds(F.col("ts"))).alias("delay")
     histogram = events.groupBy(*by, delay).agg(F.count("*").alias("n"))
-    return histogram.groupBy(*by).agg(
-        F.sum("n").alias("events"),
-        F.min("delay").alias("shortest"),
-        F.max("delay").alias("longest"),
-        F.percentile("delay", 0.5, F.col("n")).alias("p50"),
-        F.percentile("delay", 0.95, F.col("n")).alias("p95"),
+    ranged = in_ranges(histogram, [*by, "delay"], "_range", ranges)
+    known = F.sum(F.when(F.col("delay").isNotNull(), F.col("n")))
+    totals = ranged.groupBy(*by).agg(
+        F.sum("n").alias("events"), known.alias("_known"), F.min("delay").alias("shortest"), F.max("delay").alias("longest")
     )
+    places = F.array(*[F.struct(F.lit(name).alias("p"), ((F.col("_known") - 1) * F.lit(share)).alias("place")) for name, share in PERCENTILES.items()])
+    asked = totals.select(*by, F.explode(places).alias("_a")).select(*by, "_a.*")
+    low, high = F.floor("place").cast("bigint"), F.ceil("place").cast("bigint")
+    wanted = asked.select(*by, low.alias("rank")).unionByName(asked.select(*by, high.alias("rank"))).distinct()
+    found = at_ranks(ranged.filter("delay IS NOT NULL"), by, "delay", "n", "_range", wanted)
+    sides = asked.withColumns({"_low": low, "_high": high})
+    for side in ("_low", "_high"):
+        told = found.select(*by, F.col("rank").alias(side), F.col("delay").alias(f"{side}_delay"))
+        sides = join_null_safe(sides, told, [*by, side], "inner")
+    between = (F.col("_high") - F.col("place")) * F.col("_low_delay") + (F.col("place") - F.col("_low")) * F.col("_high_delay")
+    value = F.when(F.col("_low_delay") == F.col("_high_delay"), F.col("_low_delay").cast("double")).otherwise(between)
+    values = sides.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, value)).alias(p) for p in PERCENTILES])
+    return join_null_safe(totals, values, by, "left").drop("_known")
 
 
 def event_delay_approx(events: DataFrame, now: Column, by: list[str], accuracy: int = 10000) -> DataFrame:
@@ -273,25 +329,14 @@ def live_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("name").agg(F.sum(inventory_delta(F.col("op"))).alias("live"))
 
 
-def running_inventory(events: DataFrame, bucket: str = "hour") -> DataFrame:
+def running_inventory(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Live partition count after every event (batch).
 
-    A running sum in two levels: totals per table and time bucket are summed along
-    the buckets, and within a bucket the events are summed on their own.  The widest
-    task is one bucket of one table, not a whole table.
+    A running sum by :func:`running_sums`: events are cut into ranges of (name, ts, event_id) of equal size, summed
+    within each, and what a table has in earlier ranges is carried on in one row per range.  A bulk load of one
+    table in one hour is spread like any other events.
     """
-    steps = events.select(
-        "event_id", "ts", "name", inventory_delta(F.col("op")).alias("delta"), F.date_trunc(bucket, "ts").alias("_b")
-    )
-    totals = steps.groupBy("name", "_b").agg(F.sum("delta").alias("_total"))
-    earlier = Window.partitionBy("name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("name", "_b", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
-    inside = (
-        Window.partitionBy("name", "_b")
-        .orderBy("ts", "event_id")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    summed = steps.withColumn("_sum", F.sum("delta").over(inside))
-    return summed.join(base, ["name", "_b"]).select(
-        "event_id", "ts", "name", (F.col("_before") + F.col("_sum")).alias("live")
-    )
+    steps = events.select("event_id", "ts", "name", inventory_delta(F.col("op")).alias("delta"))
+    order = ["name", "ts", "event_id"]
+    ranged = in_ranges(steps, order, "_range", ranges)
+    return running_sums(ranged, ["name"], order[1:], "_range", {"live": F.col("delta")}).select("event_id", "ts", "name", "live")
