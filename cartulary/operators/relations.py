@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
+from ..functions.ranges import in_ranges, running_sums
 from ..functions.skew import join_hot
+from ..session import keep
 from .metadata import ambiguous_renames
 
 # Fixed value: children a parent may have per relation type when nothing else is said.
@@ -71,12 +75,20 @@ def effective_limit(
     return out.withColumn("max_children", chosen).drop("_t", "_d", "_r", "database_name")
 
 
-def validate_new_edges(edges: DataFrame, proposed: DataFrame, limits: DataFrame) -> DataFrame:
-    """Proposed edges with the first rule each breaks against the stored edges, null when fine.
+# What an edge is.
+EDGE = ["parent", "parent_uuid", "child", "child_uuid", "relation_type"]
 
-    ``limits`` is ``(parent, relation_type, max_children)``, see :func:`effective_limit`.
-    Everything known about a name is folded to one row before it is joined.
-    """
+# Why a proposed edge is refused, in the order in which the rules are tried.
+HAS_PARENT = "child already has a parent"
+IS_CHILD = "parent is itself a child"
+HAS_CHILDREN = "child already has children"
+PARENT_UUID = "parent uuid differs"
+CHILD_UUID = "child uuid differs"
+TOO_MANY = "too many children"
+
+
+def _known_names(edges: DataFrame) -> DataFrame:
+    """Per name that takes part in an edge: whether as child, as parent, and its lowest and highest uuid."""
     as_child = edges.groupBy(F.col("child").alias("name")).agg(
         F.lit(True).alias("is_child"),
         F.min("child_uuid").alias("c_lo"),
@@ -87,7 +99,7 @@ def validate_new_edges(edges: DataFrame, proposed: DataFrame, limits: DataFrame)
         F.min("parent_uuid").alias("p_lo"),
         F.max("parent_uuid").alias("p_hi"),
     )
-    known = as_child.join(as_parent, "name", "full").select(
+    return as_child.join(as_parent, "name", "full").select(
         "name",
         F.coalesce("is_child", F.lit(False)).alias("is_child"),
         F.coalesce("is_parent", F.lit(False)).alias("is_parent"),
@@ -95,31 +107,156 @@ def validate_new_edges(edges: DataFrame, proposed: DataFrame, limits: DataFrame)
         F.greatest("c_hi", "p_hi").alias("hi"),
     )
 
+
+def _at_ends(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with what is known of the names at both ends, as ``child_…`` and ``parent_…`` columns."""
+
     def about(end: str) -> DataFrame:
-        return known.select(
-            F.col("name").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in known.columns[1:]]
-        )
+        return facts.select(F.col("name").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in facts.columns if c != "name"])
+
+    out = rows.join(about("child"), "child", "left")
+    return join_hot(out, about("parent"), ["parent"], "left", ["child"])
+
+
+def _against_stored(edges: DataFrame, proposed: DataFrame, limits: DataFrame) -> DataFrame:
+    """Proposed edges with what is stored at their ends, their parent's ``children`` and its ``limit``."""
+    out = _at_ends(proposed, _known_names(edges))
+    out = join_hot(out, children_per_type(edges), ["parent", "relation_type"], "left", ["child"])
+    out = join_hot(out, limits.select("parent", "relation_type", "max_children"), ["parent", "relation_type"], "left", ["child"])
+    return out.withColumns(
+        {"limit": F.coalesce("max_children", F.lit(DEFAULT_LIMIT)).cast("bigint"), "children": F.coalesce("children", F.lit(0))}
+    )
+
+
+def _other_uuid(end: str) -> Column:
+    lo, hi, mine = F.col(f"{end}_lo"), F.col(f"{end}_hi"), F.col(f"{end}_uuid")
+    return lo.isNotNull() & ((lo != hi) | (lo != mine))
+
+
+def _stored_reason() -> Column:
+    """The first rule that a row of :func:`_against_stored` breaks, null if none."""
+    return (
+        F.when(F.col("child_is_child"), HAS_PARENT)
+        .when(F.col("parent_is_child"), IS_CHILD)
+        .when(F.col("child_is_parent"), HAS_CHILDREN)
+        .when(_other_uuid("parent"), PARENT_UUID)
+        .when(_other_uuid("child"), CHILD_UUID)
+        .when((F.col("limit") >= 0) & (F.col("children") >= F.col("limit")), TOO_MANY)
+    )
 
-    counts = children_per_type(edges)
-    out = proposed.join(about("child"), "child", "left")
-    out = join_hot(out, about("parent"), ["parent"], "left", ["child"])
-    out = join_hot(out, counts, ["parent", "relation_type"], "left", ["child"])
-    out = join_hot(out, limits, ["parent", "relation_type"], "left", ["child"])
 
-    def other_uuid(end: str):
-        lo, hi, mine = F.col(f"{end}_lo"), F.col(f"{end}_hi"), F.col(f"{end}_uuid")
-        return lo.isNotNull() & ((lo != hi) | (lo != mine))
+def validate_new_edges(edges: DataFrame, proposed: DataFrame, limits: DataFrame) -> DataFrame:
+    """Proposed edges with the first rule each breaks against the stored edges, null when fine.
+
+    ``limits`` is ``(parent, relation_type, max_children)``, see :func:`effective_limit`.
+    Everything known about a name is folded to one row before it is joined.  Each edge is judged on its own;
+    :func:`validate_in_turn` also judges them against one another.
+    """
+    return _against_stored(edges, proposed, limits).withColumn("reason", _stored_reason()).select(*proposed.columns, "reason")
+
+
+def _by_name(rows: DataFrame) -> DataFrame:
+    """Per name, when the first accepted and the first open row names it as child (``ca, co``) and as parent
+    (``pa, po``), and with which uuids as parent: the accepted one, the lowest and the highest open one.
+
+    ``rows`` has edges with ``at`` and ``taken`` (accepted, else open).  All accepted rows of a parent have one uuid.
+    """
+    ends = rows.select("at", "taken", F.explode(F.array(
+        F.struct(F.col("child").alias("name"), F.lit(False).alias("top"), F.lit(None).cast("string").alias("uuid")),
+        F.struct(F.col("parent").alias("name"), F.lit(True).alias("top"), F.col("parent_uuid").alias("uuid")),
+    )).alias("end")).select("at", "taken", "end.*")
+    top, taken, at, uuid = F.col("top"), F.col("taken"), F.col("at"), F.col("uuid")
+    return ends.groupBy("name").agg(
+        F.min(F.when(~top & taken, at)).alias("ca"), F.min(F.when(~top & ~taken, at)).alias("co"),
+        F.min(F.when(top & taken, at)).alias("pa"), F.min(F.when(top & ~taken, at)).alias("po"),
+        F.min(F.when(top & taken, uuid)).alias("p_uuid"),
+        F.min(F.when(top & ~taken, uuid)).alias("o_lo"), F.max(F.when(top & ~taken, uuid)).alias("o_hi"),
+    )
 
-    limit = F.coalesce("max_children", F.lit(DEFAULT_LIMIT))
+
+def validate_in_turn(edges: DataFrame, proposed: DataFrame, limits: DataFrame, order: str = "seq") -> DataFrame:
+    """Proposed edges with the first rule each breaks against the stored edges and all accepted ones before it.
+
+    ``proposed`` has the columns of an edge and ``order``; ties go by the edge itself, and of equal rows the first
+    counts.  The result has these columns and ``reason`` (null: accepted), one row per row proposed.
+
+    Edges are judged in rounds.  One is refused once an accepted edge before it forbids it, and accepted once
+    nothing open before it could: an edge with the same child, with one of its ends as its other end, or one of
+    its parent where the open ones spell several uuids.  Children of a parent are counted by running sums of sure and of possible ones,
+    which settle an edge as soon as both sides of the limit agree; so many edges of one parent take no more rounds,
+    and may lie in many tasks.  Rounds are as many as the longest chain of edges that wait for one another, each
+    over the open edges only.  Reasons are told at the end, when it is known what was accepted.
+    """
+    key = F.struct(order, *EDGE)
+    once = proposed.select(order, *EDGE).groupBy(order, *EDGE).agg(F.count("*").alias("_copies")).withColumn("at", key)
+    against = keep(_against_stored(edges, once, limits).withColumn("stored", _stored_reason()), "proposed")
+    left = F.when(F.col("limit") >= 0, F.col("limit") - F.col("children"))
+    open_ = against.filter("stored IS NULL").select("at", *EDGE, left.alias("left"))
+    columns = ["at", *EDGE, "left"]
+    done: list[DataFrame] = []
+    while not open_.isEmpty():
+        seen = open_.withColumn("taken", F.lit(False))
+        for d in done:
+            seen = seen.unionByName(d.withColumn("taken", F.lit(True)))
+        judged = keep(_round(seen, open_).select(*columns, "verdict"), "judged")
+        done.append(judged.filter("verdict = 'accepted'").select(*columns))
+        open_ = judged.filter("verdict = 'open'").select(*columns)
+        if len(done) == 8:
+            every = reduce(DataFrame.unionByName, done)
+            done = [keep(every, "accepted")]
+    accepted = reduce(DataFrame.unionByName, done) if done else open_
+    facts = keep(_by_name(accepted.withColumn("taken", F.lit(True))).select("name", "ca", "pa", "p_uuid"), "names")
+    told = _at_ends(against, facts)
+    at = F.col("at")
     reason = (
-        F.when(F.col("child_is_child"), "child already has a parent")
-        .when(F.col("parent_is_child"), "parent is itself a child")
-        .when(F.col("child_is_parent"), "child already has children")
-        .when(other_uuid("parent"), "parent uuid differs")
-        .when(other_uuid("child"), "child uuid differs")
-        .when((limit >= 0) & (F.coalesce("children", F.lit(0)) >= limit), "too many children")
+        F.when(F.col("child_ca") == at, None)
+        .when(F.col("child_is_child") | (F.col("child_ca") < at), HAS_PARENT)
+        .when(F.col("parent_is_child") | (F.col("parent_ca") < at), IS_CHILD)
+        .when(F.col("child_is_parent") | (F.col("child_pa") < at), HAS_CHILDREN)
+        .when(_other_uuid("parent") | ((F.col("parent_pa") < at) & (F.col("parent_p_uuid") != F.col("parent_uuid"))), PARENT_UUID)
+        .when(_other_uuid("child"), CHILD_UUID)
+        .otherwise(TOO_MANY)
+    )
+    numbered = told.withColumn("reason", reason).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    again = F.when((F.col("_copy") > 1) & F.col("reason").isNull(), HAS_PARENT).otherwise(F.col("reason"))
+    return numbered.select(order, *EDGE, again.alias("reason"))
+
+
+def _round(seen: DataFrame, open_: DataFrame) -> DataFrame:
+    """The open edges with a ``verdict``: accepted, refused or still open."""
+    rows = _at_ends(open_, keep(_by_name(seen), "names"))
+    at, mine = F.col("at"), F.col("parent_uuid")
+
+    def before(column: str) -> Column:
+        return F.coalesce(F.col(column) < at, F.lit(False))
+
+    refused = (
+        before("child_ca") | before("parent_ca") | before("child_pa")
+        | (before("parent_pa") & F.coalesce(F.col("parent_p_uuid") != mine, F.lit(False)))
+    )
+    # a parent with several uuids: its first open edge settles which one stays
+    several = F.coalesce(F.col("parent_o_lo") != F.col("parent_o_hi"), F.lit(False))
+    waits = before("child_co") | before("parent_co") | before("child_po") | (several & before("parent_po"))
+    state = F.when(refused, "refused").when(waits, "open").otherwise("accepted")
+    rows = keep(rows.withColumn("state", state).select("at", *EDGE, "left", "state"), "states")
+    # only where a parent's candidates are more than it may take does their order matter
+    group = ["parent", "relation_type"]
+    limited = rows.filter("left IS NOT NULL AND state <> 'refused'")
+    earlier = seen.filter("taken AND left IS NOT NULL")
+    counted = limited.select("at", *group, "left", F.lit(True).alias("candidate"), (F.col("state") == "accepted").alias("sure"))
+    counted = counted.unionByName(earlier.select("at", *group, "left", F.lit(False).alias("candidate"), F.lit(True).alias("sure")))
+    tight = counted.groupBy(*group).agg(F.count("*").alias("_n"), F.min("left").alias("_left")).filter("_n > _left").select(*group)
+    ranged = in_ranges(join_hot(counted, tight, group, "left_semi", ["at"]), [*group, "at"], "_range")
+    sums = running_sums(ranged, group, ["at"], "_range", {"sure_n": F.col("sure").cast("bigint"), "all_n": F.lit(1).cast("bigint")})
+    full = (F.col("sure_n") - F.col("sure").cast("bigint")) >= F.col("left")
+    room = (F.col("all_n") - 1) < F.col("left")
+    settled = sums.filter("candidate").select("at", full.alias("full"), room.alias("room"))
+    verdict = (
+        F.when((F.col("state") == "refused") | F.col("full"), "refused")
+        .when((F.col("state") == "accepted") & F.coalesce("room", F.lit(True)), "accepted")
+        .otherwise("open")
     )
-    return out.withColumn("reason", reason).select(*proposed.columns, "reason")
+    return rows.join(settled, "at", "left").withColumn("verdict", verdict)
 
 
 def refused_renames(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -115,6 +115,61 @@ def relation_validate(b: Bindings) -> DataFrame:
     return R.validate_new_edges(e, every, _limits(b)).select("parent", "child", "relation_type", "reason")
 
 
+_BATCH = """
+    batch AS (SELECT custkey AS seq, database_name AS grp, segment AS relation_type,
+            database_name || '/p' || (custkey * 31 % 7) AS parent,
+            'u' || (custkey * 31 % 7) || CASE WHEN custkey % 11 = 0 THEN '-x' ELSE '' END AS parent_uuid,
+            database_name || CASE WHEN custkey % 5 = 0 THEN '/p' || (custkey * 13 % 9) ELSE '/c' || (custkey * 17 % 43) END AS child,
+            'c' || custkey AS child_uuid,
+            CASE segment WHEN 'building' THEN 2 WHEN 'machinery' THEN -1 ELSE 5 END AS max_children FROM v_tables),
+    stored AS (SELECT grp, parent, 'u' || (seq * 31 % 7) AS parent_uuid, grp || '/s' || seq AS child, relation_type FROM batch
+        WHERE seq % 40 = 3)"""
+
+
+@query(
+    "relation_validate_batch", "O-80",
+    sql=f"""SELECT seq, parent, child, reason FROM (WITH RECURSIVE {_BATCH},
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY seq) AS step FROM batch),
+    walk AS (SELECT g.grp, 0 AS step, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS reason,
+            coalesce(s.taken, []) AS taken
+        FROM (SELECT DISTINCT grp FROM batch) g LEFT JOIN
+            (SELECT grp, list({{'p': parent, 'u': parent_uuid, 'c': child, 't': relation_type}}) AS taken FROM stored GROUP BY grp) s USING (grp)
+        UNION ALL
+        SELECT grp, step, seq, reason, CASE WHEN reason IS NULL
+            THEN list_append(taken, {{'p': parent, 'u': parent_uuid, 'c': child, 't': relation_type}}) ELSE taken END
+        FROM (SELECT n.grp, n.step, n.seq, n.parent, n.parent_uuid, n.child, n.relation_type, w.taken, CASE
+            WHEN list_contains(list_transform(w.taken, lambda x: x.c), n.child) THEN 'child already has a parent'
+            WHEN list_contains(list_transform(w.taken, lambda x: x.c), n.parent) THEN 'parent is itself a child'
+            WHEN list_contains(list_transform(w.taken, lambda x: x.p), n.child) THEN 'child already has children'
+            WHEN len(list_filter(w.taken, lambda x: x.p = n.parent AND x.u <> n.parent_uuid)) > 0 THEN 'parent uuid differs'
+            WHEN n.max_children >= 0 AND len(list_filter(w.taken, lambda x: x.p = n.parent AND x.t = n.relation_type)) >= n.max_children
+                THEN 'too many children' END AS reason
+            FROM walk w JOIN numbered n ON n.grp = w.grp AND n.step = w.step + 1))
+    SELECT w.seq, n.parent, n.child, w.reason FROM walk w JOIN numbered n ON n.seq = w.seq)""",
+)
+def relation_validate_batch(b: Bindings) -> DataFrame:
+    """Edges proposed in turn, judged against stored ones and against those accepted before."""
+    k, db, kind = F.col("custkey"), F.col("database_name"), F.col("segment")
+    number = (k * 31 % 7).cast("string")
+    upper = F.concat(F.lit("/p"), (k * 13 % 9).cast("string"))
+    batch = b.tables.select(
+        k.alias("seq"),
+        F.concat(db, F.lit("/p"), number).alias("parent"),
+        F.concat(F.lit("u"), number, F.when(k % 11 == 0, "-x").otherwise("")).alias("parent_uuid"),
+        F.concat(db, F.when(k % 5 == 0, upper).otherwise(F.concat(F.lit("/c"), (k * 17 % 43).cast("string")))).alias("child"),
+        F.concat(F.lit("c"), k.cast("string")).alias("child_uuid"),
+        kind.alias("relation_type"),
+    )
+    of = F.substring_index("parent", "/", 1)
+    stored = batch.filter("seq % 40 = 3").select(
+        "parent", "parent_uuid", F.concat(of, F.lit("/s"), F.col("seq").cast("string")).alias("child"), "child_uuid", "relation_type"
+    ).withColumn("parent_uuid", F.regexp_replace("parent_uuid", "-x$", ""))
+    pairs = batch.select("parent", "relation_type").distinct()
+    most = F.when(F.col("relation_type") == "building", 2).when(F.col("relation_type") == "machinery", -1).otherwise(5)
+    judged = R.validate_in_turn(stored, batch, pairs.withColumn("max_children", most))
+    return judged.select("seq", "parent", "child", "reason")
+
+
 @query(
     "relation_rename", "O-81",
     sql="""SELECT CASE WHEN parent LIKE 'geo/asia/%' THEN 'moved/' || parent ELSE parent END AS parent,
