@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.partition_names import is_valid_name
+from ..functions.ranges import in_ranges
 from ..functions.skew import join_hot
 from ..session import keep
-from .metadata import ambiguous_renames, delete_metadata, rename_keys, soft_delete_data
+from .metadata import delete_metadata, judge_renames, rename_allowed, soft_delete_data
 from .partitions import ID
 from .relations import drop_entity, rename_ends
-from .tags import rename_tags
+from .tags import EDGE as TAG
 
 
 def _blank(c: Column) -> Column:
@@ -185,16 +186,15 @@ def rename_verdicts(
     Refused are renames of missing or guarded tables, to a name that a table has or that takes part in an edge,
     of one table to several names, and of several tables to one name.
     """
-    pairs = mapping.select("old", "new").distinct()
     have = tables.select("name").distinct()
     linked = edges.select(F.col("parent").alias("new")).unionByName(edges.select(F.col("child").alias("new"))).distinct()
     held = tags.filter(F.col("tag").isin(guarded or [])).select(F.col("name").alias("old")).distinct()
     marked = (
-        pairs.join(have.select(F.col("name").alias("old"), F.lit(True).alias("_source")), "old", "left")
+        judge_renames(mapping)
+        .join(have.select(F.col("name").alias("old"), F.lit(True).alias("_source")), "old", "left")
+        .join(held.withColumn("_held", F.lit(True)), "old", "left")
         .join(have.select(F.col("name").alias("new"), F.lit(True).alias("_target")), "new", "left")
         .join(linked.withColumn("_linked", F.lit(True)), "new", "left")
-        .join(held.withColumn("_held", F.lit(True)), "old", "left")
-        .join(ambiguous_renames(pairs), ["old", "new"], "left")
     )
     reason = (
         F.when(F.col("_source").isNull(), "source missing")
@@ -216,19 +216,19 @@ def rename_tables(
 ) -> dict[str, DataFrame]:
     """Rename tables by ``(old, new)`` with everything keyed by their name.
 
-    One verdict holds for all stores: a rename takes effect in each of them or in none, and ``refused`` has those
+    One verdict, kept once, holds for all stores: a rename takes effect in each of them or in none, and ``refused`` has those
     that do not with their reasons.
     """
-    verdicts = rename_verdicts(tables, tags, edges, mapping, guarded)
+    verdicts = keep(rename_verdicts(tables, tags, edges, mapping, guarded), "renames")
     allowed = verdicts.filter("reason IS NULL").select("old", "new")
     parts = F.split("name", "/")
     levels = ("catalog_name", "database_name", "table_name")
     spelled = {c: F.get(parts, F.lit(i)) for i, c in enumerate(levels) if c in tables.columns}
     return {
         "refused": verdicts.filter("reason IS NOT NULL"),
-        "tables": rename_keys(tables, allowed, "name", replace_target=False).withColumns(spelled),
-        "defs": rename_keys(defs, allowed, "name", replace_target=True),
-        "tags": rename_tags(tags, allowed),
+        "tables": rename_allowed(tables, allowed, "name", replace_target=False).withColumns(spelled),
+        "defs": rename_allowed(defs, allowed, "name", replace_target=True),
+        "tags": rename_allowed(tags.select(*TAG), allowed, "name", replace_target=True),
         "edges": rename_ends(edges, allowed),
     }
 
@@ -271,38 +271,46 @@ def drop_tables(
     }
 
 
-def cas_metadata_location(tables: DataFrame, updates: DataFrame) -> DataFrame:
+def _is_blank(text: str | None) -> bool:
+    return not (text or "").strip(" ")
+
+
+def cas_metadata_location(tables: DataFrame, updates: DataFrame, ranges: int | None = None) -> DataFrame:
     """Compare-and-set of metadata locations, one request after the other: every update with its ``status``.
 
     ``tables`` is ``(name, location)``; ``updates`` is ``(seq, name, previous, new)``.  Each update of a table is
     judged against the location that the accepted ones before it have left, in order of ``seq`` (then of
-    ``previous`` and ``new``), so a chain of updates is followed to its end.  The updates of one table are one
-    sequence: sorted by Spark, which spills, and walked with one location in memory, however many they are.
+    ``previous`` and ``new``), so a chain of updates is followed to its end.
+
+    Updates are cut into ranges of (name, seq) of equal size, and the updates of one table in one range are a run.
+    A table whose updates lie in several ranges is followed from run to run first (see :func:`_entries`); then every
+    run is judged on its own, from the location it begins with.  So one table may own any share of the updates.
     """
     stored = tables.select("name", F.col("location").alias("_stored"), F.lit(True).alias("_known"))
     seen = join_hot(updates, stored, ["name"], "left", ["seq"])
-    ordered = seen.repartition("name").sortWithinPartitions("name", "seq", "previous", "new")
+    order = ["seq", "previous", "new"]
+    ranged = in_ranges(seen, ["name", *order], "_range", ranges)
+    begun = ranged.join(_entries(ranged, order), ["name", "_range"], "left")
+    first = F.when(F.col("_entry").isNotNull(), F.col("_entry.location")).otherwise(F.col("_stored"))
+    ordered = begun.withColumn("_first", first).repartition("_range", "name").sortWithinPartitions("_range", "name", *order)
 
     columns = updates.columns
 
-    def blank(text: str | None) -> bool:
-        return not (text or "").strip(" ")
-
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, location = None, None
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("name", "previous", "new", "_stored", "_known")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("_range", "name", "previous", "new", "_first", "_known")))
             told = []
-            for name, previous, new, first, known in rows:
-                if at is None or at != (name,):
-                    at, location = (name,), first
+            for number, name, previous, new, begins, known in rows:
+                if at != (number, name):
+                    at, location = (number, name), begins
                 if not known:
                     status = "table missing"
-                elif blank(location):
+                elif _is_blank(location):
                     status = "stored location empty"
                 elif location == new:
                     status = "no-op"
-                elif blank(previous):
+                elif _is_blank(previous):
                     status = "previous location empty"
                 elif location != previous:
                     status = "previous location differs"
@@ -315,6 +323,88 @@ def cas_metadata_location(tables: DataFrame, updates: DataFrame) -> DataFrame:
     return ordered.mapInArrow(walk, StructType([*updates.schema.fields, StructField("status", StringType())]))
 
 
+def _folded(ranged: DataFrame, order: list[str]) -> DataFrame:
+    """What each run of updates does to a location: ``id, name, _range, before, after`` for every location it moves.
+
+    A run is folded from its last update to its first: an update that moves ``previous`` to ``new`` leaves it where
+    the later ones leave ``new``.  Other locations stay as they are.
+    """
+    backwards = [F.col(c).desc() for c in order]
+    ordered = ranged.repartition("_range", "name").sortWithinPartitions("_range", "name", *backwards)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at, moves = None, {}
+        made = TaskContext.get().partitionId() << 40
+
+        def rows() -> pa.RecordBatch:
+            nonlocal made
+            number, name = at
+            n = len(moves)
+            made += n
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(made - n, made), pa.int64()), pa.array([name] * n, pa.string()), pa.array([number] * n, pa.int32()),
+                    pa.array(list(moves), pa.string()), pa.array(list(moves.values()), pa.string()),
+                ],
+                names=["id", "name", "_range", "before", "after"],
+            )
+
+        for batch in batches:
+            for number, name, previous, new in zip(*(batch.column(c).to_pylist() for c in ("_range", "name", "previous", "new"))):
+                if at != (number, name):
+                    if moves:
+                        yield rows()
+                    at, moves = (number, name), {}
+                if not _is_blank(previous) and previous != new:
+                    moves[previous] = moves.get(new, new)
+        if moves:
+            yield rows()
+
+    return ordered.mapInArrow(fold, "id long, name string, _range int, before string, after string")
+
+
+def _entries(ranged: DataFrame, order: list[str]) -> DataFrame:
+    """``name, _range, _entry``: where tables with several runs are when each run begins, from the second one on.
+
+    Every run is folded to what it does to a location.  Each of these moves points to the next run of the table that
+    moves its result on; pointers are doubled, and from the table's first location all moves on its way are marked,
+    twice as many in every round.  So rounds are as many as the number of runs has bits, and the moves of a table
+    with many runs are followed in many tasks.
+    """
+    lies = ranged.filter("_known").groupBy("name", "_range").agg(F.min("_stored").alias("_stored"))
+    several = lies.groupBy("name").agg(F.count("*").alias("_n")).filter("_n > 1").select("name")
+    runs = keep(lies.join(several, "name", "left_semi"), "runs")
+    moves = keep(_folded(ranged.join(several, "name", "left_semi").select("name", "_range", *order), order), "moves")
+    # for every place a table may be left at, the next run that moves it on
+    start = runs.groupBy("name").agg(F.min("_stored").alias("location"))
+    asks = moves.select("name", "_range", F.col("after").alias("location")).unionByName(
+        start.select("name", F.lit(-1).alias("_range"), "location")
+    )
+    marks = (
+        asks.select("name", "_range", "location", F.lit(None).cast("bigint").alias("id"))
+        .unionByName(moves.select("name", "_range", F.col("before").alias("location"), "id"))
+        .filter("location IS NOT NULL")
+        .groupBy("name", "location", "_range")
+        .agg(F.max("id").alias("id"))
+    )
+    later = Window.partitionBy("name", "location").orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    nexts = keep(marks.withColumn("next", F.first("id", ignorenulls=True).over(later)).filter("next IS NOT NULL").drop("id"), "nexts")
+    here = nexts.withColumnRenamed("location", "after")
+    jump = keep(moves.join(here, ["name", "_range", "after"]).select("id", "next"), "jumps")
+    way = nexts.filter("_range = -1").join(start, ["name", "location"], "left_semi").select(F.col("next").alias("id"))
+    while not jump.isEmpty():
+        further = way.join(jump, "id").select(F.col("next").alias("id"))
+        way = keep(way.unionByName(further).distinct(), "way")
+        onward = jump.select(F.col("id").alias("next"), F.col("next").alias("_then"))
+        jump = keep(join_hot(jump, onward, ["next"], "inner", ["id"]).select("id", F.col("_then").alias("next")), "jumps")
+    left = moves.join(way, "id", "left_semi").select("name", "_range", F.struct(F.col("after").alias("location")).alias("_left"))
+    before = Window.partitionBy("name").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    known = runs.join(left, ["name", "_range"], "left").withColumn("_entry", F.last("_left", ignorenulls=True).over(before))
+    return known.filter("_entry IS NOT NULL").select("name", "_range", "_entry")
+
+
 def apply_cas(tables: DataFrame, judged: DataFrame) -> DataFrame:
     """Table locations after the accepted updates: the new one of the last."""
     last = F.max_by("new", F.struct("seq", "previous", "new"))

@@ -235,27 +235,36 @@ def purge_obsolete_definitions(
     return defs.join(gone, "name", "left_anti"), tags.join(gone, "name", "left_anti")
 
 
-def ambiguous_renames(mapping: DataFrame) -> DataFrame:
-    """``(old, new, ambiguous)``: renames of one name to several, and of several to one, with which it is."""
+def judge_renames(mapping: DataFrame) -> DataFrame:
+    """``(old, new, ambiguous)``: every distinct rename, and whether its name has several targets or its target several
+    names; null when neither."""
     pairs = mapping.select("old", "new").distinct()
     of = pairs.groupBy("old").agg((F.count("*") > 1).alias("_of"))
     to = pairs.groupBy("new").agg((F.count("*") > 1).alias("_to"))
     why = F.when(F.col("_of"), "several targets for one name").when(F.col("_to"), "several names for one target")
-    return pairs.join(of, "old").join(to, "new").select("old", "new", why.alias("ambiguous")).filter("ambiguous IS NOT NULL")
+    return pairs.join(of, "old").join(to, "new").select("old", "new", why.alias("ambiguous"))
 
 
-def rename_keys(
-    docs: DataFrame, mapping: DataFrame, key: str, replace_target: bool
-) -> DataFrame:
+def ambiguous_renames(mapping: DataFrame) -> DataFrame:
+    """``(old, new, ambiguous)``: renames of one name to several, and of several to one, with which it is."""
+    return judge_renames(mapping).filter("ambiguous IS NOT NULL")
+
+
+def rename_keys(docs: DataFrame, mapping: DataFrame, key: str, replace_target: bool) -> DataFrame:
     """Re-key documents by ``(old, new)``; with ``replace_target`` a row under the new key goes first.
 
     The source of a rename is never dropped as the target of another one.  Renames of
-    :func:`ambiguous_renames` are left out, so no key is doubled.
+    :func:`ambiguous_renames` are left out, so no key is doubled.  The verdict is kept: it is read twice.
     """
-    mapping = mapping.select("old", "new").distinct().join(ambiguous_renames(mapping), ["old", "new"], "left_anti")
-    pairs = mapping.select(F.col("old").alias(key), F.col("new").alias("_new"))
+    allowed = keep(judge_renames(mapping).filter("ambiguous IS NULL").select("old", "new"), "renames")
+    return rename_allowed(docs, allowed, key, replace_target)
+
+
+def rename_allowed(docs: DataFrame, allowed: DataFrame, key: str, replace_target: bool) -> DataFrame:
+    """:func:`rename_keys` for renames that were judged before: no name and no target twice."""
+    pairs = allowed.select(F.col("old").alias(key), F.col("new").alias("_new"))
     if replace_target:
-        targets = mapping.select(F.col("new").alias(key)).join(pairs.select(key), key, "left_anti")
+        targets = allowed.select(F.col("new").alias(key)).join(pairs.select(key), key, "left_anti")
         docs = docs.join(targets, key, "left_anti")
     renamed = docs.join(pairs, key, "left")
     return renamed.withColumn(key, F.coalesce("_new", key)).drop("_new").select(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from ..functions.ranges import in_ranges, running_sums
 from ..functions.skew import join_hot
 from ..session import keep
-from .metadata import ambiguous_renames
+from .metadata import judge_renames
 
 # Fixed value: children a parent may have per relation type when nothing else is said.
 DEFAULT_LIMIT = 5
@@ -259,15 +259,17 @@ def _round(seen: DataFrame, open_: DataFrame) -> DataFrame:
     return rows.join(settled, "at", "left").withColumn("verdict", verdict)
 
 
-def refused_renames(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``(old, new, reason)``: renames whose new name takes part in an edge already, and ambiguous ones."""
+def judge_edge_renames(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``(old, new, reason)``: every distinct rename and why it is refused, null if it is not."""
     taken = edges.select(F.col("parent").alias("new")).unionByName(edges.select(F.col("child").alias("new"))).distinct()
-    pairs = mapping.select("old", "new").distinct()
-    judged = pairs.join(taken.withColumn("_taken", F.lit(True)), "new", "left").join(
-        ambiguous_renames(pairs), ["old", "new"], "left"
-    )
+    judged = judge_renames(mapping).join(taken.withColumn("_taken", F.lit(True)), "new", "left")
     reason = F.when(F.col("_taken"), "target in an edge").otherwise(F.col("ambiguous"))
-    return judged.select("old", "new", reason.alias("reason")).filter("reason IS NOT NULL")
+    return judged.select("old", "new", reason.alias("reason"))
+
+
+def refused_renames(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``(old, new, reason)``: renames whose new name takes part in an edge already, and ambiguous ones."""
+    return judge_edge_renames(edges, mapping).filter("reason IS NOT NULL")
 
 
 def rename_ends(edges: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -282,8 +284,8 @@ def rename_ends(edges: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def rename_entity(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges after renaming tables by ``(old, new)``; what :func:`refused_renames` tells is left out."""
-    pairs = mapping.select("old", "new").distinct()
-    return rename_ends(edges, pairs.join(refused_renames(edges, mapping), ["old", "new"], "left_anti"))
+    allowed = keep(judge_edge_renames(edges, mapping).filter("reason IS NULL").select("old", "new"), "renames")
+    return rename_ends(edges, allowed)
 
 
 def drop_entity(edges: DataFrame, names: DataFrame) -> DataFrame:

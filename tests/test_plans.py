@@ -83,3 +83,16 @@ def test_a_local_session_keeps_its_settings(spark):
     before = spark.sparkContext.getCheckpointDir()
     assert shared_folder(spark) == shared_folder(spark)
     assert spark.sparkContext.getCheckpointDir() == before
+
+
+@pytest.mark.parametrize(
+    "name,most", [("table_rename", 40), ("table_rename_refused", 40), ("metadata_rename", 20), ("data_rename", 20), ("tag_rename", 20), ("relation_rename", 20)]
+)
+def test_renames_are_judged_once(spark, small, name, most):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name].build(Bindings(spark, small))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 0 < plan.count("Exchange hashpartitioning") <= most
