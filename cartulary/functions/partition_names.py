@@ -86,6 +86,19 @@ def is_valid_name(name: Column, keys: list[str]) -> Column:
     return name.rlike(rf"^[/\s]*(?:{component}(?:\s*/[/\s]*{component})*)?[/\s]*$")
 
 
+def fits_keys(name: Column, keys: Column) -> Column:
+    """:func:`is_valid_name` against a column with the row's own declared keys."""
+    space = r"^\s+|\s+$"
+    parts = F.filter(F.transform(F.split(name, "/"), lambda p: F.regexp_replace(p, space, "")), lambda p: p != "")
+
+    def fits(part: Column) -> Column:
+        halves = F.transform(F.split(part, "="), lambda h: F.regexp_replace(h, space, ""))
+        value = F.get(halves, F.lit(1))
+        return (F.size(halves) == 2) & F.array_contains(keys, F.get(halves, F.lit(0))) & (value != "") & (F.lower(value) != "null")
+
+    return F.forall(parts, fits)
+
+
 def escape_value(value: Column) -> Column:
     """Escape one key or value for use inside a partition path."""
     characters = F.regexp_extract_all(value, F.lit("(?s)(.)"), F.lit(1))

@@ -215,3 +215,32 @@ def typed(left: Column, key_type: str, op: str, literal: object) -> Column:
     if op in ("!=", "<>"):
         return ~a.eqNullSafe(b)
     return _known(_ORDER[op](a, b), a)
+
+
+# How declared key types are read; any other type is text.
+_DECLARED = {
+    "integral": ("bigint", "int", "integer", "smallint", "tinyint"), "date": ("date",), "timestamp": ("timestamp",),
+}
+
+
+def typed_as(left: Column, declared: Column, op: str, literal: object, strict: bool = True) -> Column:
+    """:func:`typed` with the key's declared type in a column, so that it may differ from row to row.
+
+    False where nothing is declared.  A literal that is none of a row's type is an error, or with ``strict=False``
+    false; one that fits no type at all is refused at once.
+    """
+    kind = F.lower(F.regexp_extract(declared, r"^\s*(\w+)", 1))
+    branches, fitting = [], 0
+    for key_type in (*_DECLARED, "string"):
+        try:
+            branches.append((key_type, typed(left, key_type, op, literal)))
+            fitting += 1
+        except ValueError:
+            wrong = F.concat(F.lit(f"literal {literal!r} does not fit a key of type "), declared)
+            branches.append((key_type, F.raise_error(wrong).cast("boolean") if strict else F.lit(False)))
+    if not fitting:
+        raise ValueError(f"literal {literal!r} fits no key type")
+    out = F.when(declared.isNull(), False)
+    for key_type, found in branches[:-1]:
+        out = out.when(kind.isin(*_DECLARED[key_type]), found)
+    return out.otherwise(branches[-1][1])

@@ -9,12 +9,12 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.partition_names import is_valid_name
+from ..functions.partition_names import fits_keys, is_valid_name
 from ..functions.ranges import in_ranges
 from ..functions.skew import join_hot
 from ..session import keep
 from .metadata import delete_metadata, judge_renames, rename_allowed, soft_delete_data
-from .partitions import ID
+from .partitions import ID, with_key_schema
 from .relations import drop_entity, rename_ends
 from .tags import EDGE as TAG
 
@@ -38,7 +38,7 @@ def plan_partition_save(
     check: bool = True,
     alter: bool = False,
     path_only: bool = False,
-    keys: list[str] | None = None,
+    keys: list[str] | DataFrame | None = None,
     order: str | None = None,
 ) -> DataFrame:
     """What saving ``incoming`` does: its rows with an ``action``.
@@ -51,13 +51,18 @@ def plan_partition_save(
 
     A partition named more than once is refused as a whole, or with an ``order`` column all but its earliest
     row; with the declared ``keys`` a name that does not fit them is refused too.  A refused partition has one
-    row, whose action tells why, and changes nothing.
+    row, whose action tells why, and changes nothing.  ``keys`` is one list for all tables, or a schema with each
+    table's own keys, see :func:`with_key_schema`.
     """
     kept = [c for c in KEPT if c in existing.columns and c in incoming.columns]
     row = F.struct("uri", *kept)
     one = F.min_by(row, order) if order else F.any_value(row)
     folded = incoming.groupBy(*ID).agg(F.count("*").alias("_n"), one.alias("_row"))
-    fits = is_valid_name(F.col("part_name"), keys) if keys else F.lit(True)
+    if isinstance(keys, DataFrame):
+        folded = with_key_schema(folded, keys, "_keys")
+        fits = fits_keys(F.col("part_name"), F.map_keys("_keys"))
+    else:
+        fits = is_valid_name(F.col("part_name"), keys) if keys else F.lit(True)
     new = folded.filter(fits if order else fits & (F.col("_n") == 1)).select(*ID, "_row.*")
     why = F.when(~fits, INVALID).when(F.col("_n") > 1, REPEATED)
     refused = folded.select(*ID, "_row.*", why.alias("action")).filter("action IS NOT NULL")

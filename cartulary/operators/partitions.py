@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 
 from ..functions import partition_names as P
 from ..functions import predicates as Q
+from ..functions.columns import free
 from ..functions.skew import join_hot
 from ..functions.times import epoch_seconds
 from ..session import keep
@@ -75,9 +76,44 @@ def with_key_columns(parts: DataFrame, keys: list[str], types: dict[str, str] |
     )
 
 
-def invalid_names(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose partition name does not fit the declared keys."""
-    return parts.filter(~P.is_valid_name(F.col("part_name"), keys))
+def with_key_schema(parts: DataFrame, schema: DataFrame, column: str) -> DataFrame:
+    """The rows with a map ``column`` from their table's declared keys to the types; empty where it declares none.
+
+    ``schema`` is ``(table_name, pkey_name, pkey_type)``, one row per key, as :func:`metastore.partition_key_schema`
+    gives it; of a key declared twice the type that is least in order counts.  A map holds the keys of one table,
+    and a table with very many partitions is spread.
+    """
+    pairs = schema.groupBy("table_name", "pkey_name").agg(F.min("pkey_type").alias("pkey_type"))
+    entries = F.map_from_entries(F.collect_list(F.struct("pkey_name", "pkey_type")))
+    declared = pairs.groupBy("table_name").agg(entries.alias(column))
+    spread = [c for c in ("part_name", "part_id") if c in parts.columns] or ["table_name"]
+    out = join_hot(parts, declared, ["table_name"], "left", spread)
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    return out.withColumn(column, F.coalesce(column, none))
+
+
+def invalid_names(parts: DataFrame, keys: list[str] | DataFrame) -> DataFrame:
+    """Rows whose partition name does not fit the declared keys: those of a list, or each table's own of a schema
+    (see :func:`with_key_schema`)."""
+    if isinstance(keys, list):
+        return parts.filter(~P.is_valid_name(F.col("part_name"), keys))
+    own = free("_keys", parts)
+    checked = with_key_schema(parts, keys, own).filter(~P.fits_keys(F.col("part_name"), F.map_keys(own)))
+    return checked.select(*[F.col(f"`{c}`") for c in parts.columns])
+
+
+def filter_typed(parts: DataFrame, schema: DataFrame, key: str, op: str, literal: object, strict: bool = True) -> DataFrame:
+    """Partitions whose key compares so with a literal, each table's key read in its own declared type.
+
+    One job covers tables that declare the key as text, number, date or timestamp.  Tables that do not declare it
+    have no such partitions.  Where the literal is none of the key's type the job fails, or with ``strict=False``
+    those partitions are left out.
+    """
+    own = free("_keys", parts)
+    found = with_key_schema(parts, schema, own).filter(
+        Q.typed_as(P.key_value(F.col("part_name"), key), F.col(own)[key], op, literal, strict)
+    )
+    return found.select(*[F.col(f"`{c}`") for c in parts.columns])
 
 
 def bad_characters(parts: DataFrame, allowed: str) -> DataFrame:
@@ -157,20 +193,20 @@ def sort_page(
     if not offset:
         ordered = df.orderBy(*ordering)
         return ordered if limit is None else ordered.limit(limit)
-    ranged = df.repartitionByRange(*ordering).withColumn("_range", F.spark_partition_id())
-    ranged = keep(ranged, "ranges")
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    touched = starts.filter(F.col("_start") + F.col("_size") > offset)
+    number, start, size, place = (free(c, df) for c in ("_range", "_start", "_size", "_number"))
+    ranged = keep(df.repartitionByRange(*ordering).withColumn(number, F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(number).agg(F.count("*").alias(size))
+    starts = sizes.withColumn(start, F.coalesce(F.sum(size).over(earlier), F.lit(0)))
+    touched = starts.filter(F.col(start) + F.col(size) > offset)
     if limit is not None:
-        touched = touched.filter(F.col("_start") < offset + limit)
-    inside = Window.partitionBy("_range").orderBy(*ordering)
-    numbered = ranged.join(touched, "_range").withColumn("_number", F.col("_start") + F.row_number().over(inside))
-    page = numbered.filter(F.col("_number") > offset)
+        touched = touched.filter(F.col(start) < offset + limit)
+    inside = Window.partitionBy(number).orderBy(*ordering)
+    numbered = ranged.join(touched, number).withColumn(place, F.col(start) + F.row_number().over(inside))
+    page = numbered.filter(F.col(place) > offset)
     if limit is not None:
-        page = page.filter(F.col("_number") <= offset + limit)
-    return page.orderBy("_number").select(*[F.col(f"`{c}`") for c in df.columns])
+        page = page.filter(F.col(place) <= offset + limit)
+    return page.orderBy(place).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def list_partitions(

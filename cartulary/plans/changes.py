@@ -75,6 +75,21 @@ def partition_save_refused(b: Bindings) -> DataFrame:
     return C.plan_partition_save(b.parts, incoming, keys=KEYS).select("table_name", "part_name", "action")
 
 
+@query(
+    "partition_save_schemas", "O-21", "O-82",
+    sql=f"""WITH {_BOTH}
+    SELECT table_name, part_name, CASE WHEN CAST(substr(table_name, 2) AS BIGINT) % 3 = 0 THEN 'refused: the name does not fit the keys'
+        WHEN old_id IS NULL THEN 'added' WHEN uri = old_uri THEN 'unchanged' ELSE 'replaced' END AS action FROM both_sides""",
+)
+def partition_save_schemas(b: Bindings) -> DataFrame:
+    """A save into tables with different keys: every third one has no key ``status``."""
+    kind = F.substring("table_name", 2, 20).cast("bigint") % 3
+    tables = b.incoming.select("table_name").distinct()
+    second = F.when(kind == 0, "state").otherwise("status")
+    schema = tables.select("table_name", F.explode(F.array(F.lit("dateint"), second)).alias("pkey_name"), F.lit("string").alias("pkey_type"))
+    return C.plan_partition_save(b.parts, b.incoming, keys=schema).select("table_name", "part_name", "action")
+
+
 @query(
     "partition_save_apply", "O-83",
     sql=f"""WITH {_BOTH}

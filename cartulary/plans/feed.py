@@ -248,16 +248,12 @@ def feed_change_counts_sliding(b: Bindings) -> DataFrame:
     return _counted(E.change_counts(b.log, "1 day", "6 hours"))
 
 
-@query(
-    "stream_change_counts", "O-104",
-    sql=_COUNTS.format(
-        where="WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM v_log)"
-    ),
-)
+@query("stream_change_counts", "O-104", sql=_COUNTS.format(where=""))
 def stream_change_counts(b: Bindings) -> DataFrame:
     folder = scratch(b, "counts")
-    S.drain(E.change_counts(_log_stream(b), "1 day", watermark="1 hour"), f"{folder}/out", f"{folder}/state")
-    return _counted(b.spark.read.parquet(f"{folder}/out"))
+    S.maintain_windows(_log_stream(b), f"{folder}/out", f"{folder}/state", "1 day", "1 hour").awaitTermination()
+    S.fold_windows(b.spark, f"{folder}/out")
+    return _counted(S.read_windows(b.spark, f"{folder}/out"))
 
 
 @query(
@@ -302,8 +298,8 @@ def stream_dedupe(b: Bindings) -> DataFrame:
 
 @query(
     "stream_publish", "O-107",
-    sql="""SELECT 'tables' AS topic, count(*) AS messages FROM v_log
-    UNION ALL SELECT 'partitions', count(*) FROM v_log WHERE op IN ('add', 'delete')""",
+    sql="""SELECT 'tables' AS topic, event_id, name, op, CAST(NULL AS VARCHAR) AS part_name FROM v_log
+    UNION ALL SELECT 'partitions', event_id, name, op, 'id=' || event_id FROM v_log WHERE op IN ('add', 'delete')""",
 )
 def stream_publish(b: Bindings) -> DataFrame:
     folder = scratch(b, "published")
@@ -312,10 +308,7 @@ def stream_publish(b: Bindings) -> DataFrame:
     for q in S.publish(messages, f"{folder}/tables", f"{folder}/partitions", f"{folder}/state"):
         q.awaitTermination()
     schema = "event_id bigint, name string, op string, part_name string"
-    read = [
-        b.spark.read.schema(schema).json(f"{folder}/{t}").agg(F.count("*").alias("messages")).select(F.lit(t).alias("topic"), "messages")
-        for t in ("tables", "partitions")
-    ]
+    read = [b.spark.read.schema(schema).json(f"{folder}/{t}").select(F.lit(t).alias("topic"), "*") for t in ("tables", "partitions")]
     return read[0].unionByName(read[1])
 
 

@@ -318,6 +318,39 @@ def types_normalize(b: Bindings) -> DataFrame:
     return normalize_types(columns).select("partkey", "canonical_type", "spark_type")
 
 
+# Nested declarations, what they become, and the Spark type that holds it.
+_NESTED = [
+    ("pig", "map[]", "map<string,unknown>", "map<string,string>"),
+    ("pig", "map[chararray]", "map<string,string>", "map<string,string>"),
+    ("pig", "{(one: chararray)}", "array<row<one:string>>", "array<struct<one:string>>"),
+    ("pig", "(a: int, b: chararray)", "row<a:int,b:string>", "struct<a:int,b:string>"),
+    ("pig", "{(array_element: long)}", "array<bigint>", "array<bigint>"),
+    ("pig", "bag{t: tuple(k: chararray, v: map[{(n: double)}])}", "array<row<k:string,v:map<string,array<row<n:double>>>>>",
+     "array<struct<k:string,v:map<string,array<struct<n:double>>>>>"),
+    ("pig", "{int", "unknown", "string"),
+    ("postgresql", "timestamptz[]", "array<timestamp with time zone>", "array<timestamp>"),
+    ("postgresql", "timetz", "time with time zone", "string"),
+    ("redshift", "timestamptz", "timestamp with time zone", "timestamp"),
+]
+
+
+def _case(column: int) -> str:
+    return "CASE " + " ".join(f"WHEN p_partkey % {len(_NESTED)} = {i} THEN '{row[column]}'" for i, row in enumerate(_NESTED)) + " END"
+
+
+@query(
+    "types_normalize_nested", "O-28",
+    sql=f"SELECT p_partkey AS partkey, {_case(2)} AS canonical_type, {_case(3)} AS spark_type FROM part",
+)
+def types_normalize_nested(b: Bindings) -> DataFrame:
+    kind = F.col("p_partkey") % len(_NESTED)
+    columns = b.table("part").select(
+        F.col("p_partkey").alias("partkey"),
+        *[F.coalesce(*[F.when(kind == i, row[k]) for i, row in enumerate(_NESTED)]).alias(c) for k, c in enumerate(("dialect", "source_type"))],
+    )
+    return normalize_types(columns).select("partkey", "canonical_type", "spark_type")
+
+
 @query(
     "partition_values", "O-112",
     sql="""SELECT part_id, datetext || ',' || coalesce(status, '__HIVE_DEFAULT_PARTITION__') AS "values", status FROM v_parts""",

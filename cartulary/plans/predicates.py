@@ -177,6 +177,27 @@ def predicate_typed_keys(b: Bindings) -> DataFrame:
     )
 
 
+@query(
+    "predicate_key_schemas", "O-38",
+    sql="""WITH p AS (SELECT *, CAST(substr(table_name, 2) AS BIGINT) % 4 AS kind FROM v_parts)
+    SELECT 'number' AS literal, part_id FROM p WHERE kind = 0 AND dateint >= 19970601
+    UNION ALL SELECT 'text', part_id FROM p WHERE kind = 1 AND datetext >= '1997-06-01'
+    UNION ALL SELECT 'text', part_id FROM p WHERE kind = 2 AND create_time >= TIMESTAMP '1997-06-01'""",
+)
+def predicate_key_schemas(b: Bindings) -> DataFrame:
+    """One key that is a number in some tables, text or a date in others, and not declared in the rest."""
+    kind = F.substring("table_name", 2, 20).cast("bigint") % 4
+    dated = F.concat(F.lit("dateint="), F.date_format("create_time", "yyyy-MM-dd"))
+    parts = b.parts.withColumn("part_name", F.when(kind == 2, dated).otherwise(F.col("part_name")))
+    types = F.when(kind == 0, "int").when(kind == 1, "string").otherwise("date")
+    schema = parts.select("table_name", F.when(kind == 3, "other").otherwise("dateint").alias("pkey_name"), types.alias("pkey_type")).distinct()
+    found = [
+        P.filter_typed(parts, schema, "dateint", ">=", literal, strict=False).select(F.lit(name).alias("literal"), "part_id")
+        for name, literal in (("number", 19970601), ("text", "1997-06-01"))
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query(
     "predicate_native_columns", "O-39",
     sql="""SELECT l_returnflag, l_linestatus, count(*) AS row_count, CAST(epoch(max(l_shipdate)) AS BIGINT) AS newest FROM lineitem

@@ -8,7 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..functions.times import epoch_seconds
-from ..session import shared_folder
+from ..session import keep, shared_folder
 from ..sources import jdbc as J
 from ..sources import metastore as M
 from ..sources import segments as G
@@ -123,6 +123,33 @@ def data_partition_metrics(b: Bindings) -> DataFrame:
     return out.withColumn("newest", epoch_seconds(F.col("newest"))).drop("file_count")
 
 
+@query(
+    "data_metrics_updated", "O-07",
+    sql="""SELECT l_returnflag, l_linestatus, CAST(l_suppkey % 5 AS BIGINT) AS bucket, count(*) AS row_count,
+        count(DISTINCT l_orderkey % 60) AS file_count, CAST(epoch(max(l_shipdate)) AS BIGINT) AS newest
+    FROM lineitem WHERE NOT (l_orderkey % 60 < 20 AND l_orderkey % 7 = 0) AND l_orderkey % 60 <> 33 GROUP BY 1, 2, 3""",
+)
+def data_metrics_updated(b: Bindings) -> DataFrame:
+    """Two snapshots of a table whose files are listed with their numbers: some go, some come, some are rewritten."""
+    keys = ["l_returnflag", "l_linestatus", "bucket"]
+    rows = b.table("lineitem").select(
+        "l_returnflag", "l_linestatus", (F.col("l_suppkey") % 5).alias("bucket"), "l_orderkey", "l_shipdate", (F.col("l_orderkey") % 60).alias("file")
+    )
+
+    def listed(kept: DataFrame) -> DataFrame:
+        path = F.concat(F.lit("f"), F.col("file").cast("string"))
+        return kept.groupBy(*keys, path.alias("path")).agg(F.count("*").alias("row_count"), F.max("l_shipdate").alias("newest"))
+
+    shrunk = (F.col("file") < 20) & (F.col("l_orderkey") % 7 == 0)
+    before = listed(rows.filter("file < 45"))
+    after = keep(listed(rows.filter(~shrunk & (F.col("file") != 33))), "files")
+    columns = after.columns
+    old = M.metrics_of_files(before, keys)
+    removed, added = before.select(*columns).exceptAll(after), after.exceptAll(before.select(*columns))
+    updated = M.update_metrics(old, after, added, removed, keys)
+    return updated.withColumn("newest", epoch_seconds(F.col("newest")))
+
+
 _DIMENSIONS = {"click": "page,ref", "view": "page", "signup": "country,device,page", "purchase": "item", "error": ""}
 
 

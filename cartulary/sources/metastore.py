@@ -9,6 +9,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.ranges import join_null_safe
 from ..functions.skew import join_hot
 
 
@@ -68,3 +69,52 @@ def partition_metrics(data: DataFrame, keys: list[str], timestamp: str, files: b
         F.count("*").alias("file_count"),
         F.max("newest").alias("newest"),
     )
+
+
+def file_metrics(data: DataFrame, keys: list[str], timestamp: str) -> DataFrame:
+    """``keys, path, row_count, newest`` per file of a data set: what a table's own file list would say.
+
+    Table formats keep these numbers in their metadata; read them from there where they do.
+    """
+    return data.withColumn("path", F.col("_metadata.file_path")).groupBy(*keys, "path").agg(
+        F.count("*").alias("row_count"), F.max(timestamp).alias("newest")
+    )
+
+
+def metrics_of_files(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics per partition out of file rows ``(keys, path, row_count, newest)``; no row of data is read."""
+    return files.groupBy(*keys).agg(
+        F.sum("row_count").alias("row_count"), F.count("*").alias("file_count"), F.max("newest").alias("newest")
+    )
+
+
+def update_metrics(metrics: DataFrame, files: DataFrame, added: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`metrics_of_files` after a snapshot, from those before it and the files it added and removed.
+
+    ``files`` are those of the table after the snapshot.  Counts are added and subtracted.  The newest time is that of
+    the old one and the added files - unless a removed file held it: only such partitions are looked up in ``files``
+    again, so an update costs the changed files and the files of these partitions.  Partitions without files go.
+    Null keys are keys like others.  A file of both lists has changed its numbers.
+    """
+    sign = F.col("_sign")
+    changed = added.withColumn("_sign", F.lit(1)).unionByName(removed.withColumn("_sign", F.lit(-1)))
+    delta = changed.groupBy(*keys).agg(
+        F.sum(sign * F.col("row_count")).alias("_rows"), F.sum(sign).alias("_files"),
+        F.max(F.when(sign == 1, F.col("newest"))).alias("_added"), F.max(F.when(sign == -1, F.col("newest"))).alias("_removed"),
+    )
+    both = join_null_safe(metrics.withColumn("_old", F.lit(True)), delta, keys, "left")
+    fresh = join_null_safe(delta, metrics.select(*keys), keys, "left_anti")
+    stays = both.select(
+        *keys, *[(F.col(c) + F.coalesce(d, F.lit(0))).alias(c) for c, d in (("row_count", "_rows"), ("file_count", "_files"))],
+        F.greatest("newest", "_added").alias("newest"),
+        # greatest() skips nulls, so only a removed newest needs another look
+        F.coalesce(F.col("_removed") >= F.greatest("newest", "_added"), F.lit(False)).alias("_again"),
+    )
+    begins = fresh.select(
+        *keys, F.col("_rows").alias("row_count"), F.col("_files").alias("file_count"), F.col("_added").alias("newest"), F.lit(False).alias("_again")
+    )
+    now = stays.unionByName(begins).filter("file_count > 0")
+    again = now.filter("_again").select(*keys)
+    opened = join_null_safe(files.select(*keys, "newest"), again, keys, "left_semi").groupBy(*keys).agg(F.max("newest").alias("_newest"))
+    found = join_null_safe(now, opened, keys, "left")
+    return found.select(*keys, "row_count", "file_count", F.when(F.col("_again"), F.col("_newest")).otherwise(F.col("newest")).alias("newest"))

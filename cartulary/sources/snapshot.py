@@ -20,19 +20,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a snapshot, oldest first."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder; nothing happens where there is none."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def numbered_folders(spark: SparkSession, path: str, pattern: str) -> list[int]:
+    """Numbers of the finished folders whose names match, lowest first; the pattern's group is the number."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
     found = []
     for status in fs.listStatus(p):
-        m = re.fullmatch(r"v(\d+)", status.getPath().getName())
+        m = re.fullmatch(pattern, status.getPath().getName())
         if m and fs.exists(status.getPath().suffix("/_SUCCESS")):
             found.append(int(m.group(1)))
     return sorted(found)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a snapshot, oldest first."""
+    return numbered_folders(spark, path, r"v(\d+)")
+
+
 def write_snapshot(df: DataFrame, path: str, by: list[str] | None = None, version: int | None = None) -> int:
     """Write the next version; readers only ever see finished ones.
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.snapshot import exists, read_snapshot, versions, write_snapshot
 from . import feed
+from .upserts import fold, read_upserts, tidy, write_batch
 
 
 ARRIVAL_STEP = Decimal(10) ** 19  # above any bigint sequence number
@@ -102,8 +103,12 @@ def start_index(docs: DataFrame, folder: str) -> None:
 
 
 def compact_index(spark: SparkSession, folder: str, through: int) -> None:
-    """Fold the log up to a batch into a base; base version ``n`` holds all batches before ``n``."""
+    """Fold the log up to a batch into a base; base version ``n`` holds all batches before ``n``.
+
+    The base before stays for readers that have begun; what only older ones need is removed.
+    """
     write_snapshot(read_index(spark, folder, through), f"{folder}/base", version=through + 1)
+    tidy(spark, folder)
 
 
 def read_index(spark: SparkSession, folder: str, through: int | None = None) -> DataFrame:
@@ -122,22 +127,49 @@ def read_index(spark: SparkSession, folder: str, through: int | None = None) ->
     return feed.apply_changes(docs, log.withColumn("seq", arrival).drop("batch"))
 
 
-def maintain_counts(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Live partition counts per table; every batch writes the tables it changed."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
+def _maintain(changed: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows that each batch changes, with their values so far."""
     return (
-        feed.live_counts(events)
-        .writeStream.outputMode("update")
-        .foreachBatch(save)
+        changed.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: write_batch(batch, out, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def maintain_counts(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Live partition counts per table; every batch writes the tables it changed."""
+    return _maintain(feed.live_counts(events), out, checkpoint)
+
+
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
     """Newest count of every table."""
-    return spark.read.parquet(out).groupBy("name").agg(F.max_by("live", "batch").alias("live"))
+    return read_upserts(spark, out, ["name"])
+
+
+WINDOW = ["window_start", "window_end", "name"]
+
+
+def maintain_windows(events: DataFrame, out: str, checkpoint: str, width: str, watermark: str) -> StreamingQuery:
+    """Changes per table and window; every batch writes the windows it changed, open ones too.
+
+    Counts combine before their shuffle, so a table with very many events of one window sends one row per task.  The
+    stream forgets a window once the watermark has passed it; what was written stays.
+    """
+    return _maintain(feed.change_counts(events, width, watermark=watermark), out, checkpoint)
+
+
+def read_windows(spark: SparkSession, out: str) -> DataFrame:
+    """All windows with their newest counts, closed and open."""
+    return read_upserts(spark, out, WINDOW)
+
+
+def fold_counts(spark: SparkSession, out: str) -> None:
+    """Fold the counts of all batches so far; run between streams, now and then."""
+    fold(spark, out, ["name"])
+
+
+def fold_windows(spark: SparkSession, out: str) -> None:
+    """Fold the windows of all batches so far."""
+    fold(spark, out, WINDOW)

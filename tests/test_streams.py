@@ -5,7 +5,7 @@ import pyspark.sql.functions as F
 from cartulary.functions.times import as_instant
 from cartulary.plans.bindings import Bindings
 from cartulary.plans.feed import _index, _index_changes
-from cartulary.streaming import feed, streams
+from cartulary.streaming import feed, streams, upserts
 from tests.conftest import values
 
 INDEX = ["name", "kind", "body", "user", "deleted", "updated_at"]
@@ -26,16 +26,22 @@ def test_index_over_many_batches_with_compaction(spark, small, tmp_path):
     streams.start_index(_index(b), home)
     stream = streams.read_feed(spark, folder, events.schema, files_per_batch=1)
     streams.maintain_index(_index_changes(stream), home, str(tmp_path / "state"), compact_every=2).awaitTermination()
+    # the same batches, none of them folded: what arrived in each
+    whole = str(tmp_path / "whole")
+    streams.start_index(_index(b), whole)
+    streams.maintain_index(_index_changes(stream), whole, str(tmp_path / "whole_state"), compact_every=100).awaitTermination()
     docs = _index(b)
     for n in range(5):
-        arrived = spark.read.parquet(f"{home}/log/batch={n}")
+        arrived = spark.read.parquet(f"{whole}/log/batch={n}")
         # each step is read back, so that the plan does not grow with the batches
         feed.apply_changes(docs, arrived).write.parquet(str(tmp_path / f"step{n}"))
         docs = spark.read.parquet(str(tmp_path / f"step{n}"))
     want = values(docs, *INDEX)
     assert values(streams.read_index(spark, home), *INDEX) == want
     bases = sorted(p.name for p in (tmp_path / "index" / "base").iterdir())
-    assert bases == ["v0", "v2", "v4"]
+    # the last base and the one before it; what only older ones need is gone
+    assert bases == ["v2", "v4"]
+    assert sorted(p.name for p in (tmp_path / "index" / "log").iterdir() if p.name.startswith("batch")) == ["batch=2", "batch=3", "batch=4"]
     # folding again after a lost attempt leaves the same index
     streams.compact_index(spark, home, 3)
     assert values(streams.read_index(spark, home), *INDEX) == want
@@ -104,10 +110,42 @@ def test_payload_messages(spark):
     assert values(names, "update_id", "table_name", "op", "part_name") == sorted(set(rows), key=str)
 
 
-def test_running_inventory_over_bucket_borders(spark, small):
+def test_running_inventory_over_range_borders(spark, small):
     log = Bindings(spark, small).log.withColumn("name", F.lit("hot"))
-    rows = {b: values(feed.running_inventory(log, b), "event_id", "live") for b in ("minute", "day", "year")}
-    assert rows["minute"] == rows["day"] == rows["year"]
+    rows = {n: values(feed.running_inventory(log, n), "event_id", "live") for n in (1, 5, 40)}
+    assert rows[1] == rows[5] == rows[40]
+
+
+def test_windows_are_written_open_and_closed_and_folded(spark, small, tmp_path):
+    events, folder = landed(spark, small, tmp_path, 4)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    every = streams.read_feed(spark, folder, events.schema, files_per_batch=1)
+    log = every.select(
+        "event_id", as_instant(F.col("ts")).alias("ts"), F.col("user_id").cast("string").alias("name"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("op"),
+    )
+    columns = ["window_start", "window_end", "name", "created", "deleted", "updated"]
+    streams.maintain_windows(log, out, state, "1 day", "3650 days").awaitTermination()
+    batch = events.select(
+        "event_id", as_instant(F.col("ts")).alias("ts"), F.col("user_id").cast("string").alias("name"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("op"),
+    )
+    want = values(feed.change_counts(batch, "1 day"), *columns)
+    assert values(streams.read_windows(spark, out), *columns) == want
+    half = values(upserts.read_upserts(spark, out, streams.WINDOW, 1), *columns)
+    upserts.fold(spark, out, streams.WINDOW, 1)
+    assert values(streams.read_windows(spark, out), *columns) == want
+    assert values(upserts.read_upserts(spark, out, streams.WINDOW, 1), *columns) == half
+    for _ in range(3):  # folding again, after a lost attempt too, changes nothing
+        streams.fold_windows(spark, out)
+        assert values(streams.read_windows(spark, out), *columns) == want
+    # a second run adds to what was folded
+    events.write.mode("append").parquet(folder)
+    streams.maintain_windows(log, out, state, "1 day", "3650 days").awaitTermination()
+    streams.fold_windows(spark, out)
+    doubled = [(*r[:3], *(2 * n for n in r[3:])) for r in want]
+    assert values(streams.read_windows(spark, out), *columns) == doubled
+    assert not [n for n in upserts.batches(spark, out) if n < 4]
 
 
 def test_approximate_delay(spark, small):
