@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
 
@@ -27,13 +28,10 @@ DRAWN = set(  # tags of pages, which are none of drawings: they end an open svg
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing main menu meta"
     " nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section nav aside header footer".split()
 )
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<!\[CDATA\[|\]\]>|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>",
-    re.S | re.I,
-)
+RAW_START = re.compile(r"<(" + "|".join(RAW.split()) + r")\b", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split()}
+START = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOPS = re.compile(r"[>\"']")
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small"
     " span strike strong sub sup time tt u var wbr input".split()
@@ -64,6 +62,69 @@ def ends(tag: str, held: str) -> bool:
     return tag in {"svg": DRAWN, "button": LABEL_ENDS}.get(held, ())
 
 
+class Tag(NamedTuple):
+    start: int
+    end: int
+    name: str  # empty for what is no element: comments, declarations, and RAW elements with all they hold
+    closes: bool
+    attrs: str
+
+
+def tags(html: str) -> Iterator[Tag]:
+    """The markup of a page from left to right, in time proportional to its length.
+
+    A tag ends at the first ``>`` outside quotes.  Once a quote is found to have no end in the page, quotes of its
+    kind are ordinary characters; once a tag is found to have no ``>`` outside quotes, quotes of both kinds are.  So
+    the rest of a page is looked through for nothing three times at most, however often it tries.
+    """
+    last, at, ordinary = html.rfind(">"), 0, set()
+
+    def tag_end(k: int) -> int:
+        """Where the tag that begins before ``k`` ends."""
+        first = k
+        while stop := STOPS.search(html, k):
+            k = stop.end()
+            if stop.group() == ">":
+                return k
+            if stop.group() not in ordinary:
+                closing = html.find(stop.group(), k)
+                if closing < 0:
+                    ordinary.add(stop.group())
+                else:
+                    k = closing + 1
+        ordinary.update("\"'")
+        return html.find(">", first) + 1
+
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(html)
+            yield Tag(at, end, "", False, "")
+            at = end
+            continue
+        if html.startswith("<![CDATA[", at):
+            yield Tag(at, at + 9, "", False, "")
+            at += 9
+            continue
+        if at > last:
+            return
+        if html.startswith(("<!", "<?"), at):
+            end = html.find(">", at) + 1
+            yield Tag(at, end, "", False, "")
+            at = end
+            continue
+        if not (m := START.match(html, at)):
+            at += 1
+            continue
+        end = tag_end(m.end())
+        name = m[2].lower()
+        if not m[1] and (raw := RAW_START.match(html, at)):
+            closing = RAW_END[raw[1].lower()].search(html, end)
+            end, name = (closing.end() if closing else len(html)), ""
+        yield Tag(at, end, name, bool(m[1]), html[m.end() : end - 1] if name else "")
+        at = end
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -125,18 +186,17 @@ def blocks(html: str) -> list[Block]:
                 linked += len(piece.split())
 
     at = 0
-    for m in MARKUP.finditer(html):
-        add(html[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if m["raw"] or not tag:
+    for start, after, tag, closes, attrs in tags(html):
+        add(html[at:start].replace("]]>", ""))
+        at = after
+        if not tag:
             continue
-        if not m["close"]:
+        if not closes:
             while held and ends(tag, held[-1][0]):
                 leave(False)
         if tag in ASIDE:
-            if not m["close"]:
-                if not (m["attrs"] or "").endswith("/"):
+            if not closes:
+                if not attrs.endswith("/"):
                     held.append((tag, inside, apart, (len(made), parts, linked, in_link)))
                     parts, linked, in_link = [], 0, 0
             elif any(t == tag for t, *_ in held):
@@ -145,7 +205,7 @@ def blocks(html: str) -> list[Block]:
                 leave(True)
             continue
         if tag == "a":
-            in_link = 0 if m["close"] else 1
+            in_link = 0 if closes else 1
         if tag in INLINE:
             continue
         if tag == "br":
@@ -155,14 +215,14 @@ def blocks(html: str) -> list[Block]:
         in_link = 0
         if tag not in HOLDERS:
             continue
-        if not m["close"]:
+        if not closes:
             held.append((tag, inside, apart, None))
-            apart = apart or set_apart(tag, m["attrs"] or "", inside)
+            apart = apart or set_apart(tag, attrs, inside)
             inside = inside or tag in BODY
         elif any(t == tag for t, *_ in held):
             while leave(False) != tag:
                 end()
-    add(html[at:])
+    add(html[at:].replace("]]>", ""))
     while any(before for *_, before in held):
         if not held[-1][3]:
             end()
@@ -192,6 +252,12 @@ LABELLED = [
     (18, 0.0, 2, 0.0, 4, 0.0, 1, 0, 1), (4, 0.0, 5, 0.0, 10, 0.0, 1, 0, 1), (10, 0.9, 8, 0.0, 7, 0.0, 1, 0, 1),
     (33, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (140, 0.0, 0, 0.0, 5, 0.0, 1, 0, 1), (6, 0.0, 140, 0.0, 9, 0.0, 1, 0, 1),
     (26, 0.0, 15, 0.0, 11, 0.0, 1, 0, 1), (55, 0.0, 22, 0.0, 2, 0.0, 1, 0, 1), (8, 0.1, 4, 0.0, 3, 0.0, 1, 0, 1),
+    # and lists of links, which are the article's own
+    (4, 1.0, 30, 0.0, 5, 1.0, 1, 0, 1), (5, 1.0, 4, 1.0, 3, 1.0, 1, 0, 1), (3, 1.0, 5, 1.0, 8, 1.0, 1, 0, 1),
+    (8, 1.0, 3, 1.0, 40, 0.0, 1, 0, 1), (5, 0.0, 4, 1.0, 6, 1.0, 1, 0, 1), (2, 0.0, 7, 1.0, 3, 1.0, 1, 0, 1),
+    (1, 0.0, 2, 1.0, 9, 0.9, 1, 0, 1), (12, 0.9, 2, 1.0, 14, 0.8, 1, 0, 1), (7, 0.6, 12, 0.9, 11, 0.7, 1, 0, 1),
+    (20, 0.8, 7, 1.0, 6, 1.0, 1, 0, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1), (3, 0.5, 20, 0.8, 2, 1.0, 1, 0, 1),
+    (6, 0.9, 35, 0.0, 60, 0.0, 1, 0, 1), (4, 1.0, 80, 0.1, 25, 0.0, 1, 0, 1), (9, 0.8, 16, 0.0, 0, 0.0, 1, 0, 1),
     # set apart inside it: adverts, sharing lists, notices, reader comments
     (11, 0.0, 60, 0.0, 72, 0.0, 1, 1, 0), (3, 1.0, 50, 0.0, 3, 1.0, 1, 1, 0), (35, 0.0, 12, 0.0, 40, 0.0, 1, 1, 0),
     (70, 0.0, 3, 1.0, 66, 0.0, 1, 1, 0), (120, 0.0, 2, 0.0, 4, 0.0, 1, 1, 0), (2, 0.0, 70, 0.0, 0, 0.0, 1, 1, 0),
@@ -204,22 +270,43 @@ LABELLED = [
     (13, 0.0, 35, 0.0, 26, 0.0, -1, 0, 0), (38, 0.0, 19, 0.0, 41, 0.0, -1, 0, 0), (17, 0.0, 6, 1.0, 11, 0.0, -1, 1, 0),
     (4, 0.0, 51, 0.0, 13, 0.0, -1, 0, 0), (28, 0.1, 60, 0.0, 47, 0.0, -1, 0, 0), (130, 0.0, 25, 0.0, 33, 0.0, -1, 0, 0),
     (9, 1.0, 7, 1.0, 30, 0.0, -1, 1, 0), (52, 0.0, 44, 0.0, 1, 0.0, -1, 1, 0), (5, 0.0, 14, 0.0, 62, 0.0, -1, 0, 0),
-    # pages without such an element: text stands in long blocks with few links
+    # pages without such an element: long blocks with few links are text, whatever is around them
     (60, 0.0, 8, 0.0, 75, 0.0, 0, 0, 1), (75, 0.1, 60, 0.0, 30, 0.0, 0, 0, 1), (30, 0.0, 75, 0.1, 90, 0.0, 0, 0, 1),
-    (18, 0.0, 50, 0.0, 61, 0.0, 0, 0, 1), (8, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1), (12, 0.0, 44, 0.0, 38, 0.0, 0, 0, 1),
-    (22, 0.2, 70, 0.0, 25, 0.0, 0, 0, 1), (150, 0.0, 3, 0.0, 4, 0.5, 0, 0, 1), (41, 0.25, 12, 0.0, 2, 1.0, 0, 0, 1),
-    (6, 0.0, 48, 0.0, 55, 0.0, 0, 0, 1), (33, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (16, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1),
-    # and menus, lists of links, credits and notices do not
+    (18, 0.0, 50, 0.0, 61, 0.0, 0, 0, 1), (12, 0.0, 44, 0.0, 38, 0.0, 0, 0, 1), (22, 0.2, 70, 0.0, 25, 0.0, 0, 0, 1),
+    (150, 0.0, 3, 0.0, 4, 0.5, 0, 0, 1), (41, 0.25, 12, 0.0, 2, 1.0, 0, 0, 1), (33, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
+    (16, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1), (14, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1), (26, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1),
+    (48, 0.0, 1, 1.0, 2, 1.0, 0, 0, 1), (11, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1), (13, 0.1, 0, 0.0, 2, 1.0, 0, 0, 1),
+    # short ones are beside text: titles above it, headings and short paragraphs within it, captions, credits below it
+    (3, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1), (8, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1), (6, 0.0, 48, 0.0, 55, 0.0, 0, 0, 1),
+    (4, 0.0, 30, 0.0, 42, 0.0, 0, 0, 1), (1, 0.0, 25, 0.0, 18, 0.0, 0, 0, 1), (5, 0.0, 70, 0.0, 3, 0.0, 0, 0, 1),
+    (2, 0.0, 3, 0.0, 64, 0.0, 0, 0, 1), (4, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1), (7, 0.0, 33, 0.0, 2, 1.0, 0, 0, 1),
+    (3, 0.0, 0, 0.0, 28, 0.0, 0, 0, 1), (6, 0.0, 12, 0.0, 1, 1.0, 0, 0, 1), (5, 0.0, 2, 1.0, 15, 0.1, 0, 0, 1),
+    (4, 0.0, 4, 0.0, 35, 0.0, 0, 0, 1), (2, 0.0, 21, 0.1, 4, 0.0, 0, 0, 1), (1, 0.0, 2, 1.0, 19, 0.0, 0, 0, 1),
+    (7, 0.1, 16, 0.0, 11, 0.0, 0, 0, 1), (3, 0.0, 55, 0.0, 3, 1.0, 0, 0, 1), (5, 0.2, 40, 0.0, 27, 0.0, 0, 0, 1),
+    # or beside one another: a page of short paragraphs
+    (4, 0.0, 3, 0.0, 4, 0.0, 0, 0, 1), (3, 0.0, 0, 0.0, 4, 0.0, 0, 0, 1), (5, 0.0, 4, 0.0, 0, 0.0, 0, 0, 1),
+    (4, 0.0, 6, 0.0, 5, 0.0, 0, 0, 1), (2, 0.0, 4, 0.0, 7, 0.0, 0, 0, 1), (6, 0.0, 2, 0.0, 3, 0.0, 0, 0, 1),
+    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (5, 0.0, 2, 1.0, 4, 0.0, 0, 0, 1), (4, 0.0, 5, 0.0, 1, 1.0, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1), (7, 0.0, 5, 0.0, 6, 0.0, 0, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1),
+    # menus and lists of links are not, nor is what stands between links: labels of menus and separators
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0), (3, 1.0, 2, 1.0, 10, 0.9, 0, 0, 0),
-    (10, 0.9, 3, 1.0, 8, 1.0, 0, 0, 0), (25, 0.8, 20, 0.9, 18, 0.9, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0),
-    (4, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 0.0, 0, 0, 0), (7, 0.4, 3, 0.5, 2, 1.0, 0, 0, 0),
-    (30, 0.0, 12, 0.0, 9, 0.0, 0, 1, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0), (60, 0.0, 4, 0.0, 44, 0.0, 0, 1, 0),
-    (40, 0.0, 22, 0.0, 31, 0.0, 0, 1, 0), (85, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0), (15, 0.0, 52, 0.0, 66, 0.0, 0, 1, 0),
-    (6, 0.7, 80, 0.0, 5, 0.6, 0, 0, 0), (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0),
+    (10, 0.9, 3, 1.0, 8, 1.0, 0, 0, 0), (25, 0.8, 20, 0.9, 18, 0.9, 0, 0, 0), (7, 0.5, 3, 0.5, 2, 1.0, 0, 0, 0),
+    (2, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0), (6, 0.7, 80, 0.0, 5, 0.6, 0, 0, 0), (1, 1.0, 4, 0.0, 50, 0.0, 0, 0, 0),
+    (12, 0.8, 44, 0.0, 31, 0.0, 0, 0, 0), (3, 1.0, 22, 0.0, 0, 0.0, 0, 0, 0), (16, 1.0, 0, 0.0, 24, 0.0, 0, 0, 0),
+    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (1, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (2, 0.0, 3, 1.0, 1, 1.0, 0, 0, 0),
+    (5, 0.0, 2, 1.0, 4, 0.9, 0, 0, 0), (3, 0.0, 6, 0.8, 2, 1.0, 0, 0, 0), (6, 0.0, 3, 1.0, 5, 0.7, 0, 0, 0),
+    (7, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 0.1, 4, 1.0, 8, 1.0, 0, 0, 0), (4, 0.0, 12, 0.9, 10, 0.9, 0, 0, 0),
+    (3, 0.0, 1, 1.0, 20, 0.9, 0, 0, 0), (5, 0.1, 15, 0.8, 2, 1.0, 0, 0, 0), (1, 0.0, 2, 1.0, 5, 0.8, 0, 0, 0),
+    (14, 1.0, 9, 1.0, 16, 1.0, 0, 0, 0), (30, 0.9, 12, 0.9, 22, 0.9, 0, 0, 0), (18, 0.8, 5, 1.0, 13, 0.9, 0, 0, 0),
+    (13, 0.6, 3, 1.0, 2, 1.0, 0, 0, 0), (40, 0.9, 4, 0.0, 6, 1.0, 0, 0, 0), (20, 0.7, 0, 0.0, 11, 0.8, 0, 0, 0),
+    # what is set apart is not either
+    (30, 0.0, 12, 0.0, 9, 0.0, 0, 1, 0), (60, 0.0, 4, 0.0, 44, 0.0, 0, 1, 0), (40, 0.0, 22, 0.0, 31, 0.0, 0, 1, 0),
+    (85, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0), (15, 0.0, 52, 0.0, 66, 0.0, 0, 1, 0), (4, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0),
+    (3, 0.0, 41, 0.0, 2, 0.0, 0, 1, 0), (5, 0.0, 3, 0.0, 4, 0.0, 0, 1, 0), (2, 0.0, 0, 0.0, 1, 0.0, 0, 1, 0),
 ]
 
 
-def grow(rows: np.ndarray, right: np.ndarray, depth: int = 6, least: int = 3):
+def grow(rows: np.ndarray, right: np.ndarray, depth: int = 8, least: int = 2):
     """A decision tree by Gini impurity: a number (the leaf's share of main text) or
     ``(feature, threshold, at or below, above)``; a leaf has ``least`` rows at least."""
     share = right.mean()

@@ -77,3 +77,53 @@ def test_very_long_and_empty(spark):
     found = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(len(r["main_text"]) for r in found)[-2:] == [16 * 50_000 - 1] * 2 and len(found) == 5
     assert extract_pages(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def grid(place, apart, n=20_000):
+    draw = np.random.default_rng(7)
+    words, links = (lambda: draw.integers(1, 90, n)), (lambda: draw.choice([0.0, 0.1, 0.9, 1.0], n))
+    return np.column_stack([words(), links(), words(), links(), words(), links(), np.full(n, place), np.full(n, apart)]).astype(float)
+
+
+def test_the_article_element_decides_where_there_is_one():
+    for apart, place, text in ((0, 1, True), (1, 1, False), (0, -1, False), (1, -1, False), (1, 0, False)):
+        assert (decide(TREE, grid(place, apart)) == text).all()
+
+
+def test_neighbours_decide_on_pages_without_one():
+    rows = grid(0, 0)
+    other = rows.copy()
+    other[:, [3, 5]] = 1 - other[:, [3, 5]]
+    assert (decide(TREE, rows) != decide(TREE, other)).mean() > 0.1
+
+
+SHORT = ["It rained all day.", "Then it stopped.", "One.", "About the river"]
+LONG_ONES = [" ".join(f"{w}{i}" for i in range(n)) for w, n in (("a", 40), ("b", 25), ("c", 12))]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_labelled_pages_without_an_article_element(seed):
+    """Pages drawn with known labels: a menu, a title, paragraphs of any length, a list of links, a footer."""
+    draw = np.random.default_rng(seed)
+    link = lambda i: f"<li><a href='/{i}'>Item number {i}</a></li>"
+    menu = "<ul>" + "".join(map(link, range(draw.integers(2, 6)))) + "</ul>"
+    text = ["About our town", *draw.choice(SHORT + LONG_ONES, draw.integers(2, 7)).tolist()]
+    body = "".join(f"<{t}>{p}</{t}>" for t, p in zip(["h1", *["p"] * len(text)], text))
+    more = f"<ul>{link(7)}<li>More</li>{link(8)}</ul>" if draw.random() < 0.5 else ""
+    html = f"<body>{menu}{body}{more}{menu}<div class='footer'><p>All rights reserved.</p></div></body>"
+    assert main_text(html, TREE) == " ".join(text)
+
+
+@pytest.mark.parametrize("junk", ["<p title='", "<a b=\"'", "<a '>", "<!-", "<p title='>\"", "<script ", "<a b='c\" >", "<title>", "<![CDATA[", "<"])
+def test_markup_that_never_ends_takes_linear_time(junk):
+    import time
+
+    page = junk * (5_000_000 // len(junk))
+    begun = time.perf_counter()
+    main_text(page, TREE)
+    assert time.perf_counter() - begun < 10  # 0.1 to 1.5 s; a scan that starts again at every tag takes hours
+
+
+def test_a_quote_without_an_end_is_an_ordinary_character():
+    assert main_text("<article><p title='x>In.</p><p>On.</p></article>", TREE) == "In. On."
+    assert main_text("<article><p title=it's>In.</p><p title='a > b'>On.</p></article>", TREE).endswith("On.")
