@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 
 from ..functions import documents as J
 from ..functions.skew import join_hot
+from ..session import keep
 from .resolve import ancestors
 
 # Members of a definition document that are searchable.
@@ -169,6 +170,49 @@ def reconcile(
     return soft_delete_docs(docs, gone, user, at)
 
 
+def reconcile_stores(
+    docs: DataFrame,
+    defs: DataFrame,
+    tags: DataFrame,
+    live: DataFrame,
+    run: str,
+    started: Column,
+    roots: DataFrame,
+    excluded: DataFrame | None,
+    user: str,
+    at: Column,
+    most: dict[str, int] | None = None,
+) -> dict[str, DataFrame]:
+    """A reconciliation carried through all stores: ``docs``, ``defs``, ``tags``, ``held_back`` and ``gone``.
+
+    Databases and tables that a refresh did not find and that are truly gone are marked deleted in the index,
+    lose their definitions and, tables only, their tags; a table's partitions lose their definitions with it, and
+    their documents go for good.  A kind that is held back (see :func:`reconcile_targets`) loses nothing anywhere, and
+    ``held_back`` tells why.  The verdict is kept once for all stores, so each of them takes it whole or not at all.
+    """
+    entities = docs.filter(F.col("kind").isin("database", "table"))
+    verdict = keep(
+        reconcile_targets(unmarked(entities, run, started, roots, excluded), live, most).select("name", "kind", "held_back"), "reconcile"
+    )
+    gone = verdict.filter("held_back IS NULL").select("name", "kind")
+    tables = gone.filter("kind = 'table'").select(F.col("name").alias("_table"))
+    table_of = F.substring_index("name", "/", 3)
+
+    def without_partitions(df: DataFrame) -> DataFrame:
+        # names with a fourth step are partitions; a table may own very many
+        inner = F.when(F.size(F.split("name", "/")) > 3, table_of)
+        return join_hot(df.withColumn("_table", inner), tables, ["_table"], "left_anti", ["name"]).select(*df.columns)
+
+    left = without_partitions(docs)
+    return {
+        "docs": soft_delete_docs(left, gone, user, at),
+        "defs": without_partitions(defs).join(gone.select("name"), "name", "left_anti").select(*defs.columns),
+        "tags": tags.join(gone.filter("kind = 'table'").select("name"), "name", "left_anti").select(*tags.columns),
+        "held_back": verdict.filter("held_back IS NOT NULL"),
+        "gone": gone,
+    }
+
+
 def propagate_same_uri(docs: DataFrame, updated: DataFrame) -> DataFrame:
     """Copy the data document of updated tables to every other one with the same path.
 

@@ -142,14 +142,19 @@ def uri_resolve_prefix(b: Bindings) -> DataFrame:
 
 @query(
     "url_resolve_prefix", "O-47",
-    sql="""SELECT w.uri AS wanted_uri, p.url AS uri
-    FROM (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+/..') AS uri FROM pages) w JOIN pages p ON starts_with(p.url, w.uri)""",
+    sql="""WITH wanted AS (SELECT regexp_extract(url, '^https?://[^/]+/..') AS uri FROM pages
+        UNION SELECT 's3://wh/c' || substr(table_name, 2, 2) FROM v_parts),
+    used AS (SELECT 'table' AS kind, CAST(page_id AS VARCHAR) AS name, url AS uri FROM pages
+        UNION ALL SELECT 'partition', table_name || '/' || part_name, uri FROM v_parts)
+    SELECT w.uri AS wanted_uri, kind, name, u.uri FROM wanted w JOIN used u ON starts_with(u.uri, w.uri)""",
 )
 def url_resolve_prefix(b: Bindings) -> DataFrame:
+    """Prefixes that end inside a step, over page addresses and partition paths together."""
     pages = b.table("pages").select(F.col("page_id").cast("string").alias("name"), F.col("url").alias("uri"))
-    wanted = pages.select(F.regexp_extract("uri", "^https?://[^/]+/..", 0).alias("uri"))
-    none = b.parts.filter("false")
-    return R.resolve_uris(wanted, pages, none, prefix=True).select("wanted_uri", "uri")
+    wanted = pages.select(F.regexp_extract("uri", "^https?://[^/]+/..", 0).alias("uri")).unionByName(
+        b.parts.select(F.concat(F.lit("s3://wh/c"), F.substring("table_name", 2, 2)).alias("uri"))
+    )
+    return R.resolve_uris(wanted, pages, b.parts, prefix=True).select("wanted_uri", "kind", "name", "uri")
 
 
 @query(

@@ -111,6 +111,41 @@ def search_reconcile(b: Bindings) -> DataFrame:
     return after.select("name", "deleted", "user", "updated_at")
 
 
+@query(
+    "search_reconcile_stores", "O-96",
+    sql="""WITH t AS (SELECT *, segment = 'machinery' AND custkey % 100 <= 60 AS gone FROM v_tables),
+    d AS (SELECT DISTINCT catalog_name || '/' || database_name AS name FROM v_tables)
+    SELECT 'docs' AS store, name AS key, CASE WHEN gone THEN 'deleted by refresh' ELSE 'live' END AS value FROM t
+    UNION ALL SELECT 'docs', name || '/d=1', 'live' FROM t WHERE NOT gone
+    UNION ALL SELECT 'docs', name, 'live' FROM d
+    UNION ALL SELECT 'defs', name, 'table' FROM t WHERE NOT gone
+    UNION ALL SELECT 'defs', name || '/d=1', 'partition' FROM t WHERE NOT gone
+    UNION ALL SELECT 'tags', name, segment FROM t WHERE NOT gone
+    UNION ALL SELECT 'held_back', name, (SELECT count(*) FROM d) || ' unmarked, 3 allowed' FROM d""",
+)
+def search_reconcile_stores(b: Bindings) -> DataFrame:
+    """A reconciliation carried through index, definitions and tags; too many databases are missing at once."""
+    t = b.tables
+    fixed = {"body": F.lit("{}"), "user": F.lit("admin"), "deleted": F.lit(False)}
+    tables = t.select(
+        "name", F.lit("table").alias("kind"), (F.col("custkey") % 100).alias("updated_at"), F.when(F.col("segment") == "building", "r1").alias("run")
+    )
+    parts = tables.select(F.concat("name", F.lit("/d=1")).alias("name"), F.lit("partition").alias("kind"), F.lit(0).cast("bigint").alias("updated_at"), "run")
+    homes = t.select(F.concat_ws("/", "catalog_name", "database_name").alias("name")).distinct().select(
+        "name", F.lit("database").alias("kind"), F.lit(0).cast("bigint").alias("updated_at"), F.lit("r0").alias("run")
+    )
+    docs = tables.unionByName(parts).unionByName(homes).withColumns(fixed)
+    defs = tables.select("name", F.lit("table").alias("data")).unionByName(parts.select("name", F.lit("partition").alias("data")))
+    tags = t.select("name", F.col("segment").alias("tag"))
+    live = t.filter("segment <> 'machinery'").select("name")
+    roots = t.select(F.col("catalog_name").alias("root")).distinct()
+    after = S.reconcile_stores(docs, defs, tags, live, "r1", F.lit(60), roots, None, "refresh", F.lit(9999).cast("bigint"), most={"database": 3})
+    said = F.when(F.col("deleted"), F.concat(F.lit("deleted by "), "user")).otherwise("live")
+    shown = {"docs": said, "defs": F.col("data"), "tags": F.col("tag"), "held_back": F.col("held_back")}
+    every = [after[k].select(F.lit(k).alias("store"), F.col("name").alias("key"), v.alias("value")) for k, v in shown.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
 @query(
     "search_propagate_uri", "O-97",
     sql="""WITH last AS (SELECT uri, name, n.updated_at FROM v_docs n WHERE run = 'src1' OR lang = 'es'
