@@ -18,6 +18,7 @@ from __future__ import annotations
 import operator
 import re
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pyspark.sql.functions as F
@@ -244,3 +245,78 @@ def typed_as(left: Column, declared: Column, op: str, literal: object, strict: b
     for key_type, found in branches[:-1]:
         out = out.when(kind.isin(*_DECLARED[key_type]), found)
     return out.otherwise(branches[-1][1])
+
+
+# Names that stand for a file's or partition's own times rather than for columns.
+TIME_NAMES = ("dateCreated", "lastUpdated")
+
+# How wide a number each integral column type holds.
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
+def instant(number: int | Decimal) -> datetime:
+    """An epoch number as a UTC time: seconds, milliseconds or microseconds, told apart by its size."""
+    n = int(number)
+    micros = n * 1_000_000 if abs(n) < 10**10 else n * 1000 if abs(n) < 10**13 else n
+    return datetime(1970, 1, 1) + timedelta(microseconds=micros)
+
+
+def column_literal(kind: str, literal: object) -> Column:
+    """A literal as a column of type ``kind`` takes it.
+
+    Numbers lose their fraction for integral columns; a number too large for one, a number for a column that is none,
+    and text for a number are refused.  Dates and times are written as text.
+    """
+    number = isinstance(literal, (int, float, Decimal)) and not isinstance(literal, bool)
+    base = kind.partition("(")[0]
+    if number and base in _BITS:
+        whole = int(Decimal(str(literal)))
+        if not -(1 << (_BITS[base] - 1)) <= whole < 1 << (_BITS[base] - 1):
+            raise ValueError(f"{literal!r} is out of the range of {kind}")
+        return F.lit(whole).cast(kind)
+    if number and base in ("float", "double"):
+        return F.lit(float(literal)).cast(kind)
+    if number and base == "decimal":
+        return F.lit(Decimal(str(literal)))
+    if isinstance(literal, str) and base in ("string", "char", "varchar"):
+        return F.lit(literal)
+    if isinstance(literal, str) and base in ("date", "timestamp", "timestamp_ntz"):
+        if not re.fullmatch(r"\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2}(\.\d+)?)?", literal):
+            raise ValueError(f"{literal!r} is no {kind}")
+        return F.lit(literal).cast(kind)
+    if isinstance(literal, bool) and base == "boolean":
+        return F.lit(literal)
+    raise ValueError(f"literal {literal!r} does not fit a column of type {kind}")
+
+
+def column(df: DataFrame, name: str, op: str, literal: object, times: dict[str, str] | None = None) -> Column:
+    """Compare a column of ``df``, found by its name in any case, with a literal in the column's own type.
+
+    So the comparison reaches the scan, and statistics of files and row groups can answer it.  ``dateCreated`` and
+    ``lastUpdated`` mean the time columns that ``times`` gives for them, compared with epoch numbers of any unit.
+    Two-valued like all predicates here: a null is unequal to everything, and neither below nor above.  A name that
+    is neither is refused.
+    """
+    if name in TIME_NAMES and times and name in times:
+        found = times[name]
+        if not isinstance(literal, (int, Decimal)) or isinstance(literal, bool):
+            raise ValueError(f"{name} compares with an epoch number, not with {literal!r}")
+        value = F.lit(instant(literal).isoformat(sep=" ")).cast(df.schema[found].dataType.simpleString())
+    else:
+        found = next((f.name for f in df.schema if f.name.lower() == name.lower()), None)
+        if found is None:
+            raise ValueError(f"{name} is neither a column nor one of {', '.join(TIME_NAMES)}")
+        value = column_literal(df.schema[found].dataType.simpleString(), literal)
+    c = F.col(f"`{found}`")
+    if op in ("=", "=="):
+        return c.isNotNull() & (c == value)
+    if op in ("!=", "<>"):
+        return c.isNull() | (c != value)
+    return c.isNotNull() & _ORDER[op](c, value)
+
+
+def column_between(df: DataFrame, name: str, low: object, high: object, times: dict[str, str] | None = None, negate: bool = False) -> Column:
+    """Inclusive range of a column, see :func:`column`; negated, what lies below or above it."""
+    if negate:
+        return column(df, name, "<", low, times) | column(df, name, ">", high, times)
+    return column(df, name, ">=", low, times) & column(df, name, "<=", high, times)

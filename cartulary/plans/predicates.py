@@ -236,3 +236,22 @@ def partition_by_names(b: Bindings) -> DataFrame:
 def table_by_params(b: Bindings) -> DataFrame:
     t = b.tables.withColumn("params", F.create_map(F.lit("type"), F.col("segment")))
     return T.tables_by_params(t, owner="u7", params={"type": "building"}, limit=100).select("name")
+
+
+@query(
+    "predicate_column_types", "O-39",
+    sql="""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber > 2 AND (l_quantity < 10.5 OR l_quantity > 30)
+        AND l_returnflag <> 'N' AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'""",
+)
+def predicate_column_types(b: Bindings) -> DataFrame:
+    """Columns of several types, named in any case, and the files' own times in seconds and milliseconds."""
+    rows = b.table("lineitem")
+    times = {"dateCreated": "l_shipdate", "lastUpdated": "l_shipdate"}
+    wanted = (
+        Q.column(rows, "L_LineNumber", ">", 2.9)
+        & Q.column_between(rows, "l_quantity", 10.5, 30, negate=True)
+        & Q.column(rows, "L_RETURNFLAG", "!=", "N")
+        & Q.column(rows, "dateCreated", ">=", 820454400, times)
+        & Q.column(rows, "lastUpdated", "<", 883612800000, times)
+    )
+    return rows.filter(wanted).select("l_orderkey", "l_linenumber")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..functions.documents import text_at
 from ..operators import search as S
+from ..session import shared_folder
+from ..streaming import terms as K
 from .bindings import Bindings
 from .registry import query
 
@@ -64,6 +68,30 @@ def search_words(b: Bindings) -> DataFrame:
     return S.search_terms(b.docs, terms).groupBy("term").agg(F.count("*").alias("docs"))
 
 
+@query(
+    "search_terms_kept", "O-93", "O-102",
+    sql="""WITH now AS (SELECT name, body || CASE WHEN source = 'src2' THEN ' Reworded' ELSE '' END AS body FROM v_docs WHERE lang <> 'fr' OR source = 'src1'),
+    words AS (SELECT DISTINCT name, unnest(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}_]+')) AS term FROM now)
+    SELECT term, count(*) AS docs FROM words
+    WHERE (term IN (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) FROM benchmark) OR term = 'reworded') AND term <> '' GROUP BY 1""",
+)
+def search_terms_kept(b: Bindings) -> DataFrame:
+    """Words kept in files, through a batch that rewords, deletes and adds documents, asked for afterwards."""
+    folder = f"{shared_folder(b.spark)}/terms-{uuid.uuid4().hex}"
+    text, source, lang = F.col("body"), F.col("run"), F.split("name", "/")[1]
+    first = b.docs.filter(source != "src3")
+    K.start_terms(K.document_terms(first, text), folder)
+    gone = (lang == "fr") & (source != "src1")
+    changed = (source == "src2") | (source == "src3") | gone
+    reworded = F.when(source == "src2", F.concat(text, F.lit(" Reworded"))).otherwise(text)
+    old = K.document_terms(first.filter(changed), text)
+    new = K.document_terms(b.docs.filter(changed & ~gone), reworded)
+    K.update_terms(old, new, folder, 0)
+    K.fold_terms(b.spark, folder)
+    terms = b.table("benchmark").select(F.explode(S.tokens(F.col("text"))).alias("term")).unionByName(b.spark.createDataFrame([("Reworded",)], "term string"))
+    return K.read_terms(b.spark, folder, terms).groupBy("term").agg(F.count("*").alias("docs"))
+
+
 def _roots(b: Bindings) -> tuple[DataFrame, DataFrame]:
     sources = b.docs.select(F.substring_index("name", "/", 1).alias("root"), F.col("run"))
     included = sources.filter("run <> 'src3'").select("root").distinct()

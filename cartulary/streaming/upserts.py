@@ -7,6 +7,8 @@ costs the number of keys, and of the few batches since the last fold.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,18 +46,22 @@ def read_upserts(spark: SparkSession, folder: str, keys: list[str], through: int
     return last.select(*keys, "_last.*")
 
 
-def fold(spark: SparkSession, folder: str, keys: list[str], through: int | None = None) -> None:
+def fold(
+    spark: SparkSession, folder: str, keys: list[str], through: int | None = None, arrange: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
     """Fold the log up to a batch (the newest by default) into a base, and remove what it replaces.
 
     Not part of any batch: run it now and then.  Base version ``n`` holds all batches before ``n``.  The base before
-    stays for readers that have begun; older ones, and the log below that one, go.
+    stays for readers that have begun; older ones, and the log below that one, go.  ``arrange`` may sort the rows, and
+    drop those that mean nothing any more.
     """
     there = batches(spark, folder)
     if not there:
         return
     through = there[-1] if through is None else through
     if through + 1 not in versions(spark, f"{folder}/base"):  # else it is folded already
-        write_snapshot(read_upserts(spark, folder, keys, through), f"{folder}/base", version=through + 1)
+        rows = read_upserts(spark, folder, keys, through)
+        write_snapshot(arrange(rows) if arrange else rows, f"{folder}/base", version=through + 1)
     tidy(spark, folder)
 
 
