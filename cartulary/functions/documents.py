@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
-from pyspark.sql.types import StringType
-
-_REPLACED = "\u0000replaced"  # marks an object that overwrote a scalar on the way
+from pyspark.sql import Column
 
 
 def text_at(document: Column, *path: str) -> Column:
@@ -32,7 +25,7 @@ def merge_top_level(base: Column, patch: Column) -> Column:
     """Merge documents whose members are scalars or arrays: members of the patch win.
 
     Exact for such patches, and never leaves the JVM; nested objects need
-    :func:`merge_deep`.
+    :func:`merging.merge_in_turn`.
     """
     old, new = as_top_level(base), as_top_level(patch)
     kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
@@ -41,92 +34,3 @@ def merge_top_level(base: Column, patch: Column) -> Column:
         .when(patch.isNull(), base)
         .otherwise(F.to_json(F.map_concat(kept, new)))
     )
-
-
-def _merge(base: object, patch: object) -> object:
-    """Objects merge member by member, everything else (null too) replaces."""
-    if not (isinstance(base, dict) and isinstance(patch, dict)):
-        return patch
-    if _REPLACED in patch:
-        return patch
-    merged = dict(base)
-    for name, value in patch.items():
-        merged[name] = _merge(base[name], value) if name in base else value
-    return merged
-
-
-def _compose(first: object, then: object) -> object:
-    """One patch with the effect of two applied in turn.
-
-    An object that lands on a scalar replaces whatever the base holds there, so it
-    is marked; with the mark, composing patches is associative and any consecutive
-    run of patches may be composed on its own.
-    """
-    if isinstance(then, dict) and _REPLACED not in then:
-        if isinstance(first, dict):
-            out = dict(first)
-            for name, value in then.items():
-                out[name] = _compose(first[name], value) if name in first else value
-            return out
-        return {**then, _REPLACED: True}
-    return then
-
-
-def _unmark(value: object) -> object:
-    if isinstance(value, dict):
-        return {k: _unmark(v) for k, v in value.items() if k != _REPLACED}
-    return value
-
-
-def _dump(value: object) -> str:
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
-
-
-@F.pandas_udf(StringType())
-def merge_deep(base: pd.Series, patch: pd.Series) -> pd.Series:
-    """Merge a (possibly composed) patch into a document, Arrow batch by batch."""
-
-    def one(b: str | None, p: str | None) -> str | None:
-        if p is None:
-            return b
-        return _dump(_unmark(_merge(json.loads(b), json.loads(p)) if b is not None else json.loads(p)))
-
-    return pd.Series([one(b, p) for b, p in zip(base, patch)], dtype=object)
-
-
-def _compose_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compose neighbouring rows of one name; holds one document at a time."""
-    name, at, doc = None, None, None
-    for batch in batches:
-        done = []
-        for n, t, p in zip(batch["name"], batch["seq"], batch["patch"]):
-            if n == name:
-                doc = _compose(doc, json.loads(p))
-            else:
-                if name is not None:
-                    done.append((name, at, _dump(doc)))
-                name, at, doc = n, t, json.loads(p)
-        if done:
-            yield pd.DataFrame(done, columns=["name", "seq", "patch"])
-    if name is not None:
-        yield pd.DataFrame([(name, at, _dump(doc))], columns=["name", "seq", "patch"])
-
-
-def compose_patches(patches: DataFrame, partitions: int | None = None) -> DataFrame:
-    """One patch per name from ``(name, seq, patch)`` rows, ``seq`` giving the order.
-
-    Rows are range-partitioned on ``(name, seq)``, so even one very hot name is cut
-    into consecutive runs over many tasks; each run folds to one row, and the few
-    rows left per name (one per task at most) fold again.
-    """
-    schema = "name string, seq bigint, patch string"
-    rows = patches.select("name", F.col("seq").cast("bigint"), "patch")
-
-    def fold(df: DataFrame) -> DataFrame:
-        return df.sortWithinPartitions("name", "seq").mapInPandas(_compose_runs, schema)
-
-    keys = [F.col("name"), F.col("seq")]
-    spread = (
-        rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    )
-    return fold(fold(spread).repartition(F.col("name")))

@@ -12,6 +12,7 @@ from ..functions.names import is_search_type
 from ..functions.skew import join_hot
 from ..session import keep
 from .diff import diff
+from .merging import merge_in_turn
 from .partitions import sort_page
 from .resolve import any_below
 
@@ -37,36 +38,30 @@ def attach_metadata(
 
 
 def merge_metadata(
-    base: DataFrame,
-    patches: DataFrame,
-    merge: bool = True,
-    nested: bool = True,
-    hook: Hook | None = None,
-    partitions: int | None = None,
+    base: DataFrame, patches: DataFrame, merge: bool = True, nested: bool = True, hook: Hook | None = None
 ) -> DataFrame:
     """Documents after the patches; absent names are inserted.
 
     ``base`` is ``(name, data)`` and ``patches`` ``(name, seq, patch)``.  With
     ``merge=False`` the latest patch replaces the document.  ``nested=False``
     promises patches without inner objects and at most one patch per name, and
-    stays in the JVM.
+    merges in one pass.  Documents without a patch stay as they are spelled.
     """
     if not merge:
         last = patches.groupBy("name").agg(F.max_by("patch", "seq").alias("patch"))
         out = base.join(last, "name", "full").select(
             "name", F.coalesce("patch", "data").alias("data")
         )
+    elif not nested:
+        both = base.select("name", "data").join(patches.select("name", "patch"), "name", "full")
+        out = both.select("name", J.merge_top_level(F.col("data"), F.col("patch")).alias("data"))
     else:
-        one = (
-            J.compose_patches(patches, partitions).select("name", "patch")
-            if nested
-            else patches.select("name", "patch")
-        )
-        both = base.select("name", "data").join(one, "name", "full")
-        merged = J.merge_deep(F.col("data"), F.col("patch")) if nested else J.merge_top_level(
-            F.col("data"), F.col("patch")
-        )
-        out = both.select("name", merged.alias("data"))
+        patched = patches.select("name").distinct()
+        later = patches.select("name", F.struct(F.lit(1).alias("turn"), F.col("seq").cast("bigint").alias("seq")).alias("at"), F.col("patch").alias("doc"))
+        first = F.struct(F.lit(0).alias("turn"), F.lit(None).cast("bigint").alias("seq")).alias("at")
+        touched = base.join(patched, "name", "left_semi").filter("data IS NOT NULL").select("name", first, F.col("data").alias("doc"))
+        rest = base.select("name", "data").join(patched, "name", "left_anti")
+        out = merge_in_turn(touched.unionByName(later)).unionByName(rest)
     return hook(out) if hook else out
 
 

@@ -1,70 +1,72 @@
 """JSON documents: merging, composing, attaching and searching."""
 
 import json
+import random
 
-import pandas as pd
 import pyspark.sql.functions as F
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from cartulary.functions import documents as J
 from cartulary.operators import metadata as M
 
-leaf = st.one_of(st.none(), st.integers(0, 3), st.lists(st.integers(0, 2), max_size=2))
-member = st.recursive(leaf, lambda inner: st.dictionaries(st.sampled_from("abc"), inner, max_size=3), max_leaves=6)
-document = st.dictionaries(st.sampled_from("abc"), member, max_size=3)
-
-
-@settings(max_examples=300, deadline=None)
-@given(document, st.lists(document, min_size=1, max_size=5), st.data())
-def test_composed_patches_equal_patches_in_turn(base, patches, data):
-    """However the patches are grouped into runs, the document comes out the same."""
-    in_turn = base
-    for p in patches:
-        in_turn = J._merge(in_turn, p)
-    cut = data.draw(st.integers(0, len(patches)))
-
-    def fold(run):
-        out = run[0]
-        for p in run[1:]:
-            out = J._compose(out, p)
-        return out
-
-    runs = [r for r in (patches[:cut], patches[cut:]) if r]
-    composed = json.loads(J._dump(fold([fold(r) for r in runs])))
-    assert J._unmark(J._merge(base, composed)) == in_turn
-
-
-@settings(max_examples=100, deadline=None)
-@given(document)
-def test_merge_with_nothing_changes_nothing(base):
-    assert J._merge(base, {}) == base
-
-
-def test_merge_rules():
-    merge = J._merge
-    assert merge({"a": {"b": 1, "c": 2}}, {"a": {"c": 3}}) == {"a": {"b": 1, "c": 3}}
-    assert merge({"a": [1, 2]}, {"a": [3]}) == {"a": [3]}
-    assert merge({"a": 1}, {"a": None}) == {"a": None}
-    assert merge({"a": {"b": 1}}, {"a": 5}) == {"a": 5}
-
-
-def test_a_hot_name_is_cut_into_runs_and_keeps_its_order(spark):
+def merged(base, patch):
+    """The model: objects merge member by member, everything else replaces."""
+    if not (isinstance(base, dict) and isinstance(patch, dict)):
+        return patch
+    return base | {k: merged(base[k], v) if k in base else v for k, v in patch.items()}
+
+
+def drawn(draw, depth=3):
+    """A random member: a scalar, an array, or an object of up to ``depth`` levels."""
+    kind = draw.random()
+    if depth and kind < 0.5:
+        return {draw.choice(["a", "b", "c", 'q"u\\o', "é x"]): drawn(draw, depth - 1) for _ in range(draw.randint(0, 3))}
+    return draw.choice([None, 0, 1, -7, 2.5, 1e30, True, "", "text", 'q"\\/\n', "ü", [], [1, {"a": 2}], 12345678901234567890])
+
+
+def test_documents_merged_by_path_equal_documents_in_turn(spark):
+    draw, base, patches, want = random.Random(11), [], [], {}
+    for k in range(200):
+        name = f"n{k}"
+        if draw.random() < 0.8:
+            want[name] = drawn(draw) if draw.random() < 0.2 else {"a": drawn(draw), "b": drawn(draw)}
+            base.append((name, json.dumps(want[name])))
+        for seq in sorted(draw.sample(range(-5, 50), draw.randint(0, 6))):
+            patch = drawn(draw, 4) if draw.random() < 0.1 else {c: drawn(draw) for c in draw.sample("abc", draw.randint(0, 3))}
+            want[name] = merged(want[name], patch) if name in want else patch
+            patches.append((name, seq, json.dumps(patch)))
+    b = spark.createDataFrame(base, "name string, data string")
+    p = spark.createDataFrame(patches, "name string, seq long, patch string").repartition(7)
+    found = {r.name: json.loads(r.data) for r in M.merge_metadata(b, p).collect()}
+    assert found == want
+    touched = {n for n, _, _ in patches}
+    same = {r.name: r.data for r in M.merge_metadata(b, p).collect() if r.name not in touched}
+    assert same == {n: d for n, d in base if n not in touched}
+
+
+@pytest.mark.parametrize("base,patch,result", [
+    ({"a": {"b": 1, "c": 2}}, {"a": {"c": 3}}, {"a": {"b": 1, "c": 3}}), ({"a": [1, 2]}, {"a": [3]}, {"a": [3]}),
+    ({"a": 1}, {"a": None}, {"a": None}), ({"a": {"b": 1}}, {"a": 5}, {"a": 5}), ({"a": 5}, {"a": {"b": 1}}, {"a": {"b": 1}}),
+    ({"a": {"b": {"c": 1}}}, {"a": {}}, {"a": {"b": {"c": 1}}}), ({"a": 1}, {"a": {}}, {"a": {}}), ({}, {}, {}),
+])
+def test_merge_rules(spark, base, patch, result):
+    b = spark.createDataFrame([("n", json.dumps(base))], "name string, data string")
+    p = spark.createDataFrame([("n", 1, json.dumps(patch))], "name string, seq long, patch string")
+    assert json.loads(M.merge_metadata(b, p).first().data) == result
+
+
+def test_a_hot_name_folds_before_the_shuffle(spark):
     n = 4000
     rows = [("hot", i, json.dumps({"last": i, f"k{i % 7}": {"at": i}, "x": {"n": i} if i % 3 else "flat"})) for i in range(n)]
     rows += [(f"cold{i}", 0, '{"v":%d}' % i) for i in range(50)]
     patches = spark.createDataFrame(rows, "name string, seq long, patch string").repartition(16)
     want = {}
     for _, _, p in rows[:n]:
-        want = J._merge(want, json.loads(p))
+        want = merged(want, json.loads(p))
     base = spark.createDataFrame([("hot", '{"base":1}'), ("other", "{}")], "name string, data string")
-    got = {r.name: json.loads(r.data) for r in M.merge_metadata(base, patches, partitions=8).collect()}
+    got = {r.name: json.loads(r.data) for r in M.merge_metadata(base, patches).collect()}
     assert got["hot"] == {"base": 1, **want}
     assert got["other"] == {} and got["cold7"] == {"v": 7} and len(got) == 52
-    # the hot name really was spread before it was folded
-    spread = patches.repartitionByRange(8, "name", "seq").withColumn("p", F.spark_partition_id())
-    assert spread.filter("name = 'hot'").select("p").distinct().count() > 1
 
 
 def test_top_level_merge(spark):
@@ -101,7 +103,8 @@ def test_hook_sees_what_is_read(spark):
     assert out.first().seen and out.first().data_metadata == '{"n":1}'
 
 
-def test_merge_deep_keeps_nulls():
-    f = J.merge_deep.func
-    got = f(pd.Series(['{"a":{"b":1}}', None]), pd.Series(['{"a":{"c":null}}', None]))
-    assert json.loads(got[0]) == {"a": {"b": 1, "c": None}} and got[1] is None
+def test_merge_keeps_null_members_and_takes_null_documents(spark):
+    b = spark.createDataFrame([("a", '{"a":{"b":1}}'), ("b", None)], "name string, data string")
+    p = spark.createDataFrame([(n, 1, '{"a":{"c":null}}') for n in "abc"], "name string, seq long, patch string")
+    got = {r.name: json.loads(r.data) for r in M.merge_metadata(b, p).collect()}
+    assert got == {"a": {"a": {"b": 1, "c": None}}, "b": {"a": {"c": None}}, "c": {"a": {"c": None}}}
