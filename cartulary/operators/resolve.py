@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.ranges import in_ranges
 from ..functions.skew import join_hot
 
 
@@ -33,10 +38,54 @@ def any_below(paths: DataFrame, roots: DataFrame, path: str, root: str, include_
     return below(paths.select(path), roots, path, root, include_self).select(path).distinct()
 
 
-def resolve_uris(wanted: DataFrame, tables: DataFrame, parts: DataFrame, prefix: bool = False) -> DataFrame:
+def starting_with(used: DataFrame, wanted: DataFrame, text: str, ranges: int | None = None) -> DataFrame:
+    """Rows of ``used`` whose ``text`` starts with a ``wanted`` one, once for each, with that in a column ``wanted``.
+
+    Texts and wanted beginnings are dealt out together by ranges of their order, where all texts with one beginning
+    follow it, and every range is read once with a stack of the beginnings that are open.  Those open from an earlier
+    range are found from the first text of each range: its own leading parts meet the wanted ones.  So every row is
+    shuffled once, however deep it lies, and a beginning that very many texts share costs a row per range.
+    """
+    columns = used.columns
+    order = ["_text", "_side", *[f.name for f in used.schema if f.name != text and "map<" not in f.dataType.simpleString()]]
+    asked = wanted.select(F.col("wanted").alias("_text"), F.lit(0).alias("_side")).filter("_text IS NOT NULL").distinct()
+    rows = used.filter(F.col(text).isNotNull()).withColumns({"_text": F.col(text), "_side": F.lit(1)})
+    ranged = in_ranges(rows.unionByName(asked, allowMissingColumns=True), order, "_range", ranges)
+    firsts = ranged.groupBy("_range").agg(F.min("_text").alias("_first"))
+    lengths = F.sequence(F.lit(0), F.length("_first"))
+    leading = firsts.select("_range", F.explode(lengths).alias("_n"), "_first").select("_range", F.expr("substring(_first, 1, _n)").alias("_text"))
+    earlier = ranged.filter("_side = 0").select("_text", F.col("_range").alias("_from"))
+    carried = leading.join(earlier, "_text").filter("_from < _range").select("_range", "_text", F.lit(0).alias("_side"))
+    sorted_rows = ranged.unionByName(carried, allowMissingColumns=True).repartition("_range").sortWithinPartitions("_range", "_text", "_side")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
+        opened: list[str] = []
+        for batch in batches:
+            places, found = [], []
+            sides, numbers = batch.column("_side").to_pylist(), batch.column("_range").to_pylist()
+            for k, t in enumerate(batch.column("_text").to_pylist()):
+                if numbers[k] != at:
+                    at, opened = numbers[k], []
+                while opened and not t.startswith(opened[-1]):
+                    opened.pop()
+                if sides[k] == 0:
+                    opened.append(t)
+                else:
+                    places += [k] * len(opened)
+                    found += opened
+            if places:
+                taken = batch.select(columns).take(pa.array(places))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *taken.columns], names=["wanted", *columns])
+
+    return sorted_rows.mapInArrow(read, StructType([StructField("wanted", StringType()), *used.schema.fields]))
+
+
+def resolve_uris(wanted: DataFrame, tables: DataFrame, parts: DataFrame, prefix: bool = False, ranges: int | None = None) -> DataFrame:
     """One row ``(wanted_uri, kind, name, uri)`` per table or partition using a wanted path.
 
-    ``prefix`` also takes everything whose path starts with the wanted text.
+    ``prefix`` also takes everything whose path starts with the wanted text, which may end inside a step, see
+    :func:`starting_with`.
     """
     used = tables.select(F.lit("table").alias("kind"), "name", "uri").unionByName(
         parts.select(
@@ -49,25 +98,8 @@ def resolve_uris(wanted: DataFrame, tables: DataFrame, parts: DataFrame, prefix:
     if not prefix:
         exact = used.withColumn("wanted_uri", F.col("uri"))
         return join_hot(exact, asked, ["wanted_uri"], "inner", ["name"])
-    # A wanted text may end inside a path step.  Its whole leading steps find the
-    # lengths worth trying, then the text of that length is an equi-join key: no
-    # path is ever compared with all the wanted texts of a folder.
-    shallow = F.col("wanted_uri").rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:/?/?)?[^/]*$")
-    step = F.when(shallow, "").otherwise(F.regexp_replace("wanted_uri", "/[^/]*$", ""))
-    lengths = asked.groupBy(step.alias("_step")).agg(
-        F.collect_set(F.length("wanted_uri")).alias("_lengths")
-    )
-    steps = F.concat(F.array(F.lit("")), ancestors(F.col("uri")))
-    unfolded = used.withColumn("_step", F.explode(steps))
-    tried = join_hot(unfolded, lengths, ["_step"], "inner", ["name"])
-    tried = tried.withColumn("_length", F.explode("_lengths")).filter(
-        F.col("_length") <= F.length("uri")
-    )
-    keyed = tried.withColumn("wanted_uri", F.expr("substring(uri, 1, _length)"))
-    # a wanted text has one step, so joining on both never finds it twice
-    asked = asked.withColumn("_step", step)
-    found = join_hot(keyed, asked, ["wanted_uri", "_step"], "inner", ["name"])
-    return found.select("wanted_uri", "kind", "name", "uri")
+    found = starting_with(used, asked.withColumnRenamed("wanted_uri", "wanted"), "uri", ranges)
+    return found.select(F.col("wanted").alias("wanted_uri"), "kind", "name", "uri")
 
 
 def shared_uris(uses: DataFrame) -> DataFrame:

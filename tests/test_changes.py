@@ -56,8 +56,20 @@ def test_prefix_resolution_equals_brute_force(spark):
     tables = spark.createDataFrame(uris, "name string, uri string")
     parts = spark.createDataFrame([], "table_name string, part_name string, uri string")
     asked = spark.createDataFrame([(w,) for w in wanted], "uri string")
-    got = values(V.resolve_uris(asked, tables, parts, prefix=True), "wanted_uri", "name")
-    assert got == sorted(((w, n) for w in wanted for n, u in uris if u.startswith(w)), key=str)
+    want = sorted(((w, n) for w in wanted for n, u in uris if u.startswith(w)), key=str)
+    for ranges in (None, 1, 7, 90):
+        assert values(V.resolve_uris(asked, tables, parts, prefix=True, ranges=ranges), "wanted_uri", "name") == want
+    assert V.resolve_uris(asked, tables.filter("false"), parts, prefix=True).count() == 0
+
+
+def test_beginnings_of_odd_texts_and_copies(spark):
+    texts = ["", "a", "a", "ab", "aé", "aé日", "b", "日本", "日本語", None, "a\U0001f600b"] + ["same"] * 50
+    used = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    wanted = ["", "a", "aé", "日", "a\U0001f600", "same", "samer", None]
+    asked = spark.createDataFrame([(w,) for w in wanted], "wanted string")
+    want = sorted(((w, i) for w in wanted if w is not None for i, t in enumerate(texts) if t is not None and t.startswith(w)), key=str)
+    for ranges in (1, 5, 40):
+        assert values(V.starting_with(used, asked, "t", ranges), "wanted", "id") == want
 
 
 def test_below_equals_brute_force(spark):
