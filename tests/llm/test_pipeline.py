@@ -40,7 +40,7 @@ def test_run_is_its_stages_one_after_the_other(spark, small):
 
 def test_every_operator_has_one_query(spark):
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
