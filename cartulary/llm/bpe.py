@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from base64 import b64decode
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -302,6 +304,18 @@ def encoder(ranks: bytes, pattern: str) -> Callable[[str], bytes]:
     return encode
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No collection of cycles meanwhile: a machine has none, and each collection would walk all its states."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS):
@@ -328,7 +342,8 @@ def encode_documents(
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, stream = encoder(ranks, pattern), decoder(ranks).stream
         for batch in slices(batches):
-            ids = [encode(data.decode("utf-8", "replace")) for data in batch.column("text").to_pylist()]
+            with uncollected():
+                ids = [encode(data.decode("utf-8", "replace")) for data in batch.column("text").to_pylist()]
             columns = {"id": batch.column("id"), "ids": pa.array(ids, pa.binary())}
             if decoded:
                 columns["text"] = pa.array([text_from(stream, i) for i in ids], pa.string())
