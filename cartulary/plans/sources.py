@@ -112,6 +112,17 @@ def source_sliced_read(b: Bindings) -> DataFrame:
     return J.read_sliced(lambda p: customer.filter(p), "name", bounds, "Customer#0000")
 
 
+@query(
+    "source_sliced_measured", "O-06",
+    sql="SELECT c_custkey AS custkey, c_name AS name FROM customer WHERE starts_with(c_name, 'Customer#0000')",
+)
+def source_sliced_measured(b: Bindings) -> DataFrame:
+    """Slices whose bounds come from the keys themselves."""
+    customer = b.table("customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"))
+    bounds = J.slice_bounds(customer, "name", 6, "Customer#0000")
+    return J.read_sliced(lambda p: customer.filter(p), "name", bounds, "Customer#0000")
+
+
 @query(
     "data_partition_metrics", "O-07",
     sql="""SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS row_count, CAST(epoch(max(l_shipdate)) AS BIGINT) AS newest

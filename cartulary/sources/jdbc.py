@@ -70,6 +70,17 @@ def slices(key: str, bounds: list[str], prefix: str = "") -> list[str]:
     return [f"({x}) and {key} >= '{p}'{below}" for x in parts]
 
 
+def slice_bounds(keys: DataFrame, key: str, n: int, prefix: str = "") -> list[str]:
+    """Bounds that cut the keys under a prefix into ``n`` slices of about equal size, for :func:`slices`.
+
+    ``keys`` is whatever tells how the keys are spread: the source's index, or an earlier read.  It is cut by ranges of
+    the key, and only the first key of each range reaches the driver.  Equal keys share a slice, so there may be fewer.
+    """
+    rows = keys.select(F.col(key).cast("string").alias("k")).filter(F.col("k").isNotNull() & F.col("k").startswith(prefix))
+    firsts = rows.repartitionByRange(n, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k")).collect()
+    return sorted(r["k"] for r in firsts)[1:]
+
+
 def _next(prefix: str) -> str:
     """The least text above all texts with the prefix; empty if there is none."""
     kept = prefix.rstrip(chr(0x10FFFF))

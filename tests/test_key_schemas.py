@@ -1,4 +1,4 @@
-"""Partition keys declared per table, pages with clashing column names, and metrics kept up to date."""
+"""Partition keys declared per table, pages with clashing column names, metrics kept up to date, measured slices."""
 
 import random
 
@@ -101,3 +101,18 @@ def test_file_metrics_read_files_once(spark, tmp_path):
     data = spark.read.parquet(str(tmp_path / "d"))
     found = M.metrics_of_files(M.file_metrics(data, ["k"], "t"), ["k"])
     assert values(found, "k", "row_count", "newest") == values(M.partition_metrics(data, ["k"], "t"), "k", "row_count", "newest")
+
+
+def test_measured_slices_are_even_and_whole(spark):
+    from cartulary.sources import jdbc
+
+    keys = spark.range(3000).select(F.when(F.col("id") % 100 == 0, None).otherwise(F.format_string("k%05d", F.col("id") * F.col("id") % 7001)).alias("k"))
+    bounds = jdbc.slice_bounds(keys, "k", 8)
+    assert len(bounds) == 7 and bounds == sorted(set(bounds))
+    sizes = [keys.filter(p).count() for p in jdbc.slices("k", bounds)]
+    assert sum(sizes) == 3000 and max(sizes) < 2 * 3000 / 8
+    under = jdbc.slice_bounds(keys, "k", 4, "k01")
+    assert all(b.startswith("k01") for b in under)
+    assert jdbc.read_sliced(keys.filter, "k", under, "k01").count() == keys.filter("k LIKE 'k01%'").count()
+    assert jdbc.slice_bounds(keys.filter("false"), "k", 4) == [] and jdbc.slices("k", []) == ["1 = 1"]
+    assert jdbc.slice_bounds(keys.filter("k = 'k00001'"), "k", 4) == []
