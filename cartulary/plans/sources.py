@@ -249,11 +249,14 @@ def snapshot_roundtrip(b: Bindings) -> DataFrame:
 
 @query(
     "search_docs_written", "O-12",
-    sql="""SELECT name, CASE WHEN lang <> 'es' THEN length(body) ELSE -1 END AS size, deleted FROM v_docs""",
+    sql="""SELECT name, CASE WHEN lang <> 'es' THEN length(body) ELSE -1 END AS size, CASE WHEN lang <> 'es' THEN md5(body) END AS body_md5,
+        kind, "user", deleted, updated_at, run, uri FROM v_docs""",
 )
 def search_docs_written(b: Bindings) -> DataFrame:
     path = scratch(b, "index")
     body = F.when(F.split("name", "/")[1] == "es", "{}").otherwise(F.col("body"))
     N.write_search_docs(b.docs.withColumn("body", body), path)
-    read = b.spark.read.schema("name string, body string, deleted boolean").json(path)
-    return read.select("name", F.coalesce(F.length("body").cast("bigint"), F.lit(-1)).alias("size"), "deleted")
+    # every field of every document is read back and compared, bodies by their hashes
+    read = b.spark.read.schema(b.docs.schema).json(path)
+    size, code = F.coalesce(F.length("body").cast("bigint"), F.lit(-1)), F.md5(F.col("body").cast("binary"))
+    return read.select("name", size.alias("size"), code.alias("body_md5"), "kind", "user", "deleted", "updated_at", "run", "uri")
