@@ -31,7 +31,7 @@ def attach_metadata(
     by_name = defs.select("name", F.col("data").alias("definition_metadata"))
     by_uri = data.select("uri", F.col("data").alias("_stored"))
     out = df.join(by_name, "name", "left")
-    out = join_hot(out, by_uri, ["uri"], "left", ["name"])
+    out = join_hot(out, by_uri, ["uri"], "left", ["name"], counted=df)
     found = F.coalesce(F.col(metrics), F.col("_stored")) if metrics else F.col("_stored")
     out = out.withColumn("data_metadata", found).drop("_stored")
     return hook(out) if hook else out

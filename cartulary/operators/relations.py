@@ -57,8 +57,8 @@ def effective_limit(
 
     A negative limit means none.
     """
-    out = pairs.withColumn("database_name", F.get(F.split("parent", "/"), F.lit(1)))
-    out = out.join(
+    placed = pairs.withColumn("database_name", F.get(F.split("parent", "/"), F.lit(1)))
+    out = placed.join(
         table_limits.select("parent", "relation_type", F.col("max").alias("_t")), ["parent", "relation_type"], "left"
     )
     out = join_hot(
@@ -67,10 +67,10 @@ def effective_limit(
         ["database_name", "relation_type"],
         "left",
         ["parent"],
+        counted=placed,
     )
-    out = join_hot(
-        out, type_limits.select("relation_type", F.col("max").alias("_r")), ["relation_type"], "left", ["parent"]
-    )
+    of_type = type_limits.select("relation_type", F.col("max").alias("_r"))
+    out = join_hot(out, of_type, ["relation_type"], "left", ["parent"], counted=placed)
     chosen = F.coalesce("_t", "_d", "_r", F.lit(default)).cast("bigint")
     return out.withColumn("max_children", chosen).drop("_t", "_d", "_r", "database_name")
 
@@ -115,14 +115,15 @@ def _at_ends(rows: DataFrame, facts: DataFrame) -> DataFrame:
         return facts.select(F.col("name").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in facts.columns if c != "name"])
 
     out = rows.join(about("child"), "child", "left")
-    return join_hot(out, about("parent"), ["parent"], "left", ["child"])
+    return join_hot(out, about("parent"), ["parent"], "left", ["child"], counted=rows)
 
 
 def _against_stored(edges: DataFrame, proposed: DataFrame, limits: DataFrame) -> DataFrame:
     """Proposed edges with what is stored at their ends, their parent's ``children`` and its ``limit``."""
     out = _at_ends(proposed, _known_names(edges))
-    out = join_hot(out, children_per_type(edges), ["parent", "relation_type"], "left", ["child"])
-    out = join_hot(out, limits.select("parent", "relation_type", "max_children"), ["parent", "relation_type"], "left", ["child"])
+    out = join_hot(out, children_per_type(edges), ["parent", "relation_type"], "left", ["child"], counted=proposed)
+    most = limits.select("parent", "relation_type", "max_children")
+    out = join_hot(out, most, ["parent", "relation_type"], "left", ["child"], counted=proposed)
     return out.withColumns(
         {"limit": F.coalesce("max_children", F.lit(DEFAULT_LIMIT)).cast("bigint"), "children": F.coalesce("children", F.lit(0))}
     )
@@ -277,7 +278,7 @@ def rename_ends(edges: DataFrame, allowed: DataFrame) -> DataFrame:
     out = edges
     for end, other in (("parent", "child"), ("child", "parent")):
         pairs = allowed.select(F.col("old").alias(end), F.col("new").alias("_new"))
-        out = join_hot(out, pairs, [end], "left", [other])
+        out = join_hot(out, pairs, [end], "left", [other], counted=edges)  # the other end is still as it was
         out = out.withColumn(end, F.coalesce("_new", end)).drop("_new")
     return out.select(*edges.columns)
 

@@ -138,7 +138,7 @@ def reconcile_targets(stale: DataFrame, live: DataFrame, most: dict[str, int] |
     counts = stale.groupBy("kind").agg(F.count("*").alias("_n")).withColumn("_most", F.try_element_at(limits, "kind"))
     why = F.format_string("%d unmarked, %d allowed", F.col("_n"), F.col("_most"))
     over = counts.filter(F.col("_n") > F.col("_most")).select("kind", why.alias("held_back"))
-    return join_hot(gone, over, ["kind"], "left", ["name"])
+    return join_hot(gone, over, ["kind"], "left", ["name"], counted=stale)
 
 
 def soft_delete_docs(docs: DataFrame, names: DataFrame, user: str, at: Column) -> DataFrame:

@@ -28,12 +28,12 @@ def partition_inventory(
     """
     located = partitions.join(storage, "sd_id").join(serdes, "serde_id")
     named = tables.join(databases, "db_id")
-    return join_hot(located, named, ["tbl_id"], "inner", ["part_id"])
+    return join_hot(located, named, ["tbl_id"], "inner", ["part_id"], counted=partitions)
 
 
 def table_inventory(tables: DataFrame, databases: DataFrame, storage: DataFrame) -> DataFrame:
     """Tables with their database and location."""
-    return join_hot(tables.join(storage, "sd_id"), databases, ["db_id"], "inner", ["tbl_id"])
+    return join_hot(tables.join(storage, "sd_id"), databases, ["db_id"], "inner", ["tbl_id"], counted=tables)
 
 
 def partition_key_schema(key_rows: DataFrame, tables: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def external_catalog_inventory(
     """Tables of a path-tracking catalog with source, database and location."""
     located = tables.join(locations, "table_id")
     homes = databases.join(sources, "source_id")
-    return join_hot(located, homes, ["database_id"], "inner", ["table_id"])
+    return join_hot(located, homes, ["database_id"], "inner", ["table_id"], counted=tables)
 
 
 def partition_metrics(data: DataFrame, keys: list[str], timestamp: str, files: bool = True) -> DataFrame:

@@ -156,7 +156,9 @@ def apply_changes(docs: DataFrame, changes: DataFrame) -> DataFrame:
     )
     is_partition = F.coalesce("_kind", "kind") == "partition"
     both = both.withColumn("_table", F.when(is_partition, F.substring_index("name", "/", 3)))
-    both = join_hot(both, table_drops, ["_table"], "left", ["name"])
+    named = docs.select("name", "kind").unionByName(changes.select("name", "kind")).filter("kind = 'partition'")
+    owners = named.select(F.substring_index("name", "/", 3).alias("_table"))
+    both = join_hot(both, table_drops, ["_table"], "left", ["name"], counted=owners)
     removed = F.greatest(F.coalesce("removed", before), F.coalesce("_table_deleted", before))
     saved = F.coalesce("saved", before)
     stored = F.col("_kind").isNotNull() & (removed == before)

@@ -5,7 +5,7 @@ import random
 import pyspark.sql.functions as F
 import pytest
 
-from cartulary.functions.skew import join_hot
+from cartulary.functions.skew import BUCKETS, hot_buckets, join_hot, spread
 from cartulary.operators import changes as C
 from cartulary.operators import overlay as O
 from cartulary.operators import partitions as P
@@ -18,26 +18,81 @@ from cartulary.sources import jdbc, snapshot
 from tests.conftest import values
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join_equals_plain_join(spark, how):
-    many = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"))
-    one = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    for hint in ("merge", "broadcast"):
-        got = join_hot(many, one.hint(hint), ["k"], how, ["id"])
-        want = many.join(one, ["k"], how)
-        assert values(got, *want.columns) == values(want, *want.columns)
-
-
-def test_spread_join_shares_a_hot_key(spark):
-    many = spark.range(2000).select("id", F.lit("hot").alias("k"))
-    one = spark.createDataFrame([("hot", 1)], "k string, v int").hint("merge")
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        out = join_hot(many, one, ["k"], "inner", ["id"])
-        assert out.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 2
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+@pytest.fixture
+def shuffled(spark):
+    """A session in which no side of a join is small enough to be broadcast, and nothing is mended at run time."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("-1", "false")):
+        spark.conf.set(name, value)
+    yield spark
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("how,kind", [("inner", "int"), ("left", "string"), ("left_semi", "bigint"), ("left_anti", "double")])
+def test_spread_join_equals_plain_join(shuffled, how, kind):
+    spark = shuffled
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 40)
+    many = spark.range(3000).select("id", key.cast(kind).alias("k"))
+    one = spark.range(20).select(F.col("id").cast(kind).alias("k"), (F.col("id") * 10).alias("v"))
+    one = one.unionByName(spark.range(1).select(F.lit(None).cast(kind).alias("k"), F.lit(-1).cast("bigint").alias("v")))
+    plain = many.join(one, ["k"], how)
+    want = values(plain, *plain.columns)
+    for most, counted in ((10, None), (100, many.filter("k = 0")), (10**6, None)):
+        got = join_hot(many, one, ["k"], how, ["id"], counted=counted, most=most)
+        assert got.columns == plain.columns and values(got, *plain.columns) == want
+
+
+def test_spread_join_of_two_keys_with_clashing_names(shuffled):
+    many = shuffled.range(600).selectExpr("id", "id % 2 AS `a.b`", "0 AS c", "7 AS _salt", "8 AS _bucket")
+    one = shuffled.range(2).selectExpr("cast(id as int) AS `a.b`", "0 AS c", "id AS _parts")
+    got = join_hot(many, one, ["a.b", "c"], "inner", ["id"], most=50)
+    assert got.count() == 600 and got.columns == ["a.b", "c", "id", "_salt", "_bucket", "_parts"]
+    assert got.filter("`a.b` = _parts AND _salt = 7 AND _bucket = 8").count() == 600
+
+
+def test_hot_keys_are_measured(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("k"))
+    found = hot_buckets(rows, ["k"], 100).collect()
+    assert [r["parts"] for r in found] == [100]
+    assert hot_buckets(rows, ["k"], 10_001).count() == 0
+    # many rows, none hotter than others: nothing is spread, however few rows a task may have
+    even = spark.range(400_000).select((F.col("id") % 100_000).alias("k"))
+    assert hot_buckets(even, ["k"], 1).agg(F.sum("parts")).first()[0] < BUCKETS // 2
+
+
+def test_a_cold_join_repeats_nothing(spark):
+    many = spark.range(5000).selectExpr("id", "id AS k")
+    one = spark.range(5000).selectExpr("id AS k")
+    salted, repeated = spread(many, one, ["k"], ["id"], "salt", hot_buckets(many, ["k"], 100))
+    assert repeated.count() == 5000 and salted.filter("salt <> 0").count() == 0
+    hot = many.withColumn("k", F.when(F.col("id") < 2500, 9999).otherwise(F.col("k")))
+    wider = one.unionByName(spark.range(9999, 10_000).selectExpr("id AS k"))
+    salted, repeated = spread(hot, wider, ["k"], ["id"], "salt", hot_buckets(hot, ["k"], 100))
+    extra = {r["k"]: r["n"] for r in repeated.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").collect()}
+    assert extra[9999] == 25 and len(extra) < 5
+    assert salted.filter("k = 9999").select("salt").distinct().count() == 25
+
+
+def test_spread_join_shares_a_hot_key(shuffled):
+    many = shuffled.range(4000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    one = many.select("k").distinct().withColumn("v", F.lit(1))
+    out = join_hot(many, one, ["k"], "inner", ["id"], most=20)
+    per_task = {r[0]: r[1] for r in out.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()}
+    tasks = int(shuffled.conf.get("spark.sql.shuffle.partitions"))
+    assert len(per_task) == tasks and max(per_task.values()) < 2 * 2000 / tasks
+
+
+def test_a_small_side_is_joined_plainly(spark):
+    many, one = spark.range(100).selectExpr("id AS k", "id"), spark.range(10).withColumnRenamed("id", "k")
+    plan = join_hot(many, one, ["k"], "left_semi", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_spread_join_refuses_keys_of_two_kinds(spark):
+    with pytest.raises(ValueError):
+        join_hot(spark.range(1), spark.range(1).select(F.col("id").cast("string")), ["id"], "inner", ["id"])
 
 
 def test_spread_join_refuses_full(spark):
