@@ -66,9 +66,10 @@ def join_hot(
     """Equi join where ``many`` may be hot on ``on`` and ``one`` has at most a few rows per key.
 
     Where the planner's own estimate lets it broadcast ``one``, nothing is shuffled and this is a plain join.
-    Otherwise hot keys are measured (:func:`hot_buckets`) in the same job.  Rows of a hot key are dealt out by a hash
-    of ``spread_by`` over as many sub-keys as its count asks for, and only its few rows of ``one`` (and of cold keys
-    that share the bucket) are repeated.  Cold keys are joined as they are.
+    Otherwise hot keys are measured first (:func:`hot_buckets`): a job over the key columns, of which at most
+    ``BUCKETS / HEAVY`` pairs of integers come back.  If there are none, this is a plain join too.  Else rows of a hot
+    key are dealt out by a hash of ``spread_by`` over as many sub-keys as its count asks for, and only its few rows of
+    ``one`` (and of cold keys that share the bucket) are repeated.  Cold keys are joined as they are.
 
     ``counted`` has the rows to measure instead of ``many``: where that is itself the result of joins, the frame that
     its keys come from.  It decides on the balance alone, never on the result.  Keys have the same types on both
@@ -82,10 +83,14 @@ def join_hot(
             raise ValueError(f"the sides of a spread join give {c} the types {sorted(kinds)}")
     if many.isStreaming or one.isStreaming or is_small(one):
         return many.join(one, on, how)
-    salt = free("_salt", many, one)
     # counted with the types of ``many``, as the same key must fall into the same bucket everywhere
     source = (many if counted is None else counted).select(
         *[F.col(f"`{c}`").try_cast(many.schema[c].dataType.simpleString()).alias(c) for c in on]
     )
-    salted, repeated = spread(many, one, on, spread_by, salt, hot_buckets(source, on, most))
+    salt = free("_salt", many, one)
+    found = [tuple(r) for r in hot_buckets(source, on, most).collect()]
+    if not found:
+        return many.join(one, on, how)
+    hot = many.sparkSession.createDataFrame(found, "bucket int, parts int")
+    salted, repeated = spread(many, one, on, spread_by, salt, hot)
     return salted.join(repeated, [*on, salt], how).drop(salt)
