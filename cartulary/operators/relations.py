@@ -121,9 +121,9 @@ def _at_ends(rows: DataFrame, facts: DataFrame) -> DataFrame:
 def _against_stored(edges: DataFrame, proposed: DataFrame, limits: DataFrame) -> DataFrame:
     """Proposed edges with what is stored at their ends, their parent's ``children`` and its ``limit``."""
     out = _at_ends(proposed, _known_names(edges))
-    out = join_hot(out, children_per_type(edges), ["parent", "relation_type"], "left", ["child"], counted=proposed)
-    most = limits.select("parent", "relation_type", "max_children")
-    out = join_hot(out, most, ["parent", "relation_type"], "left", ["child"], counted=proposed)
+    group = ["parent", "relation_type"]
+    per_type = children_per_type(edges).join(limits.select(*group, "max_children"), group, "full")
+    out = join_hot(out, per_type, group, "left", ["child"], counted=proposed)
     return out.withColumns(
         {"limit": F.coalesce("max_children", F.lit(DEFAULT_LIMIT)).cast("bigint"), "children": F.coalesce("children", F.lit(0))}
     )
