@@ -182,7 +182,9 @@ def mix_sources(
 
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: each as often as it is taken.  Columns are those of ``docs``."""
+    """The rows of ``docs`` as the mix takes them: each as often as it is taken.  Columns are those of ``docs``,
+    whatever their names (dots and the operator's own ones too); a null source is a source, and rows without words
+    (null, empty or blank texts) are never taken.  An empty table gives an empty one."""
     seed = how.pop("seed", SEED)
     facts = F.struct(F.col(source).cast("string").alias("source"), word_count(text).alias("size"), seeded(id, text, seed).alias("place"))
     rows = store(docs.select(facts.alias("f")).select("f.*"), "sizes")
@@ -194,7 +196,7 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     match = found[own]["source"].eqNullSafe(plan["_source"]) & (found[own]["size"] == plan["_size"])
     more = F.coalesce((found[own]["place"] <= plan["_top"]).cast("long"), F.lit(0))
     n = F.when(found[own]["size"] > 0, plan["_copies"] + more).otherwise(0).cast("int")
-    taken = found.join(plan, match).select(*[found[c] for c in docs.columns], n.alias(times)).where(F.col(times) > 0)
+    taken = found.join(plan, match).select(*[found[f"`{c}`"] for c in docs.columns], n.alias(times)).where(F.col(times) > 0)
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )

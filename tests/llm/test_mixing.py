@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -84,3 +86,16 @@ def test_odd_rows(spark):
     assert times.schema == docs.schema
     assert times.count() == rows.where("size > 0").selectExpr("sum(taken div size)").first()[0]
     assert mix_sources(odd(spark, [])).count() == mixed(odd(spark, [])).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.range(200).selectExpr(
+        "id as doc_id", "concat('w', id, repeat(' x', int(id % 7))) as text", "if(id % 3 = 0, null, 's') as source",
+        "id as `a.b`", "id + 1 as _source", "id + 2 as _facts", "id + 3 as _times", "id + 4 as `_copy`", "id + 5 as _top", "id as f",
+    )
+    found = mixed(docs)
+    assert found.schema == docs.schema
+    taken = {r["doc_id"]: r["taken"] // r["size"] for r in mix_sources(docs).collect()}
+    rows = found.collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter({k: n for k, n in taken.items() if n})
+    assert all(r["a.b"] == r["f"] == r["doc_id"] and r["_source"] == r["doc_id"] + 1 and r["_top"] == r["doc_id"] + 5 for r in rows)
