@@ -79,16 +79,16 @@ def search_terms_kept(b: Bindings) -> DataFrame:
     """Words kept in files, through a batch that rewords, deletes and adds documents, asked for afterwards."""
     folder = f"{shared_folder(b.spark)}/terms-{uuid.uuid4().hex}"
     text, source, lang = F.col("body"), F.col("run"), F.split("name", "/")[1]
-    first = b.docs.filter(source != "src3")
-    K.start_terms(K.document_terms(first, text), folder)
+    first, parts = b.docs.filter(source != "src3"), K.parts_for(b.docs.count())
+    K.start_terms(K.document_terms(first, text, parts), folder, parts)
     gone = (lang == "fr") & (source != "src1")
     changed = (source == "src2") | (source == "src3") | gone
     reworded = F.when(source == "src2", F.concat(text, F.lit(" Reworded"))).otherwise(text)
-    old = K.document_terms(first.filter(changed), text)
-    new = K.document_terms(b.docs.filter(changed & ~gone), reworded)
+    old = K.document_terms(first.filter(changed), text, parts)
+    new = K.document_terms(b.docs.filter(changed & ~gone), reworded, parts)
     K.update_terms(old, new, folder, 0)
     K.fold_terms(b.spark, folder)
-    terms = b.table("benchmark").select(F.explode(S.tokens(F.col("text"))).alias("term")).unionByName(b.spark.createDataFrame([("Reworded",)], "term string"))
+    terms = b.table("benchmark").select(F.explode(S.tokens(F.col("text"))).alias("term")).unionByName(b.spark.range(1).select(F.lit("Reworded").alias("term")))
     return K.read_terms(b.spark, folder, terms).groupBy("term").agg(F.count("*").alias("docs"))
 
 

@@ -44,6 +44,29 @@ def test_words_follow_their_documents(spark, tmp_path):
     assert plan.count("In(term, [cat,the])") >= 2  # in the base and in the log
 
 
+def test_words_of_documents_are_few_rows_and_repeated_names_count_once(spark, tmp_path):
+    docs = [(f"d{k % 30}" if k else None, f"the cat{k % 3} " + "x " * (k % 2)) for k in range(60)] + [("e", None), ("f", ". ,")]
+    shape = "name string, body string"
+    rows = lambda some, parts=None: K.document_terms(spark.createDataFrame(some, shape), F.col("body"), parts)
+    asked = spark.createDataFrame([("THE",), ("cat1",), ("x",), ("new",)], "term string")
+    found = lambda folder: sorted((w, str(n)) for w, n in K.read_terms(spark, folder, asked).select("term", "name").collect())
+    want = lambda some: sorted({(w, str(n)) for n, t in some for w in (t or "").split() if w not in (".", ",", "cat0", "cat2")})
+    for parts in (1, 3):
+        folder = str(tmp_path / f"terms{parts}")
+        K.start_terms(rows(docs, parts), folder, parts)
+        base = spark.read.parquet(f"{folder}/base/v0")
+        assert base.count() <= 5 * parts  # not one for each word and document
+        assert base.groupBy("term", "part").count().filter("count > 1").isEmpty()
+        assert found(folder) == want(docs)
+        gone = [d for d in docs if d[0] == "d4"]
+        K.update_terms(rows(gone, parts), rows([("d4", "new cat1"), (None, "the new")], parts), folder, 0)
+        now = [d for d in docs if d[0] != "d4"] + [("d4", "new cat1"), (None, "new")]
+        assert found(folder) == want(now)
+        K.fold_terms(spark, folder)
+        assert found(folder) == want(now)
+        assert not any(p.name.startswith("unsorted") for p in (tmp_path / f"terms{parts}").iterdir())
+
+
 def test_columns_compare_in_their_own_type(spark, tmp_path):
     shape = "Id int, big bigint, price decimal(10,2), half float, label string, day date, at timestamp_ntz, ok boolean"
     rows = [
