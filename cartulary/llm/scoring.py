@@ -234,12 +234,15 @@ class Model:
         """What depends on one subword alone, for vectors ``x``: query, key, direct part and value."""
         return x @ self.q * np.float32(WIDTH**-0.5), x @ self.k, x @ self.a, x @ self.b
 
-
     def within(self) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the ids that follow each kind, and the logs of those of their classes, to divide by."""
         of = np.zeros((len(self.pairs), SINGLE + GROUPS))
         known = np.flatnonzero(self.columns < self.pairs.shape[1] - 1)
-        np.add.at(of.T, self.classes[known], self.pairs[:, self.columns[known]].T)
+        known = known[np.argsort(self.classes[known], kind="stable")]
+        if len(known):
+            kind = self.classes[known]
+            edges = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+            of[:, kind[edges]] = np.add.reduceat(self.pairs[:, self.columns[known]], edges, axis=1, dtype=float)
         return self.pairs, np.log(of + PRIOR).astype(np.float32)
 
 
@@ -275,23 +278,73 @@ def windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end: int, re
     return context, target
 
 
+LARGE = 60  # scores that are surely smaller need no shift: float32 holds their exponentials, and sums and ratios of these
+
+
+class Rows:
+    """The tables of a model side by side, to be taken by subword: query, 1 and direct part; key, 0, value and 1.
+
+    A last row, which -1 takes, stands for nothing: its key puts off every query by the 1.  The 1 beside the
+    values makes the sum of the weights a column of their mean.  ``shift``: scores may be too large as they are.
+    """
+
+    def __init__(self, tables: tuple[np.ndarray, ...], near: np.ndarray) -> None:
+        q, k, direct, value = tables
+        n, self.width = q.shape
+        d = self.width
+        self.asking = np.zeros((n + 1, 2 * d + 1), dtype=q.dtype)
+        self.asking[:-1, :d], self.asking[:, d], self.asking[:-1, d + 1 :] = q, 1, direct
+        self.seen = np.zeros((n + 1, 2 * d + 2), dtype=q.dtype)
+        self.seen[:-1, :d], self.seen[-1, d], self.seen[:-1, d + 1 : -1], self.seen[:, -1] = k, -1e9, value, 1
+        longest = lambda v: np.sqrt(np.einsum("ij,ij->i", v, v).max(initial=0))
+        self.shift = not longest(q) * longest(k) + np.abs(near).max() < LARGE
+
+
+def look(rows: Rows, near: np.ndarray, context: np.ndarray, at: np.ndarray, reach: int = REACH):
+    """What ``attend`` says, and what its slopes are made of: exponentials of the scores (windows x targets x
+    context) and their sums, means of the values, and the rows taken."""
+    d = rows.width
+    asking, seen = rows.asking.take(context[:, reach + at], axis=0), rows.seen.take(context, axis=0)
+    back = reach + at[:, None] - np.arange(context.shape[1])[None, :]
+    weights = asking[:, :, : d + 1] @ seen[:, :, : d + 1].transpose(0, 2, 1)
+    weights += np.where(back >= 0, near[np.maximum(back, 0)], np.float32(-1e9))
+    if rows.shift:
+        weights -= weights.max(axis=2, keepdims=True)
+    np.exp(weights, out=weights)
+    mean = weights @ seen[:, :, d + 1 :]
+    total = np.maximum(mean[:, :, -1:], np.float32(1e-30))  # beyond a document nothing may be seen
+    mean = mean[:, :, :-1] / total
+    hidden = asking[:, :, d + 1 :] + mean
+    return np.tanh(hidden, out=hidden), weights, total, mean, asking, seen
+
+
 def attend(tables, near: np.ndarray, context: np.ndarray, at: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """Attention weights (windows x targets x context) and hidden vectors of the targets at the places ``at``.
 
     ``context`` numbers rows of ``tables``, -1 is nothing.  A target sees what stands before it in the window.
     """
-    q, k, direct, value = tables
-    known, query = np.maximum(context, 0), np.maximum(context[:, reach + at], 0)
-    back = reach + at[:, None] - np.arange(context.shape[1])[None, :]
-    scores = q[query] @ k[known].transpose(0, 2, 1)
-    scores += np.where(back >= 0, near[np.maximum(back, 0)], np.float32(-1e9))
-    scores += np.where(context >= 0, np.float32(0), np.float32(-1e9))[:, None, :]
-    scores -= scores.max(axis=2, keepdims=True)
-    weights = np.exp(scores, out=scores)
-    weights /= weights.sum(axis=2, keepdims=True)
-    hidden = weights @ value[known]
-    hidden += direct[query]
-    return weights, np.tanh(hidden, out=hidden)
+    hidden, weights, total, *_ = look(Rows(tables, near), near, context, at, reach)
+    return weights / total, hidden
+
+
+class Classes:
+    """The step from hidden vectors, which lie between -1 and 1, to the odds of the classes.
+
+    Where no score can be large the bias is a factor of the odds, so that it need not be added to each score.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.out, self.bias = model.out, model.bias
+        self.shift = not np.abs(model.out).sum(axis=0).max() + np.ptp(np.append(model.bias, 0)) < LARGE
+        self.factor = np.ones_like(model.bias) if self.shift else np.exp(model.bias)
+
+    def scores(self, hidden: np.ndarray) -> np.ndarray:
+        """Scores of the classes: exponentials of them times ``factor`` are in proportion to the probabilities."""
+        z = hidden @ self.out
+        if self.shift:
+            z += self.bias
+            z -= z.max(axis=1, keepdims=True)
+        return z
 
 
 def class_log_odds(model: Model, hidden: np.ndarray) -> np.ndarray:
@@ -300,52 +353,87 @@ def class_log_odds(model: Model, hidden: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``values`` by their row number."""
+def _by_row(rows: np.ndarray, values: np.ndarray, n: int, most: int = 8) -> np.ndarray:
+    """Sums of ``values`` by their row number, negative ones left out: up to ``most`` of a row are added side by
+    side with those of all others, and so again with these sums until each row has one."""
     order = np.argsort(rows.astype(np.int16) if n < 1 << 15 else rows, kind="stable")  # short ones: a radix sort
-    ordered = rows[order]
-    edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    out = np.zeros((n, values.shape[1]), dtype=np.float32)
-    out[ordered[edges]] = np.add.reduceat(values[order], edges, axis=0)
+    order = order[np.count_nonzero(rows < 0) :]
+    counts = np.bincount(rows[order], minlength=n)
+    met = np.flatnonzero(counts)
+    counts = counts[met]
+    while True:
+        starts, parts = np.cumsum(counts) - counts, -(-counts // most)
+        first = np.repeat(starts - (np.cumsum(parts) - parts) * most, parts) + np.arange(int(parts.sum())) * most
+        left = np.repeat(starts + counts, parts) - first
+        by = np.argsort(-np.minimum(left, most), kind="stable")  # those with more to add stand first
+        first, left = first[by], left[by]
+        sums = values.take(order[first], axis=0)
+        for k in range(1, most):
+            more = np.count_nonzero(left > k)
+            if not more:
+                break
+            sums[:more] += values.take(order[first[:more] + k], axis=0)
+        values, counts = sums, parts
+        order = np.empty(len(by), dtype=np.int64)
+        order[by] = np.arange(len(by))
+        if len(order) == len(met):
+            break
+    out = np.zeros((n, values.shape[1]), dtype=values.dtype)
+    out[met] = values[order]
     return out
 
 
 def learn(model: Model, squares: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, at: np.ndarray, rate: float, reach: int = REACH) -> None:
-    """One Adagrad step on the mean loss of the targets at the places ``at`` of each window."""
+    """One Adagrad step on the mean loss of the targets at the places ``at`` of each window.
+
+    Sums of exponentials are divided by where an array is as wide as a vector, not on weights and class scores,
+    so each of these is written once, as its exponential.
+    """
     met = np.zeros(len(model.x) + 1, dtype=bool)
     met[context] = True  # -1 is the last
     ids = np.flatnonzero(met[:-1])
     number = np.full(len(met), -1)
     number[ids] = np.arange(len(ids))
     local = number[context]
-    x = model.x[ids]
-    q, k, direct, value = tables = model.tables(x)
-    y = target[:, at]
-    real = y >= 0
-    n = max(1, int(real.sum()))
-    weights, hidden = attend(tables, model.near, local, at, reach)
-    slope = np.exp(class_log_odds(model, hidden.reshape(-1, WIDTH))).reshape(*hidden.shape[:2], -1)
-    w, t = np.nonzero(real)
-    slope[w, t, model.classes[y[w, t]]] -= 1
-    slope *= real[:, :, None] / np.float32(n)
-
-    known, query = np.maximum(local, 0), np.maximum(local[:, reach + at], 0)
-    d_hidden = (slope.reshape(-1, slope.shape[2]) @ model.out.T).reshape(hidden.shape) * (1 - hidden * hidden)
-    d_weights = d_hidden @ value[known].transpose(0, 2, 1)
-    d_scores = weights * (d_weights - (d_weights * weights).sum(axis=2, keepdims=True))
+    x, d = model.x[ids], WIDTH
+    hidden, weights, total, mean, asking, seen = look(Rows(model.tables(x), model.near), model.near, local, at, reach)
+    y = target[:, at].ravel()
+    real = (y >= 0).astype(x.dtype)
+    real /= max(1, np.count_nonzero(real))
+
+    flat, kind, classes = hidden.reshape(-1, d), model.classes[y], Classes(model)
+    slope = classes.scores(flat)
+    np.exp(slope, out=slope)
+    of = slope @ classes.factor
+    slope[np.arange(len(y)), kind] -= of / classes.factor[kind]
+    real /= of
+    d_hidden = slope @ (model.out * classes.factor).T
+    d_hidden *= real[:, None]
+    d_out, d_bias = (flat * real[:, None]).T @ slope * classes.factor, real @ slope * classes.factor
+    d_hidden -= d_hidden * flat * flat
+
+    d_hidden = d_hidden.reshape(hidden.shape)
+    left = np.empty((*hidden.shape[:2], d + 1), dtype=x.dtype)  # slopes of the sums of values, and of weights
+    left[:, :, :-1] = d_hidden
+    left[:, :, -1] = -np.einsum("ijk,ijk->ij", d_hidden, mean)
+    left /= total
+    d_scores = left @ seen[:, :, d + 1 :].transpose(0, 2, 1)
+    d_scores *= weights
     back = np.maximum(reach + at[:, None] - np.arange(context.shape[1])[None, :], 0)
-    d = WIDTH
-    as_key = np.empty((*known.shape, 2 * d), dtype=x.dtype)
-    np.matmul(d_scores.transpose(0, 2, 1), q[query], out=as_key[:, :, :d])
-    np.matmul(weights.transpose(0, 2, 1), d_hidden, out=as_key[:, :, d:])
-    as_query = np.concatenate([d_scores @ k[known] * np.float32(WIDTH**-0.5), d_hidden], axis=2)
-    key = _by_row(known.ravel(), as_key.reshape(-1, 2 * d), len(ids))
-    own = _by_row(query.ravel(), as_query.reshape(-1, 2 * d), len(ids))
+    as_key = np.empty((*local.shape, 2 * d), dtype=x.dtype)
+    np.matmul(d_scores.transpose(0, 2, 1), asking[:, :, :d], out=as_key[:, :, :d])
+    np.matmul(weights.transpose(0, 2, 1), left[:, :, :-1], out=as_key[:, :, d:])
+    as_query = np.empty((*hidden.shape[:2], 2 * d), dtype=x.dtype)
+    np.matmul(d_scores, seen[:, :, :d], out=as_query[:, :, :d])
+    as_query[:, :, d:] = d_hidden
+    key = _by_row(local.ravel(), as_key.reshape(-1, 2 * d), len(ids))
+    own = _by_row(local[:, reach + at].ravel(), as_query.reshape(-1, 2 * d), len(ids))
+    own[:, :d] *= np.float32(WIDTH**-0.5)
     d_k, d_b, d_q, d_a = key[:, :d], key[:, d:], own[:, :d], own[:, d:]
     slopes = {
         "q": x.T @ d_q, "k": x.T @ d_k, "a": x.T @ d_a, "b": x.T @ d_b,
         "near": np.bincount(back.ravel(), d_scores.sum(axis=0).ravel(), len(model.near)).astype(np.float32),
-        "out": hidden.reshape(-1, d).T @ slope.reshape(-1, slope.shape[2]), "bias": slope.sum(axis=(0, 1)),
+        "out": d_out, "bias": d_bias,
     }
     d_x = d_q @ model.q.T + d_k @ model.k.T + d_a @ model.a.T + d_b @ model.b.T
     for name, g in slopes.items():
@@ -465,24 +553,10 @@ def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.1) ->
 
 
 class Scorer:
-    """A model made ready for scoring: what depends on one subword alone is computed once for all of them.
-
-    A last row stands for nothing, with a key that no query attends to, and the values carry a 1 whose mean is
-    the sum to divide by.  Attention scores and class scores are kept from overflowing by bounds on them.
-    """
+    """A model made ready for scoring: what depends on one subword alone is computed once for all of them."""
 
     def __init__(self, model: Model) -> None:
-        q, k, direct, value = model.tables(model.x)
-        n = len(q)
-        row = lambda v, last: np.vstack([v, np.full((1, v.shape[1]), last, v.dtype)])
-        column = lambda v, x: np.hstack([v, np.full((n, 1), x, v.dtype)])
-        self.q, self.k, self.value = row(column(q, 1), 0), row(column(k, 0), 0), row(column(value, 1), 0)
-        self.k[-1, -1] = -1e9
-        self.direct = row(direct, 0)
-        back = REACH + np.arange(STEP)[:, None] - np.arange(REACH + STEP)[None, :]
-        self.near = np.where(back >= 0, model.near[np.maximum(back, 0)], np.float32(-1e9))
-        self.out, self.bias = model.out, model.bias
-        self.top = np.float32((np.abs(model.out).sum(axis=0) + model.bias).max())
+        self.rows, self.near, self.kinds = Rows(model.tables(model.x), model.near), model.near, Classes(model)
         self.classes, self.before, self.columns = model.classes, model.before, model.columns
         self.pairs, self.of_class = model.within()
         self.prior = (PRIOR * model.share).astype(np.float32)
@@ -492,21 +566,11 @@ class Scorer:
         out = np.zeros(target.shape, dtype=np.float32)
         for at in range(0, len(context), BATCH):
             seen, y = context[at : at + BATCH], target[at : at + BATCH].ravel()
-            query = seen[:, REACH:]
-            weights = self.q[query] @ self.k[seen].transpose(0, 2, 1)
-            weights += self.near
-            np.minimum(weights, 60, out=weights)
-            np.exp(weights, out=weights)
-            mean = weights @ self.value[seen]
-            hidden = mean[:, :, :-1] / np.maximum(mean[:, :, -1:], np.float32(1e-30))
-            hidden += self.direct[query]
-            z = np.tanh(hidden, out=hidden).reshape(-1, WIDTH) @ self.out
-            z += self.bias
-            kind, before = self.classes[y], self.before[query.ravel()]
-            found = z[np.arange(len(y)), kind]
-            top = self.top if self.top < 60 else z.max(axis=1)
-            z -= top if self.top < 60 else top[:, None]
-            found -= top + np.log(np.exp(z, out=z).sum(axis=1))
+            hidden = look(self.rows, self.near, seen, np.arange(STEP))[0]
+            z = self.kinds.scores(hidden.reshape(-1, WIDTH))
+            kind, before = self.classes[y], self.before[seen[:, REACH:].ravel()]
+            found = z[np.arange(len(y)), kind] + np.log(self.kinds.factor[kind])
+            found -= np.log(np.exp(z, out=z) @ self.kinds.factor)
             found += np.log(self.pairs[before, self.columns[y]] + self.prior[y]) - self.of_class[before, kind]
             out[at : at + BATCH] = np.where(y >= 0, found, 0).reshape(-1, STEP)
         return out

@@ -67,6 +67,76 @@ def test_gradients_agree_with_differences():
             assert slope.ravel()[i] == pytest.approx((up - down) / 2e-4, rel=0.05, abs=1e-4), name
 
 
+class Counted:
+    """numpy, counting the numbers whose exponential is taken."""
+
+    def __init__(self):
+        self.taken = 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def exp(self, x, **rest):
+        self.taken += np.size(x)
+        return np.exp(x, **rest)
+
+
+def test_a_step_takes_one_exponential_of_each_weight_and_class_score(monkeypatch):
+    model = S.Model.fresh(np.arange(300) + 1)
+    squares = {k: np.full_like(getattr(model, k), 1e-7) for k in S.Model.LEARNED}
+    context, target = S.windows(np.random.default_rng(7).integers(0, 299, 4000), np.array([0]), np.array([4000]), 299)
+    monkeypatch.setattr(S, "np", counted := Counted())
+    S.learn(model, squares, context, target, np.arange(S.STEP), 0.1)
+    classes = len(model.bias)
+    assert counted.taken <= target.size * (classes + context.shape[1]) + classes
+
+
+def plain_log_odds(model, context, target):
+    """The model as its docstring states it, target by target, in double precision."""
+    x, q, k, a, b, near, out, bias = (getattr(model, n).astype(float) for n in S.Model.LEARNED)
+    z = np.zeros((*target.shape, len(bias)))
+    for w, t in np.ndindex(*target.shape):
+        at = S.REACH + t
+        seen = [j for j in range(at + 1) if context[w, j] >= 0]
+        if target[w, t] < 0 or context[w, at] < 0:
+            continue
+        score = x[context[w, seen]] @ k @ (x[context[w, at]] @ q) * S.WIDTH**-0.5 + near[at - np.array(seen)]
+        weight = np.exp(score - score.max())
+        hidden = np.tanh(x[context[w, at]] @ a + weight @ x[context[w, seen]] @ b / weight.sum())
+        z[w, t] = hidden @ out + bias
+        z[w, t] -= z[w, t].max() + np.log(np.exp(z[w, t] - z[w, t].max()).sum())
+    return z
+
+
+@pytest.mark.parametrize("sharp, wide", [(1, 1), (40, 1), (1, 300)])
+def test_small_and_large_scores_give_what_the_model_states(sharp, wide):
+    draw = np.random.default_rng(11)
+    model = S.Model.fresh(draw.integers(0, 1000, 300))
+    model.q *= sharp  # weights of scores beyond any float32 exponential
+    model.out *= wide
+    model.columns, model.pairs = np.arange(300) % 90, draw.integers(0, 9, (sum(S.BEFORE), 91)).astype(np.float32)
+    model.near += draw.normal(size=len(model.near)).astype(np.float32)
+    sizes = np.array([1, 2, 40, 100])
+    context, target = S.windows(draw.integers(0, 300, sizes.sum()), np.cumsum(sizes) - sizes, sizes, 299)
+    pairs, of = model.within()
+    y, before = np.maximum(target, 0), model.before[np.maximum(context[:, S.REACH :], 0)]
+    kind = model.classes[y]
+    want = np.take_along_axis(plain_log_odds(model, context, target), kind[:, :, None], 2)[:, :, 0]
+    want += np.log(pairs[before, model.columns[y]] + S.PRIOR * model.share[y]) - of[before, kind]
+    assert np.allclose(S.Scorer(model).score(context, target), np.where(target >= 0, want, 0), rtol=1e-3, atol=2e-3)
+
+
+def test_sums_by_row_are_those_of_a_plain_loop():
+    draw = np.random.default_rng(12)
+    for rows, n in ((draw.zipf(1.3, 5000) % 700 - 1, 700), (np.full(600, 3), 9), (np.full(4, -1), 2), (np.arange(40_000), 40_000)):
+        values = draw.normal(size=(len(rows), 5))
+        want = np.zeros((n, 5))
+        for r, v in zip(rows, values):
+            if r >= 0:
+                want[r] += v
+        assert np.allclose(S._by_row(rows, values, n), want)
+
+
 def test_every_target_of_a_short_text_is_learned(spark):
     vocabulary = S.Vocabulary.read()
     docs = spark.createDataFrame([(1, "red green blue white black", False)], "id long, text string, held boolean").coalesce(1)
