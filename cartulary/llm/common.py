@@ -25,11 +25,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, apart: bool = False) -> DataFrame:
     """The rows written once to the shared folder and read back: later steps start from them,
-    and a lost executor costs no more than its own tasks."""
+    and a lost executor costs no more than its own tasks.
+
+    ``apart``: each row is a row group of its own, for rows of many megabytes.  Parquet looks at the size of a
+    row group after 100 rows only, and writers and readers hold a whole one in memory.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if apart:
+        writer = writer.option("parquet.block.row.count.limit", 1)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

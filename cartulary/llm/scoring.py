@@ -17,7 +17,6 @@ from functools import lru_cache
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
@@ -29,12 +28,17 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 WORDS = 3_000_000  # words that a block holds, about
+TEXT, DOCUMENTS = 16 * WORDS, WORDS // 6  # bytes of text and documents after which a block ends as well
+ENCODED = 100_000  # words that are encoded in one go
+PART = 400_000, 100_000  # words and documents of a block that are spelled at a time
 WIDTH = 24  # of the vectors
 STEP = 16  # targets of a window
 REACH = 16  # subwords before its first target that a window sees
 SINGLE, GROUPS = 128, 32  # classes that the model tells apart: frequent subwords, and groups of the others
 BEFORE = 512, 64  # the same for the subword before a target, in the counts of what follows it
 BATCH, STEPPED = 256, 256  # windows scored at a time, and windows of one training step
+LAID = 64 * BATCH  # windows that are laid out at a time to be scored
+ROWS = 100_000  # rows that a task gives back at a time
 PRIOR = 20.0  # weight of a subword's plain share of its class, in counts
 MIXES = 0.3, 0.6, 0.9  # weights that the words' own counts may have in a text, all as likely beforehand
 
@@ -98,7 +102,8 @@ BLOCK = (
 
 
 def code_blocks(rows: DataFrame, vocabulary: Vocabulary, words: int = WORDS) -> DataFrame:
-    """Blocks of whole documents from ``id, text, held`` rows, each of about ``words`` words or one document.
+    """Blocks of whole documents from ``id, text, held`` rows, each of about ``words`` words or one document, and
+    fewer where words are long or documents nearly empty.
 
     sizes: words of each document; codes: their numbers in ``words`` (parted by line feeds, which no word
     has); subs, sub_sizes: the subword ids of ``words``; train: the words' counts in documents not held out.
@@ -113,12 +118,13 @@ def code_blocks(rows: DataFrame, vocabulary: Vocabulary, words: int = WORDS) ->
         ids: list = []
         held: list[bool] = []
         sizes, codes, n_blocks = array("i"), array("i"), 0
-        id_type = None
+        id_type, read = None, 0
 
         def block() -> pa.RecordBatch:
-            nonlocal numbers, ids, held, sizes, codes, n_blocks
+            nonlocal numbers, ids, held, sizes, codes, n_blocks, read
             known = list(numbers)
-            subs, sub_sizes = vocabulary.encode(known)
+            spelled = [vocabulary.encode(known[i : i + ENCODED]) for i in range(0, max(1, len(known)), ENCODED)]
+            subs, sub_sizes = (np.concatenate(x) for x in zip(*spelled))
             at, size = np.frombuffer(codes, dtype=np.int32), np.frombuffer(sizes, dtype=np.int32)
             learned = np.repeat(~np.array(held, dtype=bool), size)
             train = np.bincount(at[learned], minlength=len(known)).astype(np.int32)
@@ -133,7 +139,7 @@ def code_blocks(rows: DataFrame, vocabulary: Vocabulary, words: int = WORDS) ->
                 names=["block", "ids", "held", "sizes", "codes", "subs", "sub_sizes", "words", "train"],
             )
             numbers, ids, held, n_blocks = defaultdict(count().__next__), [], [], n_blocks + 1
-            sizes, codes = array("i"), array("i")
+            sizes, codes, read = array("i"), array("i"), 0
             return made
 
         for batch in batches:
@@ -144,7 +150,8 @@ def code_blocks(rows: DataFrame, vocabulary: Vocabulary, words: int = WORDS) ->
                 sizes.append(len(found))
                 ids.append(k)
                 held.append(out)
-                if len(codes) >= words:
+                read += len(text)
+                if len(codes) >= words or read >= TEXT or len(ids) >= DOCUMENTS:
                     yield block()
         if ids:
             yield block()
@@ -153,6 +160,28 @@ def code_blocks(rows: DataFrame, vocabulary: Vocabulary, words: int = WORDS) ->
     return made.mapInArrow(each, BLOCK.format(ids=f"array<{kind}>"))
 
 
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each block that hold numbers, as arrays over the memory of the batch: nothing is copied."""
+    kinds = {"sizes": np.int32, "codes": np.int32, "subs": np.uint16, "sub_sizes": np.int32}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            row = {
+                name: np.frombuffer(x.as_buffer(), kinds[name]) if name in kinds else x.values.to_numpy(zero_copy_only=False)
+                for name, x in row.items()
+            }
+            yield row
+            row.clear()  # the next batch is read when nothing holds this one
+        del batch
+
+
+def in_parts(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Columns of equal length as batches of bounded size."""
+    n = len(next(iter(rows.values())))
+    for at in range(0, n, ROWS):
+        yield pa.RecordBatch.from_pydict({name: pa.array(x[at : at + ROWS]) for name, x in rows.items()})
+
+
 def corpus_counts(blocks: DataFrame) -> DataFrame:
     """``block, at, c, first``: for every word of every block its count in the training documents of the whole
     corpus; ``first`` marks one row of each word.  A word has one row per block, so no group is large."""
@@ -171,18 +200,16 @@ def subword_counts(blocks: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Training counts of every subword id, ends included: to the driver comes one row per id."""
     end = vocabulary.end
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(end + 1, dtype=np.int64)
-        for batch in batches:
-            for held, subs, sizes, train in zip(batch["held"], batch["subs"], batch["sub_sizes"], batch["train"]):
-                subs, sizes = np.frombuffer(subs, np.uint16), np.frombuffer(sizes, np.int32)
-                weights = np.repeat(np.asarray(train, dtype=np.int64), sizes)
-                total += np.bincount(subs, weights=weights, minlength=end + 1).astype(np.int64)
-                total[end] += len(held) - int(np.sum(np.asarray(held, dtype=bool)))
+        for row in cells(batches):
+            weights = np.repeat(row["train"].astype(np.int64), row["sub_sizes"])
+            total += np.bincount(row["subs"], weights=weights, minlength=end + 1).astype(np.int64)
+            total[end] += np.count_nonzero(~row["held"])
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at, "n": total[at]})
+        yield from in_parts({"id": at.astype(np.int32), "n": total[at]})
 
-    found = blocks.select("held", "subs", "sub_sizes", "train").mapInPandas(each, "id int, n long")
+    found = blocks.select("held", "subs", "sub_sizes", "train").mapInArrow(each, "id int, n long")
     counts = np.zeros(end + 1, dtype=np.int64)
     for i, n in found.groupBy("id").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         counts[i] = n
@@ -242,7 +269,9 @@ class Model:
         if len(known):
             kind = self.classes[known]
             edges = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
-            of[:, kind[edges]] = np.add.reduceat(self.pairs[:, self.columns[known]], edges, axis=1, dtype=float)
+            for at in range(0, len(of), 32):  # a copy of some rows at a time
+                some = self.pairs[at : at + 32, self.columns[known]]
+                of[at : at + 32, kind[edges]] = np.add.reduceat(some, edges, axis=1, dtype=float)
         return self.pairs, np.log(of + PRIOR).astype(np.float32)
 
 
@@ -265,9 +294,18 @@ def windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end: int, re
     beyond the document.  Each target stands in one window, in order; before it stand the end (for the
     beginning) and the subwords that precede it, back to ``reach`` before the window's first target.
     """
+    return laid_out(ids, *places(starts, sizes, step), end, reach, step)
+
+
+def places(starts: np.ndarray, sizes: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window where its document starts, the document's size and the window's first target in it."""
     per = -(-sizes // step)
     first = (np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)) * step
-    start, size = np.repeat(starts, per), np.repeat(sizes, per)
+    return np.repeat(starts, per), np.repeat(sizes, per), first
+
+
+def laid_out(ids: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, end: int, reach: int = REACH, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and targets of some windows of ``places``."""
     # one padded row of ids for contexts and targets: from reach + 1 before the first target on
     place = first[:, None] + np.arange(-reach - 1, step)
     row = ids[np.clip(start[:, None] + place, 0, len(ids) - 1)]
@@ -443,16 +481,15 @@ def learn(model: Model, squares: dict[str, np.ndarray], context: np.ndarray, tar
     model.x[ids] -= rate * d_x / np.sqrt(squares["x"][ids])
 
 
-def documents(sizes: bytes, codes: bytes, subs: bytes, sub_sizes: bytes, end: int, wanted: np.ndarray, most: int = 400_000):
+def documents(sizes: np.ndarray, codes: np.ndarray, subs: np.ndarray, sub_sizes: np.ndarray, end: int, wanted: np.ndarray, most: tuple[int, int] = PART):
     """The wanted documents of a block as subword ids, some at a time: ``(numbers, ids, starts, sizes)``."""
-    sizes, codes = np.frombuffer(sizes, np.int32).astype(np.int64), np.frombuffer(codes, np.int32)
-    subs, sub_sizes = np.frombuffer(subs, np.uint16), np.frombuffer(sub_sizes, np.int32).astype(np.int64)
+    sizes, sub_sizes = sizes.astype(np.int64), sub_sizes.astype(np.int64)
     starts, sub_starts = np.cumsum(sizes) - sizes, np.cumsum(sub_sizes) - sub_sizes
     at = 0
     while at < len(wanted):
         until = at + 1
         n = sizes[wanted[at]]
-        while until < len(wanted) and n + sizes[wanted[until]] <= most:
+        while until < len(wanted) and n + sizes[wanted[until]] <= most[0] and until - at < most[1]:
             n += sizes[wanted[until]]
             until += 1
         part = wanted[at:until]
@@ -478,20 +515,19 @@ def pair_counts(blocks: DataFrame, model: Model, end: int) -> Model:
     To the driver comes one row per kind and subword that follow each other."""
     kinds, n_ids = model.before, len(model.before)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(sum(BEFORE) * n_ids, dtype=np.int32)
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                wanted = np.flatnonzero(~np.asarray(row.held, dtype=bool))
-                for _, ids, starts, _ in documents(row.sizes, row.codes, row.subs, row.sub_sizes, end, wanted):
-                    before = np.concatenate([[end], ids[:-1]])
-                    before[starts] = end
-                    key, n = np.unique(kinds[before] * n_ids + ids, return_counts=True)
-                    total[key] += n
+        for row in cells(batches):
+            wanted = np.flatnonzero(~row.pop("held"))
+            for _, ids, starts, _ in documents(**row, end=end, wanted=wanted):
+                before = np.concatenate([[end], ids[:-1]])
+                before[starts] = end
+                key, n = np.unique(kinds[before] * n_ids + ids, return_counts=True)
+                total[key] += n
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"key": at, "n": total[at]})
+        yield from in_parts({"key": at, "n": total[at].astype(np.int64)})
 
-    found = blocks.select("held", "sizes", "codes", "subs", "sub_sizes").mapInPandas(each, "key long, n long")
+    found = blocks.select("held", "sizes", "codes", "subs", "sub_sizes").mapInArrow(each, "key long, n long")
     counts = found.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     before, ids = np.divmod(counts["key"].to_numpy(dtype=np.int64), n_ids)
     seen, column = np.unique(ids, return_inverse=True)
@@ -513,22 +549,22 @@ def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.1) ->
     model = Model.fresh(counts)
     held = blocks.sparkSession.sparkContext.broadcast(model)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = held.value
         own = replace(start, **{k: getattr(start, k).copy() for k in Model.LEARNED})
         squares = {k: np.full_like(getattr(own, k), 1e-7) for k in Model.LEARNED}
         seen, total = np.zeros(len(own.x), dtype=bool), 0
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                wanted = np.flatnonzero(~np.asarray(row.held, dtype=bool))
-                for _, ids, starts, sizes in documents(row.sizes, row.codes, row.subs, row.sub_sizes, end, wanted):
-                    seen[ids] = True
-                    context, target = windows(ids, starts, sizes, end)
-                    mixed = np.random.default_rng(len(ids)).permutation(len(context))
-                    for at in range(0, len(mixed), STEPPED):
-                        part = mixed[at : at + STEPPED]
-                        learn(own, squares, context[part], target[part], np.arange(STEP), rate)
-                    total += len(mixed)
+        for row in cells(batches):
+            wanted = np.flatnonzero(~row.pop("held"))
+            for _, ids, starts, sizes in documents(**row, end=end, wanted=wanted):
+                seen[ids] = True
+                at_place = places(starts, sizes)
+                mixed = np.random.default_rng(len(ids)).permutation(len(at_place[0]))
+                for at in range(0, len(mixed), STEPPED):
+                    part = mixed[at : at + STEPPED]
+                    context, target = laid_out(ids, *(x[part] for x in at_place), end)
+                    learn(own, squares, context, target, np.arange(STEP), rate)
+                total += len(mixed)
         if not total:
             return
         seen[end] = True
@@ -536,14 +572,16 @@ def train(blocks: DataFrame, counts: np.ndarray, end: int, rate: float = 0.1) ->
             moved = getattr(own, name) - getattr(start, name)
             rows = np.flatnonzero(seen) if name == "x" else np.arange(len(moved) if moved.ndim > 1 else 1)
             moved = moved.reshape(-1, moved.shape[-1])[rows]
-            i, j = np.indices(moved.shape)
-            yield pd.DataFrame({
-                "part": name, "row": rows[i.ravel()], "col": j.ravel(),
-                "move": moved.ravel().astype(float) * total, "weight": float(total),
-            })
-
-    moves = blocks.select("held", "sizes", "codes", "subs", "sub_sizes").mapInPandas(
-        each, "part string, row int, col int, move double, weight double"
+            for made in in_parts({
+                "row": np.repeat(rows, moved.shape[1]).astype(np.int32),
+                "col": np.tile(np.arange(moved.shape[1], dtype=np.int32), len(rows)),
+                "move": moved.ravel().astype(float) * total,
+            }):
+                alike = {"part": pa.repeat(name, made.num_rows), "weight": pa.repeat(float(total), made.num_rows)}
+                yield pa.RecordBatch.from_arrays([*alike.values(), *made.columns], names=[*alike, *made.schema.names])
+
+    moves = blocks.select("held", "sizes", "codes", "subs", "sub_sizes").mapInArrow(
+        each, "part string, weight double, row int, col int, move double"
     )
     mean = moves.groupBy("part", "row", "col").agg((F.sum("move") / F.sum("weight")).alias("move"))
     for name, group in mean.toPandas().groupby("part"):
@@ -575,6 +613,14 @@ class Scorer:
             out[at : at + BATCH] = np.where(y >= 0, found, 0).reshape(-1, STEP)
         return out
 
+    def targets(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+        """The natural log probability of each subword of the documents, in order; some windows are laid out at a time."""
+        made, at_place = [], places(starts, sizes)
+        for at in range(0, len(at_place[0]), LAID):
+            context, target = laid_out(ids, *(x[at : at + LAID] for x in at_place), end)
+            made.append(self.score(context, target)[target >= 0])
+        return np.concatenate(made).astype(np.float64)
+
 
 SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -594,7 +640,7 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str = VOCABUL
     words = Vocabulary.read(vocabulary)
     end = words.end
     rows = docs.select(F.col(id).alias("id"), text_of(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    blocks = store(code_blocks(rows, words), "blocks")
+    blocks = store(code_blocks(rows, words), "blocks", apart=True)
     found = store(corpus_counts(blocks), "counts")
     model = pair_counts(blocks, train(blocks, subword_counts(blocks, words), end), end)
 
@@ -607,43 +653,46 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str = VOCABUL
     total = n_words + n_ends
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def each(key, block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        made: list[pd.DataFrame] = []
-        model = held.value
-        scorer = Scorer(model)
+    ready: list[Scorer] = []  # one for all blocks of a task
+
+    def each(block: pa.Table, counts: pa.Table) -> pa.Table:
+        made: list[pa.Table] = []
+        if not ready:
+            ready.append(Scorer(held.value))
+        scorer = ready[0]
         floor = np.log10(total + 0.1 * (distinct + 1))
-        for row in block.itertuples(index=False):
-            c = np.zeros(len(row.train), dtype=np.int64)
-            c[counts["at"].to_numpy()] = counts["c"].to_numpy()
-            sizes, codes = np.frombuffer(row.sizes, np.int32), np.frombuffer(row.codes, np.int32)
+        coded, names = block.drop_columns(["block", "ids"]), block.column("ids").combine_chunks()
+        for i, row in enumerate(cells(coded.to_batches())):
+            c, out = np.zeros(len(row.pop("train")), dtype=np.int64), row.pop("held")
+            c[counts.column("at").to_numpy()] = counts.column("c").to_numpy()
+            sizes, codes = row["sizes"], row["codes"]
             doc = np.repeat(np.arange(len(sizes)), sizes)
             base = np.bincount(doc, (np.log10(c + 0.1) - floor)[codes], len(sizes)) + np.log10(n_ends + 0.1) - floor
             known = np.bincount(doc, c[codes] > 0, len(sizes)).astype(np.int64) + (n_ends > 0)
+            del doc
             with np.errstate(divide="ignore"):
                 plain, plain_end = np.log(c / max(total, 1)), np.log(n_ends / max(total, 1))
-            score = np.zeros(len(sizes))
-            for part, ids, starts, lengths in documents(row.sizes, row.codes, row.subs, row.sub_sizes, end, np.arange(len(sizes))):
-                context, target = windows(ids, starts, lengths, end)
-                found = scorer.score(context, target)[target >= 0].astype(np.float64)
+            score, begins = np.zeros(len(sizes)), np.cumsum(sizes.astype(np.int64)) - sizes
+            for part, ids, starts, lengths in documents(**row, end=end, wanted=np.arange(len(sizes))):
+                found = scorer.targets(ids, starts, lengths, end)
                 # a token's subwords lie side by side; the end is a token of its own
-                code = codes[_runs(np.cumsum(sizes)[part] - sizes[part], sizes[part].astype(np.int64))]
+                code = codes[_runs(begins[part], sizes[part].astype(np.int64))]
                 ends = np.cumsum(sizes[part].astype(np.int64))
-                length = np.insert(np.frombuffer(row.sub_sizes, np.int32)[code].astype(np.int64), ends, 1)
+                length = np.insert(row["sub_sizes"][code].astype(np.int64), ends, 1)
                 spelled = np.add.reduceat(found, np.cumsum(length) - length)
                 of = np.repeat(np.arange(len(part)), sizes[part] + 1)
                 own = np.exp(np.minimum(np.insert(plain[code], ends, plain_end) - spelled, 700))
                 each_mix = [np.bincount(of, np.log(w * own + (1 - w)), len(part)) for w in MIXES]
                 text = np.bincount(of, spelled, len(part)) + np.logaddexp.reduce(each_mix) - np.log(len(MIXES))
                 score[part] = text / np.log(10)
-            made.append(pd.DataFrame({
-                "id": row.ids, "held_out": row.held, "n_tokens": sizes.astype(np.int64) + 1, "n_known": known,
-                "train_tokens": total, "base_score": base, "score": score,
+            made.append(pa.table({
+                "id": names[i].values, "held_out": out, "n_tokens": sizes.astype(np.int64) + 1, "n_known": known,
+                "train_tokens": np.full(len(sizes), total), "base_score": base, "score": score,
             }))
-        return pd.concat(made)
+        return pa.concat_tables(made)
 
-    # ids travel as text: a long beside a null would become a rounded double
+    # ids travel as text, whatever their type
     coded = blocks.select("block", F.col("ids").cast("array<string>").alias("ids"), "held", "sizes", "codes", "subs", "sub_sizes", "train")
-    scored = coded.groupBy("block").cogroup(found.select("block", "at", "c").groupBy("block")).applyInPandas(
-        each, f"id string, {SCORES}"
-    )
+    coded, found = coded.groupBy("block"), found.select("block", "at", "c").groupBy("block")
+    scored = coded.cogroup(found).applyInArrow(each, f"id string, {SCORES}")
     return scored.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pyspark.sql.functions as F
 import pytest
 
@@ -227,3 +228,71 @@ def test_scorer_agrees_with_the_model_step_by_step():
     want = np.take_along_axis(S.class_log_odds(model, hidden), kind[:, :, None], 2)[:, :, 0]
     want += np.log(pairs[before, model.columns[y]] + S.PRIOR * model.share[y]) - of[before, kind]
     assert np.allclose(got, np.where(target >= 0, want, 0), atol=1e-3)
+
+
+def in_small_blocks(monkeypatch, words, **limits):
+    """Frames that are stored, by name, with blocks of about so many words."""
+    stored, code, store = {}, S.code_blocks, S.store
+    monkeypatch.setattr(S, "code_blocks", lambda rows, vocabulary: code(rows, vocabulary, words))
+    monkeypatch.setattr(S, "store", lambda df, name, **how: stored.setdefault(name, store(df, name, **how)))
+    for name, value in limits.items():
+        monkeypatch.setattr(S, name, value)
+    return stored
+
+
+def test_writers_and_readers_hold_one_block_at_a_time(spark, monkeypatch):
+    stored = in_small_blocks(monkeypatch, 20)
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(10))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = S.score_documents(docs, F.col("doc_id") % 5 == 0).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(30))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in stored["blocks"].inputFiles()]
+    assert sum(m.num_rows for m in files) == 15
+    assert all(m.row_group(i).num_rows == 1 for m in files for i in range(m.num_row_groups))
+
+
+def test_long_words_and_nearly_empty_documents_end_a_block(spark, monkeypatch):
+    texts = ["", None, "x" * 40, "", "y" * 50 + " z", "red green", *[""] * 5, "red"]
+    held = [i % 4 == 1 for i in range(len(texts))]
+    stored = in_small_blocks(monkeypatch, 1000, TEXT=60, DOCUMENTS=4)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    found = S.score_documents(docs, F.col("doc_id") % 4 == 1).collect()
+    got = sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in found)
+    rows = [(i, t or "") for i, t in enumerate(texts)]
+    assert got == [(i, a, b, n, round(s, 4)) for i, a, b, n, s in slow_base(rows, held)]
+    sizes = [[len((texts[i] or "").encode()) for i in r["ids"]] for r in stored["blocks"].select("ids").collect()]
+    assert all(len(x) <= 4 and sum(x[:-1]) < 60 for x in sizes)
+
+
+def test_documents_are_spelled_some_at_a_time():
+    sizes = np.array([0] * 250 + [3] * 10 + [40], dtype=np.int32)
+    codes = np.arange(sizes.sum(), dtype=np.int32) % 5
+    subs, sub_sizes = np.arange(10, dtype=np.uint16), np.full(5, 2, dtype=np.int32)
+    whole = [*S.documents(sizes, codes, subs, sub_sizes, 99, np.arange(len(sizes)), (10_000, 10_000))]
+    some = [*S.documents(sizes, codes, subs, sub_sizes, 99, np.arange(len(sizes)), (20, 100))]
+    assert len(whole) == 1 and all(len(part) <= 100 for part, *_ in some)
+    assert np.array_equal(np.concatenate([ids for _, ids, _, _ in some]), whole[0][1])
+    assert np.array_equal(np.concatenate([n for *_, n in some]), whole[0][3])
+
+
+def test_windows_of_a_long_text_are_laid_out_some_at_a_time(monkeypatch):
+    draw = np.random.default_rng(13)
+    model = S.Model.fresh(draw.integers(0, 1000, 300))
+    model.columns, model.pairs = np.arange(300) % 90, draw.integers(0, 9, (sum(S.BEFORE), 91)).astype(np.float32)
+    sizes = np.array([1, 20_000, 33])
+    ids, starts = draw.integers(0, 300, sizes.sum()), np.cumsum(sizes) - sizes
+    scorer = S.Scorer(model)
+    context, target = S.windows(ids, starts, sizes, 299)
+    want = scorer.score(context, target)[target >= 0]
+    laid, lay = [], S.laid_out
+    monkeypatch.setattr(S, "laid_out", lambda ids, start, *rest: laid.append(len(start)) or lay(ids, start, *rest))
+    monkeypatch.setattr(S, "LAID", 2 * S.BATCH)
+    assert np.array_equal(scorer.targets(ids, starts, sizes, 299), want)
+    assert sum(laid) == len(context) and max(laid) == 2 * S.BATCH
+
+
+def test_a_task_gives_back_its_rows_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(S, "ROWS", 7)
+    made = [*S.in_parts({"a": np.arange(20), "b": np.arange(20) / 2})]
+    assert [x.num_rows for x in made] == [7, 7, 6] and sum((x.column("a").to_pylist() for x in made), []) == [*range(20)]
+    assert not [*S.in_parts({"a": np.arange(0)})]
